@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from geoloom.llm import urls
 from geoloom.llm.quality import MAX_REPEAT, MIN_WORDS, RULES, STOP_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -41,4 +42,22 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
-SQL = {"op4_quality_rules": QUALITY}
+
+
+def _url_case(rules, value) -> str:
+    """The longest fitting rule first."""
+    order = sorted(rules, key=lambda r: -len(r[-2] + r[-1]))
+    fits = lambda r: f"(host = '{r[-2]}' OR host LIKE '%.{r[-2]}') AND path LIKE '{r[-1]}%'"
+    return "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in order) + " END"
+
+
+URLS = f"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, {_url_case(urls.RULES, lambda r: r[1] + r[2])} AS rule, {_url_case(urls.RULES, lambda r: r[0])} AS said,
+    {_url_case(urls.LISTED, lambda r: "block")} IS NOT NULL AS listed FROM b)
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM c
+"""
+
+SQL = {"op2_url_filters": URLS, "op4_quality_rules": QUALITY}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from geoloom.llm import oracle
 from geoloom.llm.quality import op4_quality_rules
+from geoloom.llm.sentencepiece import op10_sentencepiece
+from geoloom.llm.urls import op2_url_filters
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op2_url_filters, op4_quality_rules, op10_sentencepiece)}
 ORACLE_SQL = dict(oracle.SQL)
