@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from geoloom.llm import urls
+from geoloom.llm.chat import NARRATOR, OPEN
 from geoloom.llm.quality import MAX_REPEAT, MIN_WORDS, RULES, STOP_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -60,4 +61,19 @@ c AS (SELECT *, {_url_case(urls.RULES, lambda r: r[1] + r[2])} AS rule, {_url_ca
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed FROM c
 """
 
-SQL = {"op2_url_filters": URLS, "op4_quality_rules": QUALITY}
+CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{NARRATOR}'),
+r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = '{NARRATOR}' THEN '{NARRATOR}' ELSE 'user' END AS role
+    FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '{OPEN}' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head FROM r),
+s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+w AS (SELECT *, row_number() OVER o - 1 AS position, sum(length(segment)) OVER o - length(segment) AS start
+    FROM s WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, position, turn, speaker, role, segment, CAST(start AS BIGINT) AS start, CAST(start + length(segment) AS BIGINT) AS "end",
+  CASE WHEN speaker = perspective THEN CAST(start + length(head) AS BIGINT) END AS train_start,
+  CASE WHEN speaker = perspective THEN CAST(start + length(segment) - 1 AS BIGINT) END AS train_end
+FROM w
+"""
+
+SQL = {"op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}
