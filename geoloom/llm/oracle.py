@@ -76,4 +76,16 @@ SELECT conv_id, perspective, position, turn, speaker, role, segment, CAST(start
 FROM w
 """
 
-SQL = {"op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}
+SUBSTRING = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(words[i + 1 : i + 20], ' ')) AS h
+    FROM (SELECT doc_id, words, unnest(range(0, len(words) - 19)) AS i FROM w)),
+f AS (SELECT h, min((doc_id, i)) AS first FROM g GROUP BY h HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM g JOIN f USING (h) WHERE (doc_id, i) <> first),
+c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM r, (SELECT unnest(range(0, 20)) AS k) GROUP BY doc_id),
+k AS (SELECT doc_id, words, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL THEN words
+    ELSE list_filter(words, lambda x, j: NOT list_contains(gone, j - 1)) END AS kept FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+SQL = {"op9_substring_dedup": SUBSTRING, "op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}
