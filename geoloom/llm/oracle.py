@@ -88,4 +88,17 @@ k AS (SELECT doc_id, words, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-SQL = {"op9_substring_dedup": SUBSTRING, "op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}
+JACCARD = f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT rid, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ') ELSE array_to_string(words[i + 1 : i + 4], ' ') END AS s
+    FROM (SELECT rid, words, unnest(range(0, greatest(1, len(words) - 3))) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+o AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.rid <> b.rid GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM o JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+r AS (SELECT rid AS x, rid AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.least AS component_id, CAST(coalesce(d.k, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN n USING (rid) LEFT JOIN (SELECT x AS rid, count(*) AS k FROM l GROUP BY 1) d USING (rid)
+JOIN (SELECT r.x AS rid, min(w.doc_id) AS least FROM r JOIN w ON r.y = w.rid GROUP BY 1) m USING (rid)
+"""
+
+SQL = {"op3_ngram_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING, "op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}
