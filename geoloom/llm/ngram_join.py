@@ -74,12 +74,12 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """node, doc, text; a node is the doc_id where that is unique."""
+def _nodes(docs: DataFrame, *more) -> DataFrame:
+    """node, doc, text and more; a node is the doc_id where that is unique."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     shared = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     node = F.xxhash64(doc, "text") if shared else doc
-    return docs.select(node.alias("node"), doc.alias("doc"), "text")
+    return docs.select(node.alias("node"), doc.alias("doc"), "text", *more)
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
@@ -319,20 +319,36 @@ def _part_batch(out: dict) -> pa.RecordBatch:
     return b
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents it is linked with), a row per row."""
-    rows = _nodes(docs)
+def _judged(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, doc, n, links, component, a row per row; rows as of _nodes."""
     classes = checkpoint(_classes(rows, k))
     groups = candidates(rows, classes, k, percent)
     members = classes.where(F.col("node") == F.col("class")).select("class", "n", "copies").dropDuplicates(["class"]).join(groups, "class")
     links = checkpoint(verified(rows, checkpoint(members), k, percent))
     parts = components(links).select(F.col("node").alias("class"), "component")
     degree = links.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("more"))
-    out = classes.join(parts, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    out = classes.join(parts, "class", "left").join(degree, "class", "left")
+    return out.select("node", "doc", "n", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "class").alias("component"))
+
+
+def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents it is linked with), a row per row."""
+    out = _judged(_nodes(docs), k, percent)
     least = out.groupBy("component").agg(F.min("doc").alias("least"))
     out = out.join(least, "component")
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"), (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    return out.select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"), F.col("links").alias("n_links"))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, that with the smallest doc_id, with all columns of docs."""
+    rows = _nodes(docs)
+    out = _judged(rows, k, percent).groupBy("component").agg(F.min(F.struct("doc", "node")).alias("least"))
+    out = out.select(F.col("least.node").alias("node")).distinct()
+    whole = _nodes(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    # Rows with one node are copies of each other; the others have nodes of their own.
+    kept = whole.select("node", "row").join(out, "node", "left_semi")
+    return kept.dropDuplicates(["node"]).select("row.*")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

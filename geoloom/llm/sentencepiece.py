@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Entries kept of encoded chunks and of judged pairs, each; a full memo is emptied.
 MEMO = 400_000
@@ -156,7 +158,7 @@ class Codec:
         return e
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self.split(text or "") for i in self.encode_chunk(c)] + [self.eos]
+        return [int(i) for c in self.split(text or "") for i in self.entry(c)[1].split(" ")] + [self.eos]
 
     # -- decoding ---------------------------------------------------------------
 
@@ -255,6 +257,27 @@ def digests(df: DataFrame, path: str) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """docs with token_ids, n_tokens and decoded (the text that the ids give back) behind their columns.
+
+    A column of docs that has one of these names is replaced.
+    """
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                ids = [c.encode(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["row", "token_ids", "decoded"])
+
+    names = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
+    kind = rows.schema["row"].dataType
+    out = rows.mapInArrow(run, StructType([StructField("row", kind), StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
+    return out.select("row.*", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded")
+
+
 def model_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
