@@ -13,6 +13,8 @@ from geoloom.functions.columns import HALF, power_of_two
 
 #: Metres of a pixel in the OGC definition of a scale.
 PIXEL = 0.00028
+#: Share of a tile by which rounding may be out.
+EDGE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -165,20 +167,26 @@ def cover(df: DataFrame, z: Column, envelope=("xmin", "ymin", "xmax", "ymax"), b
     ``buffer`` is a share of a tile.  Rows without an envelope go.
     """
     x0, y0, x1, y1 = (F.col(c) for c in envelope)
-    side = F.pow(F.lit(2.0), F.col("_z"))
-    w = F.lit(2 * HALF) / side
+    w = F.lit(2 * HALF) / F.pow(F.lit(2.0), F.col("_z"))
     b = w * F.lit(float(buffer))
     last = power_of_two(F.col("_z")) - 1
+    # A little wide, for rounding; the exact test on the tiles' bounds follows.
+    sides = {"_x0": x0 - b, "_y0": y0 - b, "_x1": x1 + b, "_y1": y1 + b, "_w": w}
+    lo = lambda v: F.greatest(F.lit(0).cast("long"), (F.ceil(v / F.col("_w") - EDGE) - 1).cast("long"))
+    hi = lambda v: F.least(last, F.floor(v / F.col("_w") + EDGE).cast("long"))
     span = {
-        "_c0": F.greatest(F.lit(0).cast("long"), (F.ceil((x0 - b + HALF) / w) - 1).cast("long")),
-        "_c1": F.least(last, F.floor((x1 + b + HALF) / w).cast("long")),
-        "_r0": F.greatest(F.lit(0).cast("long"), (F.ceil((F.lit(HALF) - y1 - b) / w) - 1).cast("long")),
-        "_r1": F.least(last, F.floor((F.lit(HALF) - y0 + b) / w).cast("long")),
+        "_c0": lo(F.col("_x0") + HALF),
+        "_c1": hi(F.col("_x1") + HALF),
+        "_r0": lo(F.lit(HALF) - F.col("_y1")),
+        "_r1": hi(F.lit(HALF) - F.col("_y0")),
     }
     names = list(keep) if keep is not None else [c for c in df.columns if c not in ("z", "x", "y")]
-    out = df.where(x0.isNotNull() & y0.isNotNull()).withColumn("_z", z.cast("int")).withColumns(span).where("_c0 <= _c1 AND _r0 <= _r1")
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(names)]
-    out = out.select("_z", F.explode(F.sequence("_c0", "_c1")).alias("_x"), "_r0", "_r1", *kept).select("_z", "_x", F.explode(F.sequence("_r0", "_r1")).alias("_y"), *[f"_k{i}" for i in range(len(names))])
+    out = df.where(x0.isNotNull() & y0.isNotNull()).withColumn("_z", z.cast("int")).withColumns(sides).withColumns(span).where("_c0 <= _c1 AND _r0 <= _r1")
+    out = out.select("_z", *sides, "_r0", "_r1", *kept, F.explode(F.sequence("_c0", "_c1")).alias("_x"))
+    out = out.where((F.lit(-HALF) + F.col("_x") * F.col("_w") <= F.col("_x1")) & (F.lit(-HALF) + (F.col("_x") + 1) * F.col("_w") >= F.col("_x0")))
+    out = out.withColumn("_y", F.explode(F.sequence("_r0", "_r1")))
+    out = out.where((F.lit(HALF) - (F.col("_y") + 1) * F.col("_w") <= F.col("_y1")) & (F.lit(HALF) - F.col("_y") * F.col("_w") >= F.col("_y0")))
     return out.select(F.col("_z").alias("z"), F.col("_x").alias("x"), F.col("_y").alias("y"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)])
 
 
