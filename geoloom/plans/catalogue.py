@@ -474,3 +474,68 @@ def q66_line_lengths(spark, sf):
     return lines.select("fid", F.round(C.line_length(degrees), 3).alias("metres"))
 
 
+
+
+_PADDED = f"""SELECT CAST(t.z AS INTEGER) AS z, CAST(t.x AS BIGINT) AS x, CAST(t.y AS BIGINT) AS y, CAST(count(*) AS BIGINT) AS features
+ FROM (SELECT z, x, y, -{_O} + x * {_W} - {_W} / 64 AS a, {_O} - (y + 1) * {_W} - {_W} / 64 AS b, -{_O} + (x + 1) * {_W} + {_W} / 64 AS c, {_O} - y * {_W} + {_W} / 64 AS d
+  FROM (SELECT *, unnest(generate_series(0, CAST(pow(2, z) AS BIGINT) - 1)) AS y FROM (SELECT z, unnest(generate_series(0, CAST(pow(2, z) AS BIGINT) - 1)) AS x FROM (SELECT unnest([0, 1, 2, 3]) AS z)))) t
+ JOIN {EV} e ON e.x BETWEEN a AND c AND e.y BETWEEN b AND d GROUP BY t.z, t.x, t.y"""
+
+
+def _event_source(spark, sf):
+    from geoloom.operators.seed import Source, points_wkb
+
+    e = points_wkb(X.event_points(spark, sf).select("fid", "event_type", "value", "x", "y"), "x", "y")
+    return Source("events", e, fid="fid", properties=("event_type", "value"))
+
+
+@query(_PADDED)
+def q67_seeded_features(spark, sf):
+    """Features of each vector tile, as its encoder counted them."""
+    from geoloom.operators.seed import seed
+
+    return seed([_event_source(spark, sf)], 0, 3).select("z", "x", "y", "features")
+
+
+@query()
+def q68_seeded_lines(spark, sf):
+    """Vector tiles of lines, simplified and cut: addresses, features and bytes."""
+    from geoloom.operators.seed import Source, lines_wkb, seed, with_envelope
+
+    lines = X.order_lines(spark, sf).where(F.size("points") > 1)
+    frame = with_envelope(lines_wkb(lines, "points").drop("points"))
+    return seed([Source("orders", frame, fid="fid", tolerance=2.0), _event_source(spark, sf)], 0, 4).select("z", "x", "y", "features", F.length("data").alias("bytes"))
+
+
+@query("SELECT event_type, CASE event_type WHEN 'view' THEN 'png' WHEN 'click' THEN 'mvt' WHEN 'purchase' THEN 'json' END AS format, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def q69_sniffed_formats(spark, sf):
+    e = table(spark, sf, "events")
+    blob = F.when(F.col("event_type") == "view", F.unhex(F.lit("89504E470D0A1A0A00"))).when(F.col("event_type") == "click", F.unhex(F.lit("1F8B0800"))).when(F.col("event_type") == "purchase", F.lit("{}").cast("binary")).otherwise(F.lit("?").cast("binary"))
+    return e.groupBy("event_type", C.sniffed(blob)["format"].alias("format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(z AS INTEGER) AS z, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM (SELECT *, unnest(generate_series(0, 3)) AS y FROM (SELECT 2 AS z, unnest(generate_series(0, 3)) AS x))")
+def q70_curve_order(spark, sf):
+    from geoloom.operators.tiles import in_curve_order
+
+    return in_curve_order(grids.tiles(spark, grids.web_mercator(), 2, 2), 4).select("z", "x", "y")
+
+
+@query(f"SELECT fid, n_lines, CAST(x0 AS DOUBLE) AS x0 FROM (SELECT fid, CAST(count(*) AS BIGINT) AS n_lines, min(x) AS x0 FROM {OL_POINTS} GROUP BY fid)")
+def q71_geometry_round_trip(spark, sf):
+    """Lines through WKB and GeoJSON: points and least abscissa of what comes back."""
+    from geoloom.functions.wkb import geojson_batches
+    from geoloom.operators.seed import lines_wkb
+
+    w = lines_wkb(X.order_lines(spark, sf), "points").select("fid", "geom").mapInArrow(geojson_batches, "fid long, geojson string")
+    parsed = w.select("fid", F.from_json(F.get_json_object("geojson", "$.coordinates"), "array<array<double>>").alias("c"))
+    return parsed.select("fid", F.size("c").cast("long").alias("n_lines"), F.array_min(F.transform("c", lambda p: p[0])).alias("x0"))
+
+
+@query(f"SELECT z, x, y, CAST(count(*) AS BIGINT) AS changes FROM (SELECT CAST(z AS INTEGER) AS z, CAST(floor((x + {_O}) / {_W}) AS BIGINT) AS x, CAST(floor(({_O} - y) / {_W}) AS BIGINT) AS y FROM {EV}, (SELECT unnest([2, 4]) AS z)) GROUP BY ALL")
+def q72_changed_tiles(spark, sf):
+    """Changes by tile, over all windows of the change stream's aggregation."""
+    from geoloom.streaming.invalidation import changed_tiles
+
+    e = X.event_points(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return changed_tiles(e, [2, 4]).groupBy("z", "x", "y").agg(F.sum("changes").alias("changes"))
