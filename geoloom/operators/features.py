@@ -289,6 +289,31 @@ def extent(c: Collection) -> DataFrame:
     return c.frame.agg(F.min(x0).alias("xmin"), F.min(y0).alias("ymin"), F.max(x1).alias("xmax"), F.max(y1).alias("ymax"))
 
 
+#: Names by which a table's columns are taken for coordinates.
+COORDINATES = (("x", "y"), ("lon", "lat"), ("longitude", "latitude"), ("lng", "lat"))
+SIDES = ("xmin", "ymin", "xmax", "ymax")
+
+
+def detect(name: str, df: DataFrame) -> Collection:
+    """A collection of a table by its columns: the first fitting geometry, and a key called id or fid."""
+    low = {c.lower(): c for c in df.columns}
+    key = next((low[k] for k in ("fid", "id", f"{name.lower()}_id", "ogc_fid", "gid") if k in low), None)
+    shape = next((low[g] for g in ("geometry", "geom", "wkb_geometry", "the_geom") if g in low), None)
+    if shape and all(s in low for s in SIDES):
+        return Collection(name, df, key, envelope=tuple(low[s] for s in SIDES), geometry=shape)
+    for x, y in COORDINATES:
+        if x in low and y in low:
+            return Collection(name, df, key, low[x], low[y])
+    raise FeatureError(f"{name} has no geometry")
+
+
+def scan_catalog(inventory: Inventory, database: str | None = None) -> None:
+    """Add the tables and views of a database that have a geometry; the others are kept as warnings."""
+    spark = inventory.spark
+    found = {t.name: t for t in spark.catalog.listTables(database)}
+    inventory.scan(found, lambda n, t: detect(n, spark.table(n if t.isTemporary or not database else f"{database}.{n}")))
+
+
 class Inventory:
     """Collections by name; a later one takes a name over."""
 

@@ -186,6 +186,16 @@ class Router:
         return geojson(line) if form == "geojson" else valhalla(self.spark, line, points, cost)
 
 
+def save(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as Parquet: nodes, and edges by source."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.repartition("src").sortWithinPartitions("src").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def load(spark: SparkSession, path: str, search: float = SEARCH) -> Router:
+    return Router(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"), search)
+
+
 def geojson(line: list[tuple[float, float]]) -> dict:
     return {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "LineString", "coordinates": [list(p) for p in line]}}]}
 

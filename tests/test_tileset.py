@@ -1,0 +1,65 @@
+import pytest
+
+from geoloom.__main__ import main
+from geoloom.functions import mvt
+from geoloom.operators import features as feat
+from geoloom.operators import routing
+from geoloom.operators.features import FilterParams, Inventory
+from geoloom.operators.layers import Layer, TileQuery
+from geoloom.operators.tileset import TileNotFound, Tileset
+from geoloom.sources.stores import Store
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    rows = [(i, (i % 10) * 3.9e6 - 1.8e7, (i // 10) * 3.9e6 - 1.8e7, f"k{i % 3}", i * 1.5) for i in range(100)]
+    spark.createDataFrame(rows, "fid long, x double, y double, kind string, v double").createOrReplaceTempView("spots")
+    return "spots"
+
+
+def names(tile):
+    return {n: sorted(f["id"] or 0 for f in l["features"]) for n, l in mvt.read(tile).items()}
+
+
+def test_tiles(spark, table, tmp_path):
+    layer = Layer("spots", table, geometry_type="POINT", fid="fid", buffer=0)
+    by_kind = Layer("kinds", geometry_type="POINT", fid="fid", minzoom=1, queries=(TileQuery(0, None, "SELECT * FROM spots WHERE kind = !kind!"),))
+    t = Tileset("t", [layer, by_kind], diagnostics=True, maxzoom=3, ages=[(0, 2, 9)])
+    got = mvt.read(t.tile(spark, 0, 0, 0))
+    assert len(got["spots"]["features"]) == 100 and got["diagnostics"]["features"][0]["properties"]["layer1"] == "spots"
+    one = names(t.tile(spark, 1, 0, 0, FilterParams(filters={"kind": "k1"})))
+    assert set(one["kinds"]) < set(one["spots"]) and all(i % 3 == 1 for i in one["kinds"])
+    with pytest.raises(TileNotFound):
+        t.tile(spark, 0, 1, 0)
+    assert t.max_age(1) == 9 and t.max_age(3) is None
+    plain = Tileset("p", [layer], store=Store.of(f"{tmp_path}/p.pmtiles"), maxzoom=2)
+    made = plain.seed(spark)
+    for r in made.where("z = 2").collect():
+        assert names(r.data) == names(plain.tile(spark, r.z, r.x, r.y)) == names(plain.tile_cached(spark, r.z, r.x, r.y))
+    kept = []
+    assert plain.tile_cached(spark, 3, 0, 0, put=kept.append) == (kept[0] if kept else b"")
+    assert plain.tilejson(spark, "u")["vector_layers"][0]["fields"] == {"kind": "String", "v": "Number"}
+    assert plain.stylejson("u")["layers"][1]["type"] == "circle" and "vector_layers" in plain.metadata(spark)["json"]
+    with pytest.raises(ValueError, match="variables"):
+        t.sources(spark)
+
+
+def test_command(spark, table, tmp_path):
+    (tmp_path / "c.toml").write_text('[[tileset]]\nname = "t"\n[[tileset.layer]]\nname = "spots"\ntable = "spots"\nfid = "fid"')
+    assert main(["seed", str(tmp_path / "c.toml"), "t", "--maxzoom", "1", "--path", str(tmp_path / "out")]) == 0
+    assert main(["seed", str(tmp_path / "c.toml"), "t", "--maxzoom", "1", "--path", str(tmp_path / "out")]) == 0
+    assert (tmp_path / "out/1/1/1.pbf").exists()
+    assert main(["upload", str(tmp_path / "out"), f"file://{tmp_path}/up"]) == 0
+    assert (tmp_path / "up/1/1/1.pbf").read_bytes() == (tmp_path / "out/1/1/1.pbf").read_bytes()
+
+
+def test_catalog_and_graph(spark, table, tmp_path):
+    inv = Inventory(spark)
+    spark.range(3).createOrReplaceTempView("plain_numbers")
+    feat.scan_catalog(inv)
+    assert inv.get("spots").key == "fid" and inv.get("spots").x == "x"
+    assert any("plain_numbers" in w for w in inv.warnings)
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0)], "id long, x double, y double")
+    routing.save(nodes, routing.both_ways(spark.createDataFrame([(1, 2, 5)], "src long, dst long, weight long")), f"{tmp_path}/g")
+    line = routing.load(spark, f"{tmp_path}/g").route([(0.0, 0.0), (1.0, 0.0)])["features"][0]["geometry"]["coordinates"]
+    assert line == [[0.0, 0.0], [1.0, 0.0]]
