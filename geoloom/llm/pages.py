@@ -61,11 +61,14 @@ _ROLE = re.compile(r"(?i)(?:^|\s)role\s*=\s*[\"']?(navigation|banner|contentinfo
 _ROLE_BODY = re.compile(r"(?i)(?:^|\s)role\s*=\s*[\"']?(main|article)\b")
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
 
-NO, CHROME, SOFT, BODY = 0, 1, 2, 3
+#: Class names and ids that stand for a body where a page has no better one.
+_WEAK = re.compile(r"(?i)(?:^|\s)(?:content|main|main-content|maincontent|article|article-body|article-content|post|post-content|post-body|entry|entry-content|story|story-body|page-content)(?:$|\s)")
+
+NO, CHROME, SOFT, BODY, WEAK = range(5)
 
 
 def _kind(name: str, attrs: str, in_body: bool) -> int:
-    """CHROME, SOFT (chrome by its names, in which a body may still open), BODY or NO."""
+    """CHROME, SOFT (chrome by its names, in which a body may still open), BODY, WEAK (body by its names) or NO."""
     if name in _CHROME:
         return CHROME
     if name == "header":
@@ -79,34 +82,41 @@ def _kind(name: str, attrs: str, in_body: bool) -> int:
         return CHROME
     if names and _MARKED.search(names):
         return CHROME if _COMMENT.search(names) else SOFT
-    return NO
+    return WEAK if names and _WEAK.search(names) else NO
+
+
+def _state(stack: list[tuple[str, int]]) -> int:
+    """What text under the open elements is: the last of body and chrome by names, but chrome proper always."""
+    z = NO
+    for _, kind in stack:
+        if kind == CHROME:
+            return CHROME
+        if kind in (SOFT, BODY) or (kind == WEAK and z == NO):
+            z = kind
+    return z
 
 
 def blocks(page: str | None) -> tuple[list[str], bool]:
     """The page's text blocks without chrome, and whether they are its body (else open)."""
     page = page or ""
-    body: list[str] = []
-    open_: list[str] = []
+    found: dict[int, list[str]] = {BODY: [], WEAK: [], NO: []}
     stack: list[tuple[str, int]] = []
     run: list[str] = []
-    zone = NO  # of the text that comes: NO is open
+    zone = run_zone = NO
 
-    def state() -> int:
-        z = NO
-        for _, kind in stack:
-            if kind == CHROME:
-                return CHROME
-            if kind != NO:
-                z = kind
-        return z
+    def text(t: str) -> None:
+        nonlocal run_zone
+        if zone in found:
+            if not run:
+                run_zone = zone
+            run.append(t)
 
     def flush() -> None:
         if run:
-            if zone in (NO, BODY):
-                t = "".join(run)
-                t = " ".join((_html.unescape(t) if "&" in t else t).split())
-                if t:
-                    (body if zone == BODY else open_).append(t)
+            t = "".join(run)
+            t = " ".join((_html.unescape(t) if "&" in t else t).split())
+            if t:
+                found[run_zone].append(t)
             run.clear()
 
     at = 0
@@ -114,51 +124,54 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         if m.start() < at:
             continue
         if m.start() > at:
-            run.append(page[at : m.start()])
+            text(page[at : m.start()])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
         closing, attrs = m[1], m[3]
+        block = name in _BLOCK
         if not closing and name in _RAW:
-            if attrs.endswith("/") and name == "iframe":
-                continue
             end = re.compile(rf"(?i)</{name}\s*>").search(page, at)
             at = end.end() if end else len(page)
             continue
         if name == "br":
-            run.append(" ")
+            text(" ")
             continue
-        block = name in _BLOCK
         if closing:
+            if block:
+                flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    flush()
                     del stack[k:]
-                    zone = state()
+                    zone = _state(stack)
                     break
-            else:
-                if block:
-                    flush()
             continue
         kind = _kind(name, attrs, zone == BODY)
         if not block and kind == NO:
             continue
-        flush()
         if block:
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            flush()
+            # An open paragraph ends, whatever phrase is still open in it.
+            k = len(stack)
+            while k and stack[k - 1][0] not in _BLOCK:
+                k -= 1
+            if k and stack[k - 1][0] == "p":
+                del stack[k - 1 :]
             ends = _ENDS.get(name)
             while ends and stack and stack[-1][0] in ends:
                 stack.pop()
         if name not in _VOID and not attrs.endswith("/"):
             stack.append((name, kind))
-        zone = state()
+        zone = _state(stack)
     if at < len(page):
-        run.append(page[at:])
+        text(page[at:])
     flush()
-    return (body, True) if body else (open_, False)
+    for kind in (BODY, WEAK):
+        if found[kind]:
+            return found[kind], True
+    return found[NO], False
 
 
 def suffix_intervals(ids: np.ndarray, length: int) -> np.ndarray:

@@ -17,6 +17,10 @@ def test_blocks():
     assert blocks("<div>a<script>x</div><p>y") == (["a"], False)
     assert blocks("<div class=cookie-banner>no<p>no</div><div>yes</div>") == (["yes"], False)
     assert blocks("<article class='comment'>no</article><main>yes</main>") == (["yes"], True)
+    assert blocks("<p>one <span class='ad'>buy</span> two<p>three <span class=share>x<p>four") == (["one two", "three", "four"], False)
+    assert blocks("<div>top</div><div id=content><p>yes</p></div><div class=sidebar><div class=content>no</div></div>") == (["yes"], True)
+    assert blocks("<div class=content><div>no</div><article>yes</article></div>") == (["yes"], True)
+    assert blocks("<div class='menu wide'><article>yes</article></div><nav><article>no</article></nav>") == (["yes"], True)
 
 
 def test_suffix_intervals():
