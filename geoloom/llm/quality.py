@@ -113,11 +113,11 @@ def statistics(text: Column) -> Column:
     )
 
 
-def compile_rules(rules=RULES) -> Column:
-    """The names of the rules that a row of statistics fails, as one array expression."""
+def compile_rules(rules=RULES, value=F.col) -> Column:
+    """The names of the rules that a row of statistics fails, as one array expression; value gives a statistic by name."""
     failed = []
     for r in rules:
-        top, bottom = 100 * F.col(r.top), F.col(r.bottom)
+        top, bottom = 100 * value(r.top), value(r.bottom)
         bad = F.lit(False)
         if r.least is not None:
             bad = bad | (top < r.least * bottom)
@@ -127,22 +127,35 @@ def compile_rules(rules=RULES) -> Column:
     return F.filter(F.array(*failed), lambda x: x.isNotNull())
 
 
+def _base_failed(min_words: int, max_repeat: int, value=F.col) -> Column:
+    return (value("n_words") < min_words) | (100 * value("n_repeat_words") > max_repeat * value("n_words"))
+
+
 def measure(docs: DataFrame, rules=RULES, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """doc_id, the statistics, base_failed, the failed rules and kept, a row per input row."""
     s = docs.select("doc_id", statistics(F.col("text")).alias("s"))
     s = s.select("doc_id", "s.w.*", "s.l.*", "s.word_chars", "s.n_symbols")
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    s = s.select("*", base.alias("base_failed"), compile_rules(rules).alias("failed_rules"))
+    s = s.select("*", _base_failed(min_words, max_repeat).alias("base_failed"), compile_rules(rules).alias("failed_rules"))
     return s.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def passes(text: Column, rules=RULES, min_words: int = MIN_WORDS, max_repeat: int = MAX_REPEAT) -> Column:
+    """Whether a text passes, as one expression.
+
+    The statistics are bound to a variable: as columns of a subquery they would be pulled into
+    a filter, and computed anew wherever it names one.
+    """
+
+    def judged(s: Column) -> Column:
+        value = lambda n: s[n] if n in ("word_chars", "n_symbols") else s["l"][n] if "_line" in n else s["w"][n]
+        return ~_base_failed(min_words, max_repeat, value) & (F.size(compile_rules(rules, value)) == 0)
+
+    return let(statistics(text), judged)
+
+
 def filter_documents(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that pass, with all their columns."""
-    names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), statistics(F.col("text")).alias("s"))
-    flat = inner.select("row", "s.w.*", "s.l.*", "s.word_chars", "s.n_symbols")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return flat.where(~base & (F.size(compile_rules(rules)) == 0)).select("row.*")
+    return docs.where(passes(F.col("text"), rules))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
