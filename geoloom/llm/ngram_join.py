@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoloom.llm import bloom
 from geoloom.llm import text as T
 from geoloom.llm.components import checkpoint, components
 from geoloom.llm.hot import frequent, member
@@ -304,7 +305,15 @@ def verified(rows: DataFrame, members: DataFrame, k: int, percent: int) -> DataF
                             size = 0
             yield _part_batch(out)
 
-    parts = rows.select("node", "text").join(tiled, "node").mapInArrow(cut, _PART)
+    # Texts of no candidate are left out before the shuffle; the join is what decides.
+    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(members.select(F.xxhash64("class").alias("h"))))
+
+    def likely(batches):
+        for b in batches:
+            yield b.filter(pa.array(bloom.possible(bits.value, np.asarray(b.column("h")))))
+
+    near = rows.select("node", F.xxhash64("node").alias("h"), "text").mapInArrow(likely, "node long, h long, text string").drop("h")
+    parts = near.join(tiled, "node").mapInArrow(cut, _PART)
     keys = ["group", "p", "q", "fragment"]
     counts = parts.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "class").mapInArrow(_partial, _COUNTS)
     keys = keys[:3]

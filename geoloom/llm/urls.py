@@ -7,8 +7,8 @@ filter; only possible hits go, by distinct address, to a hash join with the exac
 removes false positives.  The longest rule wins; among rules of one length the longer host, then
 block over allow.
 
-The filter has ``BLOCKS`` blocks of 512 bits whatever the lists' size (32 MB), so what is
-broadcast is bounded; a filter that is too full only lets more rows through to the join.
+The filter has the same size whatever the lists' size (32 MB), so what is broadcast is bounded;
+one that is too full only lets more rows through to the join.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no
 rule; a rule's path must be a prefix of the url's, so an empty path fits none.  Repeated pages
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.llm import bloom
+
 #: (verdict, host, path prefix)
 RULES = (
     ("allow", "org", "/"),
@@ -41,10 +43,6 @@ LISTED = (
     ("adult-x.example.com", "/"),
 )
 
-BLOCKS = 1 << 19
-PROBES = 8
-
-
 def address(url: Column) -> tuple[Column, Column]:
     """Canonical host and path."""
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
@@ -54,33 +52,6 @@ def address(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each hash and its eight-word mask, one bit in each word."""
-    h = h.astype(np.uint64)
-    block = (h >> np.uint64(32)) % np.uint64(BLOCKS)
-    low = h & np.uint64(0xFFFFFFFF)
-    salts = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint64)
-    bit = ((low[:, None] * salts[None, :PROBES]) & np.uint64(0xFFFFFFFF)) >> np.uint64(26)
-    return block.astype(np.int64), np.uint64(1) << bit
-
-
-def build_filter(keys: DataFrame) -> np.ndarray:
-    """The blocked filter of a column ``key``; blocks are merged in Spark, so at most BLOCKS rows come back."""
-
-    def masks(batches):
-        for b in batches:
-            block, mask = _places(np.asarray(b.column(0)).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(block), *[pa.array(mask[:, k].view(np.int64)) for k in range(8)]], ["block", *[f"w{k}" for k in range(8)]])
-
-    words = ", ".join(f"w{k} long" for k in range(8))
-    rows = keys.select(F.xxhash64("key").alias("h")).mapInArrow(masks, f"block long, {words}")
-    merged = rows.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(8)]).toArrow()
-    out = np.zeros((BLOCKS, 8), np.uint64)
-    if merged.num_rows:
-        out[merged["block"].to_numpy()] = np.stack([merged[f"w{k}"].to_numpy() for k in range(8)], 1).view(np.uint64)
-    return out
-
-
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict, listed for each row of pages.
 
@@ -93,7 +64,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
     x = listed.where("host IS NOT NULL AND path IS NOT NULL").select(F.concat("host", "path").alias("key"), "host", "path", F.lit(None).cast("string").alias("verdict"))
     keys = r.unionByName(x).distinct()
     shapes = sorted((s.n, s.m) for s in keys.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("m")).distinct().collect())
-    bits = spark.sparkContext.broadcast(build_filter(keys))
+    bits = spark.sparkContext.broadcast(bloom.build(keys.select(F.xxhash64("key").alias("h"))))
 
     # The keys of an address, one of each shape that it is long enough for.
     n = F.size(F.split("host", r"\."))
@@ -102,9 +73,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
 
     def possible(batches):
         for b in batches:
-            block, mask = _places(np.asarray(b.column("h")).view(np.uint64))
-            hit = ((bits.value[block] & mask) == mask).all(1)
-            yield b.filter(pa.array(hit))
+            yield b.filter(pa.array(bloom.possible(bits.value, np.asarray(b.column("h")))))
 
     found = probes.withColumn("h", F.xxhash64("key")).mapInArrow(possible, "host string, path string, key string, h long")
     exact = found.drop("h").join(keys.select("key", F.length("host").alias("n"), "verdict"), "key")
