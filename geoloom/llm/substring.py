@@ -29,7 +29,7 @@ from geoloom.llm import text as T
 from geoloom.llm.hot import frequent, member
 
 WINDOW = 20
-SEED = 10
+SEED = 7
 NULL_ID = -(1 << 63)
 #: Bytes of an edge's hash that travel beside its key.
 MARK = 6
@@ -176,6 +176,7 @@ def repeated_paths(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, text (the kept words joined by a space), a row per input row."""
+    T.bound_batches(docs)
     rows = _prepared(docs)
     paths = repeated_paths(rows, window, seed).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
 
