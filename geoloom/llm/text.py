@@ -8,14 +8,19 @@ columns are cut into blocks of whole documents so that the temporary arrays stay
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own bound is 64 MB for each task and direction.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -29,6 +34,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Lower the session's bound of Arrow batches to BATCH_BYTES; a lower one stays."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", str(conf.get(_BATCH_KEY)))) > BATCH_BYTES:
+        conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
