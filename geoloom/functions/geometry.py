@@ -305,3 +305,65 @@ def quantised(g: Geometry | None, box: Box, extent: int = 4096, buffer: int | No
                 polys.append([r if (area(r) > 0) == (i == 0) else r[::-1] for i, r in enumerate(rings)])
         return ("MultiPolygon", polys) if polys else None
     return None
+
+
+#: Semi-major axis and flattening of WGS 84.
+AXIS, FLATTENING = 6378137.0, 1 / 298.257223563
+
+
+def geodesic(lon1, lat1, lon2, lat2):
+    """Metres along the ellipsoid between arrays of points, by Vincenty's inverse formula.
+
+    Nearly antipodal pairs, for which it doesn't settle, get the great-circle length.
+    """
+    b = AXIS * (1 - FLATTENING)
+    u1, u2 = (np.arctan((1 - FLATTENING) * np.tan(np.radians(np.asarray(v, float)))) for v in (lat1, lat2))
+    length = np.radians(np.asarray(lon2, float) - np.asarray(lon1, float))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam = length.copy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for _ in range(100):
+            sl, cl = np.sin(lam), np.cos(lam)
+            ss = np.hypot(c2 * sl, c1 * s2 - s1 * c2 * cl)
+            cs = s1 * s2 + c1 * c2 * cl
+            sigma = np.arctan2(ss, cs)
+            sa = np.where(ss > 0, c1 * c2 * sl / ss, 0.0)
+            ca = 1 - sa**2
+            cm = np.where(ca > 0, cs - 2 * s1 * s2 / ca, 0.0)
+            k = FLATTENING / 16 * ca * (4 + FLATTENING * (4 - 3 * ca))
+            new = length + (1 - k) * FLATTENING * sa * (sigma + k * ss * (cm + k * cs * (2 * cm**2 - 1)))
+            moved = np.abs(new - lam)
+            lam = new
+            if (moved < 1e-12).all():
+                break
+        q = ca * (AXIS**2 - b**2) / b**2
+        big = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
+        small = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
+        d = small * ss * (cm + small / 4 * (cs * (2 * cm**2 - 1) - small / 6 * cm * (4 * ss**2 - 3) * (4 * cm**2 - 3)))
+        out = b * big * (sigma - d)
+    h = np.sin((np.radians(np.asarray(lat2, float) - np.asarray(lat1, float))) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(length / 2) ** 2
+    return np.where((moved < 1e-9) & np.isfinite(out), out, 2 * 6371008.8 * np.arcsin(np.sqrt(np.clip(h, 0, 1))))
+
+
+def geodesic_length(line) -> float:
+    """Metres along a line of (lon, lat)."""
+    if len(line) < 2:
+        return 0.0
+    p = np.asarray(line, float)
+    return float(geodesic(p[:-1, 0], p[:-1, 1], p[1:, 0], p[1:, 1]).sum())
+
+
+def length_batches(batches):
+    """Arrow batches of (key, points) to (key, metres along the ellipsoid): for mapInArrow; a batch is one calculation."""
+    import pyarrow as pa
+
+    for b in batches:
+        lines = b.column(1)
+        offsets = lines.offsets.to_numpy()
+        flat = lines.values
+        x, y = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y"))
+        d = geodesic(x[:-1], y[:-1], x[1:], y[1:]) if len(x) > 1 else np.zeros(0)
+        total = np.r_[0.0, np.cumsum(d)]
+        last = len(total) - 1
+        out = [float(total[min(z - 1, last)] - total[min(a, last)]) if z - a > 1 else 0.0 for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=[b.schema.names[0], "metres"])

@@ -55,12 +55,20 @@ def numbered(nodes: DataFrame) -> DataFrame:
     return nodes.select((F.row_number().over(Window.orderBy("x", "y")) - 1).cast("long").alias("id"), "x", "y")
 
 
-def edges_from_lines(lines: DataFrame, points: str = "points") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of linestrings: the ends are nodes, the great-circle length in metres the weight."""
+def edges_from_lines(lines: DataFrame, points: str = "points", ellipsoid: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of linestrings: the ends are nodes, the length rounded to metres the weight.
+
+    Lengths follow the ellipsoid, in Arrow batches, or the sphere, as expressions.
+    """
     from geoloom.functions.columns import line_length
+    from geoloom.functions.geometry import length_batches
 
-    ends = lines.where(F.size(points) >= 2).select(F.element_at(points, 1).alias("a"), F.element_at(points, -1).alias("b"), F.round(line_length(F.col(points))).cast("long").alias("weight"))
-    flat = ends.select(F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "weight")
+    real = lines.where(F.size(points) >= 2).select(F.struct(F.element_at(points, 1).alias("a"), F.element_at(points, -1).alias("b")).alias("k"), F.col(points).alias("points"))
+    if ellipsoid:
+        measured = real.mapInArrow(length_batches, f"k {real.schema['k'].dataType.simpleString()}, metres double")
+    else:
+        measured = real.select("k", line_length(F.col("points")).alias("metres"))
+    flat = measured.select(F.col("k.a.x").alias("ax"), F.col("k.a.y").alias("ay"), F.col("k.b.x").alias("bx"), F.col("k.b.y").alias("by"), F.round("metres").cast("long").alias("weight"))
     nodes = nodes_by_place(flat.select(F.col("ax").alias("x"), F.col("ay").alias("y")).unionAll(flat.select("bx", "by")))
     e = flat.select(F.xxhash64("ax", "ay").alias("src"), F.xxhash64("bx", "by").alias("dst"), "weight")
     return nodes, both_ways(e)

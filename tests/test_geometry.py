@@ -117,3 +117,15 @@ def test_projection():
         transform([0], [0], 4326, 25832)
     b = transform_box((2600000, 1200000, 2700000, 1250000), 2056, 3857, 1000)
     assert b[0] < b[2] and b[1] < b[3]
+
+
+def test_geodesic(spark):
+    dms = lambda d, m, s: d + m / 60 + s / 3600
+    a = (dms(144, 25, 29.52440), -dms(37, 57, 3.72030))
+    b = (dms(143, 55, 35.38390), -dms(37, 39, 10.15610))
+    assert abs(G.geodesic_length([a, b]) - 54972.271) < 0.02
+    assert G.geodesic_length([a]) == 0 and G.geodesic_length([a, a]) == 0
+    assert 2.0e7 < G.geodesic_length([(0, 0), (179.99, 0.01)]) < 2.01e7
+    df = spark.createDataFrame([(1, [a, b]), (2, [b]), (3, []), (4, [a, b, a])], "k long, p array<struct<x: double, y: double>>")
+    got = {r.k: r.metres for r in df.mapInArrow(G.length_batches, "k long, metres double").collect()}
+    assert abs(got[1] - 54972.271) < 0.02 and got[2] == got[3] == 0 and abs(got[4] - 2 * got[1]) < 1e-3

@@ -38,6 +38,9 @@ def test_router(spark):
     lines = spark.createDataFrame([([(9.0, 47.0), (9.05, 47.1), (9.1, 47.0)],), ([(9.1, 47.0), (9.2, 47.0)],), ([(20.0, 1.0), (21.0, 1.0)],)], "points array<struct<x: double, y: double>>")
     nodes, edges = routing.edges_from_lines(lines)
     assert nodes.count() == 5 and edges.count() == 6
+    round_ = routing.edges_from_lines(lines, ellipsoid=False)[1]
+    pairs = edges.join(round_.withColumnRenamed("weight", "w"), ["src", "dst"]).collect()
+    assert len(pairs) == 6 and all(0 < abs(r.weight - r.w) < 0.006 * r.w for r in pairs)
     r = routing.Router(nodes, edges)
     got = r.route([(9.01, 47.0), (9.19, 47.01)])
     assert got["features"][0]["geometry"]["coordinates"] == [[9.0, 47.0], [9.1, 47.0], [9.2, 47.0]]
