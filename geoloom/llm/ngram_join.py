@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions.checkpoints import checkpoint
 from geoloom.llm import bloom
 from geoloom.llm import text as T
-from geoloom.llm.components import checkpoint, components
+from geoloom.llm.components import components
 from geoloom.llm.hot import frequent, member
 
 NULL_ID = -(1 << 63)
@@ -334,7 +335,10 @@ def _judged(rows: DataFrame, k: int, percent: int) -> DataFrame:
     classes = checkpoint(_classes(rows, k))
     groups = candidates(rows, classes, k, percent)
     members = classes.where(F.col("node") == F.col("class")).select("class", "n", "copies").dropDuplicates(["class"]).join(groups, "class")
-    links = checkpoint(verified(rows, checkpoint(members), k, percent))
+    # Equal rows have one node; a class must come once to its tiles.
+    again = classes.groupBy("node").count().where("count > 1").limit(1).count()
+    once = rows.dropDuplicates(["node"]) if again else rows
+    links = checkpoint(verified(once, checkpoint(members), k, percent))
     parts = components(links).select(F.col("node").alias("class"), "component")
     degree = links.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("more"))
     out = classes.join(parts, "class", "left").join(degree, "class", "left")

@@ -43,6 +43,12 @@ def test_tiles(spark, monkeypatch):
     assert sorted(map(tuple, join(frame(spark, rows), 3, 80).collect())) == brute(rows, 3, 80)
 
 
+def test_repeated_rows(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(base))] * 3 + [(6, " ".join(base[1:]))] * 2 + [(7, " ".join(base[2:]))]
+    assert sorted(map(tuple, join(frame(spark, rows), 4, 85).collect())) == brute(rows, 4, 85)
+
+
 def test_edges(spark):
     t = "a b c d e f g"
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_shingles, r.n_links) for r in join(frame(spark, [(5, t), (5, t), (None, t), (5, "z"), (6, None), (7, "")]), 4, 85).collect())
