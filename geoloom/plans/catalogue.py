@@ -424,7 +424,7 @@ _sql("q43_inner_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regio
 _sql("q44_left_join", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 300000")
 _sql("q45_full_join", "SELECT n_nationkey, s_suppkey FROM nation FULL OUTER JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) s ON s_nationkey = n_nationkey AND n_nationkey < 20")
 _sql("q46_semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", None)
-_sql("q47_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("q47_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 _sql("q48_right_join", "SELECT s_suppkey, n_name FROM (SELECT * FROM supplier WHERE s_acctbal < 0) s RIGHT JOIN nation ON s_nationkey = n_nationkey")
 _sql("q49_group_having", "SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS quantity, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10")
 _sql("q50_cube", "SELECT event_type, CAST(user_id % 3 AS BIGINT) AS g, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY CUBE (event_type, user_id % 3)", "SELECT event_type, g, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type, user_id % 3 AS g FROM events) GROUP BY CUBE (event_type, g)")
