@@ -10,7 +10,7 @@ over them.  Bytes stand for foreign characters.
 
 Defined results: null and empty texts have the end id only and decode to an empty text;
 repeated rows are encoded separately; only the id and text columns are read, and other columns
-are dropped.  Memory: one Arrow batch, a chunk memo of at most ``MEMO`` entries.
+are dropped.  Memory: one Arrow batch, and memos of chunks and pairs of at most twice ``MEMO`` entries.
 """
 
 from __future__ import annotations
@@ -18,15 +18,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Entries kept of encoded chunks and of judged pairs, each; a full memo is emptied.
-MEMO = 400_000
+from geoloom.llm.text import bound_batches
+
+#: Entries of each of the two generations of encoded chunks and of judged pairs; a full young one takes the old one's place.
+MEMO = 300_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -57,15 +58,23 @@ class Codec:
             raise ValueError("a piece holds a word mark after another character")
         self.known = set("".join(self.id_of)) & set(self.id_of)
         self.trie = ahocorasick.Automaton()
-        for p, i in self.id_of.items():
+        #: Pieces by their characters; one that no merges lead to is never taken.
+        self.taken = {p: i for p, i in self.id_of.items() if self.merged(p) == [i]}
+        self.size = [len(p) for p in self.text_of]
+        self.longest_size = max(map(len, self.taken))
+        #: The next shorter piece that a piece begins with.
+        self.shorter: dict[int, int | None] = {i: next((self.taken[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.taken), None) for p, i in self.taken.items()}
+        for p, i in self.taken.items():
             self.trie.add_word(p, (i, len(p)))
         self.trie.make_automaton()
         # A line end that is in no longer piece is a chunk by itself: fewer chunks differ.
         longer = set("".join(p for p in self.id_of if len(p) > 1))
         alone = "".join(c for c in "\n\r" if c not in longer)
         self.chunks = re.compile((f"[{alone}]|" if alone else "") + f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+")
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.memo: dict[str, tuple[int, str, str | None]] = {}
+        self.old_memo: dict[str, tuple[int, str, str | None]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
 
     # -- encoding ---------------------------------------------------------------
 
@@ -79,54 +88,62 @@ class Codec:
                 if i is not None and (best is None or self.score[i] > best):
                     best, at = self.score[i], k
             if best is None:
-                return [self.id_of[p] for p in parts]
+                return [self.id_of.get(p, -1) for p in parts]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def fits(self, a: int, b: int) -> bool:
-        key = (a, b)
+        key = a << 32 | b
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
+                self.old_pairs, self.pairs = self.pairs, {}
+            if (known := self.old_pairs.get(key)) is None:
+                known = self.merged(self.text_of[a] + self.text_of[b]) == [a, b]
+            self.pairs[key] = known
         return known
 
     def backtrack(self, chars: str) -> list[int]:
         """Ids of a string of known characters."""
-        whole = self.id_of.get(chars)
-        if whole is not None and (len(chars) == 1 or self.whole(chars, whole)):
-            return [whole]
-        n = len(chars)
-        at: list[list[int]] = [[] for _ in range(n)]  # pieces that start at a position, the longest last
-        for end, (i, size) in self.trie.iter(chars):
-            at[end + 1 - size].append(i)
-        size_of = self.text_of
-        alive = (1 << (n + 1)) - 1
-        ids: list[int] = []
-        tries: list[int] = []  # for each taken piece, its place in its start's list
-        pos, place = 0, len(at[0]) - 1
-        while pos < n:
-            taken = False
-            while place >= 0:
-                i = at[pos][place]
-                end = pos + len(size_of[i])
-                if alive >> end & 1 and (not ids or self.fits(ids[-1], i)):
-                    ids.append(i)
-                    tries.append(place)
-                    pos, taken = end, True
-                    place = len(at[pos]) - 1 if pos < n else -1
+        # The search's first try: the longest piece at each place.  Where all neighbours fit, it ends here.
+        ids = [v[0] for _, v in self.trie.iter_long(chars)]
+        known, last = self.pairs, ids[0]
+        for i in ids[1:]:
+            fit = known.get(last << 32 | i)
+            if fit is None:
+                fit = self.fits(last, i)
+                known = self.pairs
+            if not fit:
+                break
+            last = i
+        else:
+            return ids
+        n, size, shorter, failed = len(chars), self.size, self.shorter, bytearray(len(chars) + 1)
+        ids, pos, i = [], 0, self.longest(chars, 0)
+        while True:
+            while i is not None:
+                if not failed[pos + size[i]] and (not ids or self.fits(ids[-1], i)):
                     break
-                place -= 1
-            if not taken:
-                alive &= ~(1 << pos)
+                i = shorter[i]
+            if i is None:
+                # No way on from here: mark the place and shorten the piece before it.
+                failed[pos] = 1
                 if not ids:
                     raise ValueError(f"no encoding: {chars!r}")
-                pos -= len(size_of[ids.pop()])
-                place = tries.pop() - 1
-        return ids
-
-    @lru_cache(maxsize=65536)  # noqa: B019
-    def whole(self, chars: str, i: int) -> bool:
-        return self.merged(chars) == [i]
+                i = ids.pop()
+                pos -= size[i]
+                i = shorter[i]
+                continue
+            ids.append(i)
+            pos += size[i]
+            if pos == n:
+                return ids
+            i = self.longest(chars, pos)
+
+    def longest(self, chars: str, pos: int) -> int:
+        """The longest piece at a place: the automaton's path may go a little beyond it."""
+        n = self.trie.longest_prefix(chars[pos : pos + self.longest_size])
+        while (i := self.taken.get(chars[pos : pos + n])) is None:
+            n -= 1
+        return i
 
     def encode_chunk(self, chunk: str) -> list[int]:
         if all(c in self.known for c in chunk):
@@ -143,17 +160,24 @@ class Codec:
             ids += [self.byte_id[b] for b in c.encode("utf-8", "surrogatepass")]
         return ids + self.backtrack(run) if run else ids
 
+    def forget(self) -> None:
+        """Give the memos' memory back: a worker that waits for its next task, or does other work, holds none."""
+        for memo in (self.memo, self.old_memo, self.pairs, self.old_pairs):
+            memo.clear()
+
     def split(self, text: str) -> list[str]:
         return self.chunks.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def entry(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, the ids as decimals, the decoded characters."""
+    def entry(self, chunk: str) -> tuple[int, str, str | None]:
+        """Number of ids, the ids as decimals, the decoded characters if they aren't the chunk's own."""
         if (e := self.memo.get(chunk)) is None:
-            ids = self.encode_chunk(chunk)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            e = (len(ids), " ".join(map(str, ids)), self.pieces(ids))
+            if (e := self.old_memo.get(chunk)) is None:
+                ids = self.encode_chunk(chunk)
+                plain = self.pieces(ids)
+                e = (len(ids), " ".join(map(str, ids)), None if plain == chunk.replace(MARK, " ") else plain)
             if len(chunk) <= 256:
+                if len(self.memo) >= MEMO:
+                    self.old_memo, self.memo = self.memo, {}
                 self.memo[chunk] = e
         return e
 
@@ -188,13 +212,16 @@ class Codec:
         """n_tokens with the end id, sha256 of the ids, sha256 of the decoded text."""
         memo = self.memo
         chunks = self.split(text or "")
-        try:
-            found = [memo[c] for c in chunks]
-        except KeyError:
-            found = [self.entry(c) for c in chunks]
+        found = [memo.get(c) for c in chunks]
+        if None in found:
+            found = [e or self.entry(c) for e, c in zip(found, chunks, strict=True)]
         n = sum([e[0] for e in found]) + 1
         ids = " ".join([e[1] for e in found] + [str(self.eos)])
-        plain = "".join([e[2] for e in found]).removeprefix(" ")
+        own = [e[2] for e in found]
+        if own.count(None) == len(own):
+            plain = (text or "").replace(MARK, " ")
+        else:
+            plain = "".join([c.replace(MARK, " ") if p is None else p for c, p in zip(chunks, own, strict=True)]).removeprefix(" ")
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()
 
 
@@ -202,7 +229,7 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """One codec for a Python worker, so that its memo outlives a task."""
+    """One codec for a Python worker; a task empties its memos when it ends."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
@@ -223,7 +250,9 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
         for b in batches:
             rows = list(_rows(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.encode(t) for _, t in rows], pa.list_(pa.int32()))], ["key", "ids"])
+        c.forget()
 
+    bound_batches(df)
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
@@ -253,7 +282,9 @@ def digests(df: DataFrame, path: str) -> DataFrame:
                 i.append(x[1])
                 d.append(x[2])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i), pa.array(d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
+    bound_batches(df)
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -270,7 +301,9 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 part = b.slice(k, 256)
                 ids = [c.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["row", "token_ids", "decoded"])
+        c.forget()
 
+    bound_batches(docs)
     names = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
     kind = rows.schema["row"].dataType
