@@ -277,11 +277,12 @@ def _clean(batches) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
+    T.bound_batches(pages)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = {r.host: -(-r.n // (4 * GROUP)) for r in counts.where(F.col("n") > max(4 * GROUP, total // HOT_SHARE)).collect()}
+    hot = {r.host: -(-5 * r.n // (4 * GROUP)) for r in counts.where(F.col("n") > max(4 * GROUP, total // HOT_SHARE)).collect()}
     shards = F.lit(1)
     if hot:
         table = F.create_map(*[x for h, n in hot.items() for x in (F.lit(h), F.lit(n))])
