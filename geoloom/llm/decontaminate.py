@@ -11,7 +11,8 @@ if a stretch of it is within ``floor(n * EDITS / 100)`` word edits of the item.
 3. ``SAMPLES`` times on each of ``WALKS`` walks, ``BITS`` places are sampled; a window that
    agrees with the item on all places of a sample is a candidate.  At these settings a leak at
    the limit is found with probability above 0.99 (see the tests).
-4. A candidate is verified by the exact edit distance to the best stretch of the neighbourhood.
+4. Candidates are verified by the exact edit distance to the best stretch of their neighbourhood;
+   neighbourhoods that overlap are one.
 
 Items are taken ``ITEM_BLOCK`` at a time, so what is broadcast is bounded; documents are scanned
 in place, and nothing is shuffled but the leaks.
@@ -167,18 +168,19 @@ class Items:
             same = embed(wins, walk) == mine[None, :]
             for p in places[walk]:
                 hit |= same[:, p].all(1)
-        last = -1
-        for i in np.flatnonzero(hit):
-            d = int(doc[i])
+        # Neighbourhoods that overlap are verified as one, so none is left out.
+        hits = np.flatnonzero(hit)
+        if not len(hits):
+            return
+        lo, hi = np.maximum(spots[hits] - e, w.first[doc[hits]]), np.minimum(spots[hits] + n + e, w.first[doc[hits] + 1])
+        cuts = np.flatnonzero((doc[hits][1:] != doc[hits][:-1]) | (lo[1:] > hi[:-1])) + 1
+        for a, z in zip(np.r_[0, cuts], np.r_[cuts, len(hits)], strict=True):
+            d = int(doc[hits[a]])
             if (d, k) in found and found[d, k][0] == 0:
                 continue
-            lo, hi = max(int(spots[i]) - e, int(w.first[d])), min(int(spots[i]) + n + e, int(w.first[d + 1]))
-            if (d, lo) == last:
-                continue
-            last = (d, lo)
-            dist, end = stretch_distance(x, h[lo:hi])
+            dist, end = stretch_distance(x, h[lo[a] : hi[z - 1]])
             if dist <= e:
-                start = lo + end - int(w.first[d])
+                start = int(lo[a]) + end - int(w.first[d])
                 best = found.get((d, k))
                 if best is None or (dist, start) < best:
                     found[d, k] = (dist, start)

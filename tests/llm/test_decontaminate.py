@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from geoloom.llm import text as T
 from geoloom.llm.decontaminate import EDITS, Items, clean, leaks, stretch_distance
@@ -66,6 +67,25 @@ def test_recall_at_the_limit():
     assert hits >= 0.99 * n
 
 
+@pytest.mark.parametrize("place", ["whole", "start", "end"])
+@pytest.mark.parametrize("edit", ["insert", "delete", "mixed"])
+def test_recall_at_the_edges(place, edit):
+    rnd, hits, n = random.Random(5), 0, 0
+    vocab = [f"w{i}" for i in range(500)]
+    for _ in range(100):
+        x = [rnd.choice(vocab) for _ in range(rnd.randrange(15, 60))]
+        y = list(x)
+        for p in sorted(rnd.sample(range(len(x)), len(x) * EDITS // 100), reverse=True):
+            kind = rnd.choice(["insert", "delete", "replace"]) if edit == "mixed" else edit
+            y[p : p + (kind != "insert")] = [] if kind == "delete" else ["edited"]
+        other = [rnd.choice(vocab) for _ in range(50)]
+        doc = {"whole": y, "start": y + other, "end": other + y}[place]
+        ws = T.blocks(pa.array([" ".join(other), " ".join(doc), " ".join(other)]))
+        hits += any(d == 1 for w in ws for d, *_ in Items([0], [" ".join(x)]).leaks(w))
+        n += 1
+    assert hits >= 0.97 * n
+
+
 def test_stretch():
     rnd = random.Random(1)
     for _ in range(100):
