@@ -1,18 +1,18 @@
-"""HTML extraction with a suffix array over a host's pages (operator 8).
+"""HTML extraction with suffix arrays and host-wide counts of runs (operator 8).
 
 A page is parsed once into blocks of text.  Blocks in menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments and hidden elements are chrome and go; blocks
 in an article or main element are body; what a page without body has outside chrome is open.
 
-Pages are then dealt by host.  The token streams of ``GROUP`` pages of a host are concatenated,
-and their suffixes sorted by prefix doubling; an interval of the suffix array with a common
-prefix of ``RUN`` tokens that spans several distinct pages is a repeated run.  In open blocks a
-run on ``OPEN_PAGES`` distinct pages is boilerplate; in the body, where quoted passages and
-copies repeat too, only a run on half of the distinct pages and ``BODY_PAGES`` at least.  Covered
-tokens are removed, unique runs stay.  Copies count as one page.
-
-Hosts with more than 1 / 10,000 of all pages (at most 10,000 hosts, so the list is bounded) are
-dealt over several tasks by page; groups follow page_id, so results don't depend on partitions.
+Pages are then dealt to blocks of about ``BLOCK_PAGES`` by host and text, so copies meet and a
+large host is spread.  In a block the token streams are concatenated and their suffixes sorted by
+prefix doubling; an interval of the suffix array with a common prefix of ``RUN`` tokens is a run,
+and its distinct pages of a host are counted.  Blocks send these counts by the run's hash; the
+sums over all blocks that reach the least count go back to the blocks that hold the run, so a
+run's distinct pages are those of the whole host, whatever its size.  In open blocks a run on
+``OPEN_PAGES`` distinct pages is boilerplate; in the body, where quoted passages and copies repeat
+too, only a run on half of the distinct pages and ``BODY_PAGES`` at least.  Covered tokens are
+removed, unique runs stay.  Copies count as one page; runs are equal by 64 bits of hash.
 
 Defined results: null or empty html and pages without text give an empty text; unclosed tags,
 unclosed comments and cut-off pages are read as far as they go; null urls are one host;
@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,12 @@ from pyspark.sql import functions as F
 
 from geoloom.llm import text as T
 
-GROUP = 256
-GROUP_BYTES = 4 << 20
+BLOCK_PAGES = 256
+#: Buckets that the runs of all blocks are summed in, one for so many pages.
+BUCKET_PAGES, MOST_BUCKETS = 2000, 2048
 RUN = 8
 OPEN_PAGES = 3
 BODY_PAGES = 10
-HOT_SHARE = 10_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -192,105 +193,185 @@ def suffix_intervals(ids: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def clean_group(texts: list[list[str]], body: list[bool]) -> list[list[str]]:
-    """The blocks of a group of pages of one host without boilerplate."""
+@dataclass
+class Runs:
+    """The runs of a block of pages: each position's run, and keys and distinct pages of each run of a host."""
+
+    flat: list[str]
+    page: np.ndarray  # page of each text block
+    first: np.ndarray  # word offset of each text block
+    of_page: np.ndarray  # page of each word
+    at: np.ndarray  # words at which a run begins
+    which: np.ndarray  # their runs
+    keys: np.ndarray
+    spans: np.ndarray
+
+
+def _pages_key(hosts: np.ndarray) -> np.ndarray:
+    """Key under which a host's distinct pages are counted."""
+    return T.mix(hosts + np.uint64(0x5851F42D4C957F2D))
+
+
+def host_pages(texts: list[list[str]], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the distinct page that each page is, keys of the hosts, their distinct pages); copies on a host are one."""
+    same: dict = {}
+    distinct = np.array([same.setdefault((int(x), tuple(t)), len(same)) for x, t in zip(hosts, texts, strict=True)], np.int64)
+    of, n = np.unique(np.array([x for x, _ in same], np.uint64), return_counts=True)
+    return distinct, _pages_key(of), n
+
+
+def runs_of(texts: list[list[str]], hosts: np.ndarray, distinct: np.ndarray) -> Runs | None:
     flat = [b for t in texts for b in t]
-    page = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     if not flat:
-        return texts
+        return None
+    page = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     words = list(T.blocks(pa.array(flat, pa.large_string()), 1 << 62))[0]
     h = words.hashes()
-    if not len(h):
-        return texts
-    of_block = np.repeat(np.arange(len(flat)), words.counts)
-    of_page = page[of_block]
-    # Copies count as one page.
-    stream = [hash(tuple(t)) for t in texts]
-    same = {}
-    distinct = np.array([same.setdefault(s, len(same)) for s in stream])
-    pages = len(same)
-    least = np.where(np.array(body), max(BODY_PAGES, -(-pages // 2)), OPEN_PAGES)
-    if pages < least.min():
-        return texts
+    if len(h) < RUN:
+        return None
+    of_page = page[np.repeat(np.arange(len(flat)), words.counts)]
     # A separator that no other page has follows each page.
     cut = np.flatnonzero(np.r_[of_page[1:] != of_page[:-1], True]) + 1
     ids = np.insert(h, cut, T.mix(np.arange(len(cut), dtype=np.uint64) + np.uint64(1 << 40)))
-    at = np.arange(len(h)) + np.searchsorted(cut, np.arange(len(h)), "right")
-    interval = suffix_intervals(ids, RUN)[at]
-    full = np.arange(len(h)) + RUN <= cut[np.searchsorted(cut, np.arange(len(h)), "right")]
-    # Distinct pages of each interval.
-    d = distinct[of_page]
-    pairs = np.unique(interval[full] * np.int64(pages) + d[full])
-    spans = np.bincount(pairs // pages, minlength=int(interval.max()) + 1)
-    boiler = full & (spans[interval] >= least[of_page])
+    place = np.arange(len(h)) + np.searchsorted(cut, np.arange(len(h)), "right")
+    at = np.flatnonzero(np.arange(len(h)) + RUN <= cut[np.searchsorted(cut, np.arange(len(h)), "right")])
+    if not len(at):
+        return None
+    interval = suffix_intervals(ids, RUN)[place[at]]
+    names, host = np.unique(hosts, return_inverse=True)
+    _, head, which = np.unique(interval * np.int64(len(names)) + host[of_page[at]], return_index=True, return_inverse=True)
+    keys = T.mix(T.windows(h, RUN)[at[head]] ^ T.mix(hosts[of_page[at[head]]]))
+    pages = np.int64(distinct.max() + 1)
+    spans = np.bincount(np.unique(which * pages + distinct[of_page[at]]) // pages, minlength=len(keys))
+    return Runs(flat, page, words.first, of_page, at, which, keys, spans)
+
+
+def without(texts: list[list[str]], body: np.ndarray, runs: Runs | None, spans: np.ndarray, pages: np.ndarray) -> list[list[str]]:
+    """The blocks without boilerplate; spans are the pages of each run and pages those of each page's host."""
+    if runs is None:
+        return texts
+    least = np.where(body, np.maximum(BODY_PAGES, -(-pages // 2)), OPEN_PAGES)
+    boiler = spans[runs.which] >= least[runs.of_page[runs.at]]
     if not boiler.any():
         return texts
-    step = np.zeros(len(h) + 1, np.int64)
-    hits = np.flatnonzero(boiler)
+    step = np.zeros(len(runs.of_page) + 1, np.int64)
+    hits = runs.at[boiler]
     np.add.at(step, hits, 1)
-    np.add.at(step, np.minimum(hits + RUN, len(h)), -1)
+    np.add.at(step, hits + RUN, -1)
     gone = np.cumsum(step[:-1]) > 0
     out: list[list[str]] = [[] for _ in texts]
-    for i, b in enumerate(flat):
-        a, z = int(words.first[i]), int(words.first[i + 1])
+    for i, b in enumerate(runs.flat):
+        a, z = int(runs.first[i]), int(runs.first[i + 1])
         if gone[a:z].any():
             b = " ".join(w for w, g in zip(b.split(), gone[a:z], strict=False) if not g)
         if b:
-            out[page[i]].append(b)
+            out[runs.page[i]].append(b)
     return out
 
 
+def clean_group(texts: list[list[str]], body: list[bool]) -> list[list[str]]:
+    """The blocks of all pages of one host without boilerplate."""
+    hosts = np.zeros(len(texts), np.uint64)
+    distinct, _, n = host_pages(texts, hosts)
+    runs = runs_of(texts, hosts, distinct)
+    return without(texts, np.array(body), runs, runs.spans if runs else np.empty(0, int), np.repeat(n, len(texts)))
+
+
 def _parse(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for k in range(0, b.num_rows, 256):
             c = b.slice(k, 256)
             parsed = [blocks(x) for x in c.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [c.column("page_id"), c.column("url"), c.column("host"), c.column("shard"), pa.array(["\n".join(x) for x, _ in parsed], pa.string()), pa.array([x for _, x in parsed])],
-                ["page_id", "url", "host", "shard", "text", "body"],
+                [c.column("page_id"), c.column("url"), c.column("host"), pa.array(["\n".join(x) for x, _ in parsed], pa.string()), pa.array([x for _, x in parsed])],
+                ["page_id", "url", "host", "text", "body"],
             )
 
 
-def _clean(batches) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    size = 0
+def _read(t: pa.Table) -> tuple[list[list[str]], np.ndarray]:
+    texts = [x.split("\n") if x else [] for x in t.column("text").to_pylist()]
+    return texts, t.column("host").to_numpy().view(np.uint64)
+
+
+_COUNTS = "bucket int, block long, keys binary, counts binary"
 
-    def done():
-        texts = clean_group([r["text"].split("\n") if r["text"] else [] for r in held], [r["body"] for r in held])
-        joined = ["\n\n".join(t) for t in texts]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r["page_id"] for r in held], pa.int64()), pa.array([r["url"] for r in held], pa.string()), pa.array(joined, pa.string()), pa.array([len(t) for t in joined], pa.int64())],
-            ["page_id", "url", "text", "n_chars"],
+
+def _counter(buckets: int):
+    def count(t: pa.Table) -> pa.Table:
+        """The block's runs with their distinct pages, and those of its hosts (below 0), by bucket."""
+        texts, hosts = _read(t)
+        distinct, keys, n = host_pages(texts, hosts)
+        n = -n.astype(np.int32)
+        runs = runs_of(texts, hosts, distinct)
+        if runs:
+            keys, n = np.r_[keys, runs.keys], np.r_[n, runs.spans.astype(np.int32)]
+        to = (keys % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        found, begin = np.unique(to[order], return_index=True)
+        parts = np.split(order, begin[1:])
+        block = t.column("block")[0].as_py()
+        return pa.table(
+            [pa.array(found, pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())],
+            ["bucket", "block", "keys", "counts"],
         )
 
-    for b in batches:
-        for k in range(0, b.num_rows, 512):
-            for r in b.slice(k, 512).to_pylist():
-                if held and ((r["host"], r["shard"]) != (held[0]["host"], held[0]["shard"]) or len(held) >= GROUP or size > GROUP_BYTES):
-                    yield done()
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["text"])
-    if held:
-        yield done()
-
-
-def extract(pages: DataFrame) -> DataFrame:
+    return count
+
+
+def _sum(t: pa.Table) -> pa.Table:
+    """For each block of a bucket the sums over all blocks of its runs that reach the least count, and of its hosts."""
+    blobs = t.column("keys").to_pylist()
+    keys = np.frombuffer(b"".join(blobs), np.uint64)
+    counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int32)
+    _, which = np.unique(keys, return_inverse=True)
+    total = np.bincount(which, counts).astype(np.int64)[which]
+    go = (total >= OPEN_PAGES) | (total < 0)
+    ends = np.cumsum([len(b) // 8 for b in blobs])
+    rows = []
+    for block, a, z in zip(t.column("block").to_pylist(), np.r_[0, ends[:-1]], ends, strict=True):
+        if go[a:z].any():
+            rows.append((block, keys[a:z][go[a:z]].tobytes(), total[a:z][go[a:z]].tobytes()))
+    block, k, n = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table([pa.array(block, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], ["block", "keys", "totals"])
+
+
+def _clean(t: pa.Table, sums: pa.Table) -> pa.Table:
+    texts, hosts = _read(t)
+    if texts:
+        keys = np.frombuffer(b"".join(sums.column("keys").to_pylist()), np.uint64)
+        total = np.abs(np.frombuffer(b"".join(sums.column("totals").to_pylist()), np.int64))
+        order = np.argsort(keys)
+        keys, total = keys[order], total[order]
+
+        def look(x: np.ndarray) -> np.ndarray:
+            i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            return np.where(keys[i] == x, total[i], 0)
+
+        distinct, _, _ = host_pages(texts, hosts)
+        runs = runs_of(texts, hosts, distinct)
+        texts = without(texts, t.column("body").to_numpy(zero_copy_only=False), runs, look(runs.keys) if runs else np.empty(0, int), look(_pages_key(hosts)))
+    joined = ["\n\n".join(x) for x in texts]
+    return pa.table(
+        [t.column("page_id").cast(pa.int64()), t.column("url").cast(pa.string()), pa.array(joined, pa.string()), pa.array([len(x) for x in joined], pa.int64())],
+        ["page_id", "url", "text", "n_chars"],
+    )
+
+
+def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     T.bound_batches(pages)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = {r.host: -(-5 * r.n // (4 * GROUP)) for r in counts.where(F.col("n") > max(4 * GROUP, total // HOT_SHARE)).collect()}
-    shards = F.lit(1)
-    if hot:
-        table = F.create_map(*[x for h, n in hot.items() for x in (F.lit(h), F.lit(n))])
-        shards = F.coalesce(F.try_element_at(table, F.col("host")), F.lit(1))
-    shard = F.pmod(F.xxhash64("page_id"), shards).cast("int")
-    parsed = rows.withColumn("shard", shard).select("page_id", "url", "host", "shard", "html").mapInArrow(_parse, "page_id long, url string, host string, shard int, text string, body boolean")
-    dealt = parsed.repartition(F.col("host"), F.col("shard")).sortWithinPartitions("host", "shard", "page_id", "url", "text")
-    return dealt.mapInArrow(_clean, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host).alias("host"), "html")
+    total = rows.count()
+    n_blocks = max(1, -(-total // block_pages))
+    buckets = min(MOST_BUCKETS, max(16, total // BUCKET_PAGES))
+    parsed = rows.mapInArrow(_parse, "page_id long, url string, host long, text string, body boolean")
+    # Copies meet; pages without text have no runs and are spread.
+    block = F.pmod(F.when(F.col("text") == "", F.xxhash64("page_id", "url")).otherwise(F.xxhash64("host", "text")), F.lit(n_blocks))
+    dealt = parsed.withColumn("block", block).repartition("block")
+    counts = dealt.groupBy("block").applyInArrow(_counter(buckets), _COUNTS)
+    sums = counts.groupBy("bucket").applyInArrow(_sum, "block long, keys binary, totals binary")
+    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_clean, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

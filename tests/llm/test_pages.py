@@ -52,3 +52,27 @@ def test_frame(spark):
     assert sum(r.text == "Head & line\n\nbold next\n\npara é x two\n\na < b <i>" for r in out) == 6
     assert all(r.n_chars == len(r.text) for r in out)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_runs_are_counted_over_the_host(spark):
+    foot = " ".join(f"f{i}" for i in range(RUN))
+    page = lambda i, last: "<div>" + " ".join(f"own{i}x{j}" for j in range(9)) + f"</div><div>{last}</div>"
+    # 258 pages with one footer, and 1,500 of which few share one.
+    rows = [(i, f"http://a.org/{i}", page(i, foot)) for i in range(258)]
+    rows += [(1000 + i, f"http://b.org/{i}", page(1000 + i, foot if i % 500 == 0 else f"tail{i}")) for i in range(1500)]
+    rows += [(5000 + i, f"http://c.org/{i}", page(5000 + i, foot)) for i in range(2)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert {i for i, t in got.items() if foot in t} == {5000, 5001}
+
+
+def test_blocks_do_not_matter(spark):
+    boiler = " ".join(f"b{i}" for i in range(RUN))
+    tag = lambda i: ("article", "div")[i % 2]
+    html = [f"<{tag(i)}><p>own{i} words{i}</p><p>{boiler if i % 3 else 'x'} tail{i}</p></{tag(i)}>" for i in range(40)]
+    html += html[:5] + [None, ""]
+    d = spark.createDataFrame([(i, f"http://h.org/{i}", x) for i, x in enumerate(html)], "page_id long, url string, html string")
+    parsed = [blocks(x) for x in html]
+    want = {i: "\n\n".join(t) for i, t in enumerate(clean_group([t for t, _ in parsed], [b for _, b in parsed]))}
+    for n in (1, 7, 256):
+        assert {r.page_id: r.text for r in extract(d, n).collect()} == want
