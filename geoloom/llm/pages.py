@@ -11,8 +11,9 @@ and its distinct pages of a host are counted.  Blocks send these counts by the r
 sums over all blocks that reach the least count go back to the blocks that hold the run, so a
 run's distinct pages are those of the whole host, whatever its size.  In open blocks a run on
 ``OPEN_PAGES`` distinct pages is boilerplate; in the body, where quoted passages and copies repeat
-too, only a run on half of the distinct pages and ``BODY_PAGES`` at least.  Covered tokens are
-removed, unique runs stay.  Copies count as one page; runs are equal by 64 bits of hash.
+too, only a run on half of the distinct pages and ``BODY_PAGES`` at least, and not where over
+``NEAR_SHARE`` of the page's runs are on ``OPEN_PAGES`` pages: a near copy stays whole.  Covered
+tokens are removed, unique runs stay.  Copies count as one page; runs are equal by 64 bits of hash.
 
 Defined results: null or empty html and pages without text give an empty text; unclosed tags,
 unclosed comments and cut-off pages are read as far as they go; null urls are one host;
@@ -39,6 +40,8 @@ BUCKET_PAGES, MOST_BUCKETS = 2000, 2048
 RUN = 8
 OPEN_PAGES = 3
 BODY_PAGES = 10
+#: A body with more than this share of its runs on OPEN_PAGES pages is a near copy of others.
+NEAR_SHARE = 0.5
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
@@ -251,7 +254,11 @@ def without(texts: list[list[str]], body: np.ndarray, runs: Runs | None, spans:
     if runs is None:
         return texts
     least = np.where(body, np.maximum(BODY_PAGES, -(-pages // 2)), OPEN_PAGES)
-    boiler = spans[runs.which] >= least[runs.of_page[runs.at]]
+    of = runs.of_page[runs.at]
+    boiler = spans[runs.which] >= least[of]
+    # A body most of whose runs are on several pages is a near copy, not boilerplate.
+    share = np.bincount(of, spans[runs.which] >= OPEN_PAGES, len(texts)) / np.maximum(np.bincount(of, minlength=len(texts)), 1)
+    boiler &= ~(body & (share > NEAR_SHARE))[of]
     if not boiler.any():
         return texts
     step = np.zeros(len(runs.of_page) + 1, np.int64)

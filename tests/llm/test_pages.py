@@ -76,3 +76,14 @@ def test_blocks_do_not_matter(spark):
     want = {i: "\n\n".join(t) for i, t in enumerate(clean_group([t for t, _ in parsed], [b for _, b in parsed]))}
     for n in (1, 7, 256):
         assert {r.page_id: r.text for r in extract(d, n).collect()} == want
+
+
+def test_near_copies_of_an_article_stay():
+    article = [f"a{j}" for j in range(100)]
+    copies = [[" ".join(article[: 7 * i] + [f"new{i}"] + article[7 * i + 1 :])] for i in range(12)]
+    assert clean_group(copies, [True] * 12) == copies
+    # Beside other pages too, and a notice in bodies of their own still goes.
+    boiler = " ".join(f"b{i}" for i in range(RUN))
+    own = [[" ".join(f"own{i}x{j}" for j in range(30)), boiler] for i in range(12)]
+    assert clean_group(copies + own[:11], [True] * 23) == copies + own[:11]
+    assert clean_group(copies + own, [True] * 24) == copies + [x[:1] for x in own]
