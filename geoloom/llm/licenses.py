@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by directory (operator 5).
 
-Every line of a whole file that holds a cue word is a notice.  Notices and templates are vectors
+Every line of a whole file that holds a cue word is a notice, and so is every paragraph of several
+lines that holds one, as a whole.  Notices and templates are vectors
 of lower-cased words weighted by term count times ``ln((1 + N) / (1 + df)) + 1``, with N and df
-over all notices and templates; a file's own licence is the best template over its notices, from
+over all single lines and templates; a file's own licence is the best template over its notices, from
 ``THRESHOLD`` on.  A file without one inherits from the nearest directory above it that has a
 licence file: its directories are joined to the licences of directories by path.  Everything is
 DataFrame expressions; templates meet notices by term, so a shuffle carries notices only.
@@ -19,10 +20,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
-CUE = r"(?i)\b(licen[cs]e[ds]?|copyright|spdx-license-identifier|public domain)\b"
+CUE = r"(?i)\b(licen[cs]e[ds]?|copyright|spdx-license-identifier|public domain|rights reserved|permission is hereby granted|redistribution and use)\b"
+#: What marks a short text as the licence file of a folder.
+FILE_CUE = r"(?i)\b(licen[cs]e[ds]?|copyright|spdx-license-identifier|public domain)\b"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
-#: Public short notices.
+#: Ids that SPDX tags name, by the licence they stand for.
+SPDX = (
+    ("MIT", "MIT"),
+    ("Apache-2.0", "Apache-2.0"),
+    ("GPL-3.0", "GPL-3.0"),
+    ("GPL-3.0", "GPL-3.0-only"),
+    ("GPL-3.0", "GPL-3.0-or-later"),
+    ("GPL-2.0", "GPL-2.0"),
+    ("GPL-2.0", "GPL-2.0-only"),
+    ("GPL-2.0", "GPL-2.0-or-later"),
+    ("LGPL-3.0", "LGPL-3.0"),
+    ("LGPL-3.0", "LGPL-3.0-only"),
+    ("LGPL-3.0", "LGPL-3.0-or-later"),
+    ("MPL-2.0", "MPL-2.0"),
+    ("BSD-3-Clause", "BSD-3-Clause"),
+    ("CC-BY-4.0", "CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+    ("CC0-1.0", "CC0-1.0"),
+    ("Unlicense", "Unlicense"),
+)
+
+#: Public notices: short ones, the first paragraphs of headers and licence texts, and SPDX tags.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -36,7 +61,20 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+    ("Proprietary", "All rights reserved."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+) + tuple((name, f"SPDX-License-Identifier: {tag}") for name, tag in SPDX)
 
 
 def _terms(line: Column) -> Column:
@@ -44,28 +82,39 @@ def _terms(line: Column) -> Column:
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """id, line: the lines with a cue word, equal lines of a file once."""
+    """id, line, whole, x, y (the line's hash): the lines with a cue word, and whole paragraphs of several lines that hold one; equal ones of a file once."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(CUE))
-    return files.where(F.col("text").rlike(CUE)).select("id", F.explode(F.array_distinct(lines)).alias("line"))
+    # A paragraph ends at a blank line; the signs of comments before its lines go.
+    plain = F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+)?[ \t]*", "")
+    paragraphs = F.transform(F.filter(F.split(plain, r"\n\s*\n", -1), lambda p: p.rlike(r"\S[ \t]*\n\s*\S")), lambda p: F.regexp_replace(p, r"\s+", " "))
+    wrapped = F.filter(paragraphs, lambda p: p.rlike(CUE))
+    each = F.concat(
+        F.transform(F.array_distinct(lines), lambda x: F.struct(x.alias("line"), F.lit(False).alias("whole"))),
+        F.transform(F.array_distinct(wrapped), lambda x: F.struct(x.alias("line"), F.lit(True).alias("whole"))),
+    )
+    return files.where(plain.rlike(CUE) | F.regexp_replace(plain, r"\s+", " ").rlike(CUE)).select("id", F.explode(each).alias("n")).select("id", "n.line", "n.whole", F.xxhash64("n.line").alias("x"), F.xxhash64(F.lit(1), "n.line").alias("y"))
 
 
 def scores(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """line, license, score: the best template of each distinct line."""
-    distinct = lines.groupBy("line").agg(F.count(F.lit(1)).alias("weight"))
-    terms = distinct.select("line", "weight", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "weight", "term").agg(F.count(F.lit(1)).alias("tf"))
-    t_terms = templates.select("license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = distinct.select("weight").unionAll(templates.select(F.lit(1).cast("long"))).agg(F.sum("weight").alias("total"))
-    df = terms.select("term", "weight").unionAll(t_terms.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("weight").alias("df"))
+    """x, y, whole, license, score: the best template of each distinct notice; weights follow lines and templates."""
+    key = ["x", "y", "whole"]
+    distinct = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("weight"), F.first("line").alias("line"))
+    terms = distinct.select(*key, "weight", F.explode(_terms(F.col("line"))).alias("term")).groupBy(*key, "weight", "term").agg(F.count(F.lit(1)).alias("tf"))
+    t_terms = templates.select("license", F.col("text").alias("of"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "of", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = distinct.where("NOT whole").select("weight").unionAll(templates.select(F.lit(1).cast("long"))).agg(F.sum("weight").alias("total"))
+    counted = terms.select("term", F.when(F.col("whole"), 0).otherwise(F.col("weight")).cast("long").alias("weight"))
+    df = counted.unionAll(t_terms.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("weight").alias("df"))
     # One row: the total; joined on a constant, it is broadcast by its size.
-    idf = df.join(total, F.lit(True)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    a = terms.join(idf, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    b = t_terms.join(idf, "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    norms = a.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    t_norms = b.groupBy("license").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t_norm"))
-    dots = a.join(b, "term").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = dots.join(norms, "line").join(t_norms, "license").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score"))
-    best = cosine.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    idf = df.join(total, F.lit(True)).select("term", (F.log((1 + F.coalesce("total", F.lit(0))) / (1 + F.col("df"))) + 1).alias("idf"))
+    a = terms.join(idf, "term").select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    b = t_terms.join(idf, "term").select("license", "of", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    norms = a.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    t_norms = b.groupBy("license", "of").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t_norm"))
+    dots = a.join(b, "term").groupBy(*key, "license", "of").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    cosine = dots.join(norms, key).join(t_norms, ["license", "of"]).select(*key, "license", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6).alias("score"))
+    best = cosine.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    return best.select(*key, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def _above(path: Column) -> Column:
@@ -79,7 +128,7 @@ def scan(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -
     """id, path, license, score, found (own, inherited or none), from_dir of each file (id, path, text)."""
     files = files.select("id", "path", "text")
     found = notices(files)
-    best = found.join(scores(found, templates), "line").where(F.col("score") >= threshold)
+    best = found.drop("line").join(scores(found, templates), ["x", "y", "whole"]).where(F.col("score") >= threshold)
     own = best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col("id").alias("own_id"), F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"))
     base = files.select("id", "path").join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
 
@@ -116,7 +165,7 @@ def tree(docs: DataFrame) -> DataFrame:
     """
     folder = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")))
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
-    is_file = F.col("text").rlike(CUE) & (words <= 100)
+    is_file = F.col("text").rlike(FILE_CUE) & (words <= 100)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     shard = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("null"))
     path = F.when(is_file, F.concat(folder, F.lit("/LICENSE."), key)).otherwise(F.concat(folder, F.lit("/"), shard, F.lit("/"), key, F.lit(".txt")))

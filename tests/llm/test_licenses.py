@@ -64,3 +64,19 @@ def test_edges(spark):
 def test_no_python(spark):
     plan = op5_license_scans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_notices_beyond_one_line(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    files = [
+        (1, "a/LICENSE", "Released under the MIT License."),
+        (2, "a/x.txt", "some prose\nAll rights reserved.\nmore prose"),
+        (3, "b/x.c", "// SPDX-License-Identifier: Apache-2.0\nint x;"),
+        (4, "b/y.c", "/*\n * Licensed under the Apache\n * License, Version\n * 2.0.\n */\n\nint y;"),
+        (5, "b/z.txt", mit + "\n\nThe rest."),
+        (6, "b/w.txt", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
+        (7, "b/v.c", "# SPDX-License-Identifier: Nobodys-1.0"),
+    ]
+    got = {r.id: (r.license, r.found) for r in scan(spark.createDataFrame(files, "id long, path string, text string"), template_frame(spark)).collect()}
+    own = {1: "MIT", 2: "Proprietary", 3: "Apache-2.0", 4: "Apache-2.0", 5: "MIT", 6: "BSD-3-Clause"}
+    assert got == {i: (x, "own") for i, x in own.items()} | {7: (None, "none")}
