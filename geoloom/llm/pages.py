@@ -1,22 +1,31 @@
-"""HTML extraction with suffix arrays and host-wide counts of runs (operator 8).
-
-A page is parsed once into blocks of text.  Blocks in menus, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments and hidden elements are chrome and go; blocks
-in an article or main element are body; what a page without body has outside chrome is open.
-
-Pages are then dealt to blocks of about ``BLOCK_PAGES`` by host and text, so copies meet and a
-large host is spread.  In a block the token streams are concatenated and their suffixes sorted by
-prefix doubling; an interval of the suffix array with a common prefix of ``RUN`` tokens is a run,
-and its distinct pages of a host are counted.  Blocks send these counts by the run's hash; the
-sums over all blocks that reach the least count go back to the blocks that hold the run, so a
-run's distinct pages are those of the whole host, whatever its size.  In open blocks a run on
-``OPEN_PAGES`` distinct pages is boilerplate; in the body, where quoted passages and copies repeat
-too, only a run on half of the distinct pages and ``BODY_PAGES`` at least, and not where over
-``NEAR_SHARE`` of the page's runs are on ``OPEN_PAGES`` pages: a near copy stays whole.  Covered
-tokens are removed, unique runs stay.  Copies count as one page; runs are equal by 64 bits of hash.
+"""HTML extraction by suffix arrays over the pages of a host (operator 8).
+
+A page is parsed once into blocks of text.  Elements decide what can't be article text: menus,
+page headers, footers, sidebars, forms, scripts, styles, hidden parts.  Class names and ids decide
+where no article or main element does; inside one they only count on boxes, as whole names
+(``related-work`` is none), and those of ambiguous words (``menu``, ``share``) go only if the
+box is short or mostly links.  What is left is the page's body, or open text where a page has no body.
+
+The suffix arrays then decide on what repeats.  Pages are dealt to blocks by host; a host too
+large for a block is cut to shards by the hash of the text, so copies of a page meet.  In a block
+the token streams are concatenated and their suffixes sorted by prefix doubling; an interval with
+a common prefix of ``RUN`` tokens is a run, overlapping runs form the maximal repeated substrings.
+A run's distinct pages are those of its whole host, however many blocks this has:
+
+* bodies: boilerplate is on half of the host's bodies and on ``BODY_PAGES`` at least.  Such a run
+  is on half of a shard's bodies in one shard at least, so shards name these candidates, all shards
+  of the host count them, and the sums go back;
+* open text: boilerplate is on ``OPEN_PAGES`` distinct pages.  Shards report all their runs, Spark
+  sums them by hash and returns those that reach the number.
+
+Covered tokens are removed and unique runs stay.  Near copies of an article repeat each other, not
+boilerplate: a body stays whole where over ``NEAR_SHARE`` of its runs are on ``OPEN_PAGES`` pages among
+the bodies that hold boilerplate (these report all their runs), and an open page where over
+``OPEN_SHARE`` of it is covered.  Copies count as one page; runs are equal by 64 bits of hash over
+all their tokens and the host.
 
 Defined results: null or empty html and pages without text give an empty text; unclosed tags,
-unclosed comments and cut-off pages are read as far as they go; null urls are one host;
+quotes and comments and cut-off pages are read as far as they go; null urls are one host;
 repeated pages are copies.  Other columns are dropped.
 """
 
@@ -35,15 +44,22 @@ from pyspark.sql import functions as F
 from geoloom.llm import text as T
 
 BLOCK_PAGES = 256
+#: Slots in which the pages of hosts are counted to cut large ones; hosts of one slot are cut alike.
+SLOTS = 1 << 20
 #: Buckets that the runs of all blocks are summed in, one for so many pages.
 BUCKET_PAGES, MOST_BUCKETS = 2000, 2048
 RUN = 8
 OPEN_PAGES = 3
 BODY_PAGES = 10
-#: A body with more than this share of its runs on OPEN_PAGES pages is a near copy of others.
-NEAR_SHARE = 0.5
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Share of a body's runs on other bodies too, and of an open page's runs that are boilerplate, beyond which the page is a near copy.
+NEAR_SHARE, OPEN_SHARE = 0.5, 0.9
+#: A box of an ambiguous name goes with so many words at most, or if half of its words are links.
+SHORT_BOX = 12
+
+#: A quoted value ends at its quote if a space, a slash or the tag's end follows; else it is read as unquoted.
+_ATTRIBUTE = r"""[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"(?=[\s/>]|\Z)|'[^']*+'(?=[\s/>]|\Z)|[^\s>]*+))?+"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_PAIR = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"(?=[\s/>]|\Z)|'([^']*+)'(?=[\s/>]|\Z)|([^\s>]*+)))?+""", re.S)
 _RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 _CHROME = {"nav", "footer", "aside", "form", "button", "select", "dialog", "template", "noscript", "svg", "object", "video", "audio", "canvas", "menu", "head", "map"}
 _BODY = {"article", "main"}
@@ -51,42 +67,66 @@ _BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul head".split()
 )
+_BOX = {"div", "section", "ul", "ol", "dl", "table", "header", "details"}
 _VOID = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Elements that end an open one of the second set.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_MARKED = re.compile(
-    r"(?i)(?:^|[\s_-])(?:nav|navbar|navigation|menu|submenu|masthead|topbar|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|"
-    r"banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|promo|promotion|related|recommended|"
-    r"share|sharing|social|breadcrumb|breadcrumbs|pagination|pager|comment|comments|commentlist|disqus|replies|respond|login|signup|search|searchform|widget|widgets|toolbar|skip)(?:$|[\s_-])"
+_COMMENT = set("comment comments commentlist disqus replies respond reviews".split())
+#: Words in class names and ids of chrome; those of the second line are ambiguous inside a body.
+_SURE = _COMMENT | set(
+    "nav navbar navigation masthead topbar footer sidebar ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr newsletter "
+    "breadcrumb breadcrumbs pagination pager login signup searchform".split()
+)
+_AMBIGUOUS = set("menu submenu aside sponsor banner notice notices alert popup modal overlay subscribe subscription promo promotion related recommended share sharing social search widget widgets toolbar skip reply review".split())
+_CHROME_WORDS = _SURE | _AMBIGUOUS
+#: Words that may stand beside a word of chrome in one name.
+_BESIDE = set(
+    "area article articles bar block bottom box button buttons col column container content form global group header holder icon icons inner item items left link links list main "
+    "outer page panel post posts primary right row secondary section site slot stories text this top unit us wrap wrapper zone".split()
 )
-_COMMENT = re.compile(r"(?i)(?:^|[\s_-])(?:comment|comments|reply|replies|response)(?:$|[\s_-])")
-_NAMED = re.compile(r"(?i)(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
-_ROLE = re.compile(r"(?i)(?:^|\s)role\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar|toolbar|status)\b")
-_ROLE_BODY = re.compile(r"(?i)(?:^|\s)role\s*=\s*[\"']?(main|article)\b")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
-
 #: Class names and ids that stand for a body where a page has no better one.
-_WEAK = re.compile(r"(?i)(?:^|\s)(?:content|main|main-content|maincontent|article|article-body|article-content|post|post-content|post-body|entry|entry-content|story|story-body|page-content)(?:$|\s)")
+_WEAK = set("content main main-content maincontent article article-body article-content post post-content post-body entry entry-content story story-body page-content".split())
+_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 
-NO, CHROME, SOFT, BODY, WEAK = range(5)
+NO, CHROME, SOFT, BODY, WEAK, MAYBE = range(6)
+
+
+def _words(names: list[str]) -> set[str]:
+    """The words of chrome in names that hold no other than such and those beside them."""
+    out: set[str] = set()
+    for name in names:
+        parts = [p for p in re.split(r"[-_]+", name) if p and not p.isdigit()]
+        if all(p in _CHROME_WORDS or p in _BESIDE for p in parts):
+            out.update(p for p in parts if p in _CHROME_WORDS)
+    return out
 
 
 def _kind(name: str, attrs: str, in_body: bool) -> int:
-    """CHROME, SOFT (chrome by its names, in which a body may still open), BODY, WEAK (body by its names) or NO."""
+    """CHROME, SOFT (chrome by its names, in which a body may still open), MAYBE (an ambiguous box of a body), BODY, WEAK (body by its names) or NO."""
     if name in _CHROME:
         return CHROME
     if name == "header":
         return NO if in_body else SOFT
-    names = " ".join(x or y or z for x, y, z in _NAMED.findall(attrs)) if attrs else ""
-    if name in _BODY or (attrs and _ROLE_BODY.search(attrs)):
-        return CHROME if names and _COMMENT.search(names) else BODY
-    if not attrs or name in ("html", "body"):
+    found = {}
+    if attrs:
+        for key, a, b, c in _PAIR.findall(attrs):
+            found.setdefault(key.lower(), (a or b or c).lower())
+    names = (found.get("class", "") + " " + found.get("id", "")).split()
+    role = found.get("role", "").split()[:1]
+    if name in _BODY or role in (["main"], ["article"]):
+        return CHROME if _words(names) & _COMMENT else BODY
+    if not found or name in ("html", "body"):
         return NO
-    if _HIDDEN.search(attrs) or _ROLE.search(attrs):
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or (role and role[0] in _ROLES):
         return CHROME
-    if names and _MARKED.search(names):
-        return CHROME if _COMMENT.search(names) else SOFT
-    return WEAK if names and _WEAK.search(names) else NO
+    words = _words(names) if names else set()
+    if in_body:
+        if name not in _BOX or not words:
+            return NO
+        return CHROME if words & _SURE else MAYBE
+    if words:
+        return CHROME if words & _COMMENT else SOFT
+    return WEAK if any(n in _WEAK for n in names) else NO
 
 
 def _state(stack: list[tuple[str, int]]) -> int:
@@ -100,28 +140,59 @@ def _state(stack: list[tuple[str, int]]) -> int:
     return z
 
 
+@dataclass
+class _Box:
+    """An open box of an ambiguous name: its depth in the stack, where its blocks begin, its words and those in links."""
+
+    depth: int
+    into: list[str]
+    begin: int
+    words: int = 0
+    links: int = 0
+
+
 def blocks(page: str | None) -> tuple[list[str], bool]:
     """The page's text blocks without chrome, and whether they are its body (else open)."""
     page = page or ""
     found: dict[int, list[str]] = {BODY: [], WEAK: [], NO: []}
     stack: list[tuple[str, int]] = []
+    boxes: list[_Box] = []
     run: list[str] = []
     zone = run_zone = NO
+    link = linked = 0
 
     def text(t: str) -> None:
-        nonlocal run_zone
+        nonlocal run_zone, linked
         if zone in found:
             if not run:
                 run_zone = zone
             run.append(t)
+            if link and boxes:
+                linked += len(t.split())
 
     def flush() -> None:
+        nonlocal linked
         if run:
             t = "".join(run)
             t = " ".join((_html.unescape(t) if "&" in t else t).split())
             if t:
                 found[run_zone].append(t)
+                for b in boxes:
+                    b.words += t.count(" ") + 1
+                    b.links += linked
             run.clear()
+        linked = 0
+
+    def close(to: int) -> None:
+        """The open elements from ``to`` on end."""
+        nonlocal zone
+        del stack[to:]
+        zone = _state(stack)
+        while boxes and boxes[-1].depth >= to:
+            flush()
+            b = boxes.pop()
+            if b.words <= SHORT_BOX or 2 * b.links >= b.words:
+                del b.into[b.begin :]
 
     at = 0
     for m in _TAG.finditer(page):
@@ -143,13 +214,14 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
         if name == "br":
             text(" ")
             continue
+        if name == "a":
+            link = not closing
         if closing:
             if block:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
-                    zone = _state(stack)
+                    close(k)
                     break
             continue
         kind = _kind(name, attrs, zone == BODY)
@@ -162,16 +234,19 @@ def blocks(page: str | None) -> tuple[list[str], bool]:
             while k and stack[k - 1][0] not in _BLOCK:
                 k -= 1
             if k and stack[k - 1][0] == "p":
-                del stack[k - 1 :]
+                close(k - 1)
             ends = _ENDS.get(name)
             while ends and stack and stack[-1][0] in ends:
-                stack.pop()
+                close(len(stack) - 1)
         if name not in _VOID and not attrs.endswith("/"):
+            if kind == MAYBE:
+                boxes.append(_Box(len(stack), found[BODY], len(found[BODY])))
             stack.append((name, kind))
         zone = _state(stack)
     if at < len(page):
         text(page[at:])
     flush()
+    close(0)
     for kind in (BODY, WEAK):
         if found[kind]:
             return found[kind], True
@@ -198,7 +273,7 @@ def suffix_intervals(ids: np.ndarray, length: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """The runs of a block of pages: each position's run, and keys and distinct pages of each run of a host."""
+    """The runs of a block of pages: each position's run, and group, key and distinct pages of each run."""
 
     flat: list[str]
     page: np.ndarray  # page of each text block
@@ -206,24 +281,30 @@ class Runs:
     of_page: np.ndarray  # page of each word
     at: np.ndarray  # words at which a run begins
     which: np.ndarray  # their runs
+    group: np.ndarray
     keys: np.ndarray
     spans: np.ndarray
 
 
-def _pages_key(hosts: np.ndarray) -> np.ndarray:
-    """Key under which a host's distinct pages are counted."""
-    return T.mix(hosts + np.uint64(0x5851F42D4C957F2D))
+def _pages_key(groups: np.ndarray) -> np.ndarray:
+    """Key under which a group's distinct pages are counted."""
+    return T.mix(groups + np.uint64(0x5851F42D4C957F2D))
 
 
-def host_pages(texts: list[list[str]], hosts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the distinct page that each page is, keys of the hosts, their distinct pages); copies on a host are one."""
+def groups_of(hosts: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """The bodies and the open pages of a host are counted apart."""
+    return T.mix(hosts ^ np.where(body, np.uint64(0x14057B7EF767814F), np.uint64(0)))
+
+
+def distinct_pages(texts: list[list[str]], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the distinct page that each page is, groups, their distinct pages); copies in a group are one."""
     same: dict = {}
-    distinct = np.array([same.setdefault((int(x), tuple(t)), len(same)) for x, t in zip(hosts, texts, strict=True)], np.int64)
+    distinct = np.array([same.setdefault((int(x), tuple(t)), len(same)) for x, t in zip(groups, texts, strict=True)], np.int64)
     of, n = np.unique(np.array([x for x, _ in same], np.uint64), return_counts=True)
-    return distinct, _pages_key(of), n
+    return distinct, of, n
 
 
-def runs_of(texts: list[list[str]], hosts: np.ndarray, distinct: np.ndarray) -> Runs | None:
+def runs_of(texts: list[list[str]], groups: np.ndarray, distinct: np.ndarray) -> Runs | None:
     flat = [b for t in texts for b in t]
     if not flat:
         return None
@@ -236,29 +317,49 @@ def runs_of(texts: list[list[str]], hosts: np.ndarray, distinct: np.ndarray) ->
     # A separator that no other page has follows each page.
     cut = np.flatnonzero(np.r_[of_page[1:] != of_page[:-1], True]) + 1
     ids = np.insert(h, cut, T.mix(np.arange(len(cut), dtype=np.uint64) + np.uint64(1 << 40)))
-    place = np.arange(len(h)) + np.searchsorted(cut, np.arange(len(h)), "right")
-    at = np.flatnonzero(np.arange(len(h)) + RUN <= cut[np.searchsorted(cut, np.arange(len(h)), "right")])
+    behind = np.searchsorted(cut, np.arange(len(h)), "right")
+    place = np.arange(len(h)) + behind
+    at = np.flatnonzero(np.arange(len(h)) + RUN <= cut[behind])
     if not len(at):
         return None
     interval = suffix_intervals(ids, RUN)[place[at]]
-    names, host = np.unique(hosts, return_inverse=True)
-    _, head, which = np.unique(interval * np.int64(len(names)) + host[of_page[at]], return_index=True, return_inverse=True)
-    keys = T.mix(T.windows(h, RUN)[at[head]] ^ T.mix(hosts[of_page[at[head]]]))
+    names, group = np.unique(groups, return_inverse=True)
+    _, head, which = np.unique(interval * np.int64(len(names)) + group[of_page[at]], return_index=True, return_inverse=True)
+    own = groups[of_page[at[head]]]
+    keys = T.mix(T.windows(h, RUN)[at[head]] ^ T.mix(own))
     pages = np.int64(distinct.max() + 1)
     spans = np.bincount(np.unique(which * pages + distinct[of_page[at]]) // pages, minlength=len(keys))
-    return Runs(flat, page, words.first, of_page, at, which, keys, spans)
+    return Runs(flat, page, words.first, of_page, at, which, own, keys, spans)
 
 
-def without(texts: list[list[str]], body: np.ndarray, runs: Runs | None, spans: np.ndarray, pages: np.ndarray) -> list[list[str]]:
-    """The blocks without boilerplate; spans are the pages of each run and pages those of each page's host."""
-    if runs is None:
-        return texts
+def boilerplate(body: np.ndarray, runs: Runs, spans: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Which positions begin a run of boilerplate; spans are the pages of each run and pages those of each page's group."""
     least = np.where(body, np.maximum(BODY_PAGES, -(-pages // 2)), OPEN_PAGES)
+    return spans[runs.which] >= least[runs.of_page[runs.at]]
+
+
+def holders(body: np.ndarray, runs: Runs, boiler: np.ndarray) -> np.ndarray:
+    """The bodies with boilerplate."""
+    held = np.zeros(len(body), bool)
+    held[runs.of_page[runs.at[boiler]]] = True
+    return held & body
+
+
+def spans_within(runs: Runs, distinct: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Distinct pages of each run among the chosen ones."""
+    of = runs.of_page[runs.at]
+    pages = np.int64(distinct.max() + 1)
+    go = chosen[of]
+    return np.bincount(np.unique(runs.which[go] * pages + distinct[of[go]]) // pages, minlength=len(runs.keys))
+
+
+def without(texts: list[list[str]], body: np.ndarray, runs: Runs, boiler: np.ndarray, near: np.ndarray) -> list[list[str]]:
+    """The blocks without boilerplate; near are the pages of each run among the bodies with boilerplate."""
     of = runs.of_page[runs.at]
-    boiler = spans[runs.which] >= least[of]
-    # A body most of whose runs are on several pages is a near copy, not boilerplate.
-    share = np.bincount(of, spans[runs.which] >= OPEN_PAGES, len(texts)) / np.maximum(np.bincount(of, minlength=len(texts)), 1)
-    boiler &= ~(body & (share > NEAR_SHARE))[of]
+    total = np.maximum(np.bincount(of, minlength=len(texts)), 1)
+    alike = np.bincount(of, near[runs.which] >= OPEN_PAGES, len(texts)) / total
+    covered = np.bincount(of, boiler, len(texts)) / total
+    boiler = boiler & np.where(body, alike <= NEAR_SHARE, covered <= OPEN_SHARE)[of]
     if not boiler.any():
         return texts
     step = np.zeros(len(runs.of_page) + 1, np.int64)
@@ -270,7 +371,7 @@ def without(texts: list[list[str]], body: np.ndarray, runs: Runs | None, spans:
     for i, b in enumerate(runs.flat):
         a, z = int(runs.first[i]), int(runs.first[i + 1])
         if gone[a:z].any():
-            b = " ".join(w for w, g in zip(b.split(), gone[a:z], strict=False) if not g)
+            b = " ".join(w for w, g in zip(b.split(" "), gone[a:z], strict=False) if not g)
         if b:
             out[runs.page[i]].append(b)
     return out
@@ -278,55 +379,117 @@ def without(texts: list[list[str]], body: np.ndarray, runs: Runs | None, spans:
 
 def clean_group(texts: list[list[str]], body: list[bool]) -> list[list[str]]:
     """The blocks of all pages of one host without boilerplate."""
-    hosts = np.zeros(len(texts), np.uint64)
-    distinct, _, n = host_pages(texts, hosts)
-    runs = runs_of(texts, hosts, distinct)
-    return without(texts, np.array(body), runs, runs.spans if runs else np.empty(0, int), np.repeat(n, len(texts)))
+    zone = np.array(body)
+    groups = groups_of(np.zeros(len(texts), np.uint64), zone)
+    distinct, of, n = distinct_pages(texts, groups)
+    runs = runs_of(texts, groups, distinct)
+    if runs is None:
+        return texts
+    boiler = boilerplate(zone, runs, runs.spans, n[np.searchsorted(of, groups)])
+    return without(texts, zone, runs, boiler, spans_within(runs, distinct, holders(zone, runs, boiler)))
+
+
+_PARSED = "ids array<long>, urls array<string>, host long, shards int, text string, body boolean"
+
+
+def _parser(slots, shards):
+    """Pages to blocks of text; copies in a batch are one row."""
+
+    def parse(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                c = b.slice(k, 256)
+                rows: dict = {}
+                for i, url, host, page in zip(*[c.column(x).to_pylist() for x in ("page_id", "url", "host", "html")], strict=True):
+                    parts, body = blocks(page)
+                    ids, urls = rows.setdefault((host, "\n".join(parts), body), ([], []))
+                    ids.append(i)
+                    urls.append(url)
+                host = np.array([h for h, _, _ in rows], np.int64)
+                slot = host % SLOTS
+                at = np.minimum(np.searchsorted(slots.value, slot), max(len(slots.value) - 1, 0))
+                cut = np.where(slots.value[at] == slot, shards.value[at], 1) if len(slots.value) else np.ones(len(host), np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x for x, _ in rows.values()], pa.list_(pa.int64())), pa.array([x for _, x in rows.values()], pa.list_(pa.string())),
+                        pa.array(host), pa.array(cut.astype(np.int32)), pa.array([t for _, t, _ in rows], pa.string()), pa.array([x for _, _, x in rows], pa.bool_()),
+                    ],
+                    ["ids", "urls", "host", "shards", "text", "body"],
+                )
+
+    return parse
+
+
+def _read(t: pa.Table) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """Blocks, group and zone of each page."""
+    texts = [x.split("\n") if x else [] for x in t.column("text").to_pylist()]
+    body = t.column("body").to_numpy(zero_copy_only=False).astype(bool)
+    return texts, groups_of(t.column("host").to_numpy().view(np.uint64), body), body
 
 
-def _parse(batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, 256):
-            c = b.slice(k, 256)
-            parsed = [blocks(x) for x in c.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [c.column("page_id"), c.column("url"), c.column("host"), pa.array(["\n".join(x) for x, _ in parsed], pa.string()), pa.array([x for _, x in parsed])],
-                ["page_id", "url", "host", "text", "body"],
-            )
+def _cut_hosts(t: pa.Table) -> pa.Table:
+    """The pages of hosts that other blocks hold pages of too."""
+    return t.filter(pa.array((t.column("shards").to_numpy() > 1) & np.array([bool(x) for x in t.column("text").to_pylist()], bool)))
 
 
-def _read(t: pa.Table) -> tuple[list[list[str]], np.ndarray]:
-    texts = [x.split("\n") if x else [] for x in t.column("text").to_pylist()]
-    return texts, t.column("host").to_numpy().view(np.uint64)
+_NAMED = "group long, block long, keys array<long>"
+
+
+def _candidates(t: pa.Table) -> pa.Table:
+    """For each group of bodies of a cut host the runs on half of the block's bodies."""
+    block = t.column("block")[0].as_py()
+    t = _cut_hosts(t)
+    t = t.filter(t.column("body"))
+    texts, groups, _ = _read(t)
+    rows = {"group": [], "block": [], "keys": []}
+    if texts:
+        distinct, of, n = distinct_pages(texts, groups)
+        runs = runs_of(texts, groups, distinct)
+        for g, pages in zip(of, n, strict=True):
+            often = (runs.group == g) & (2 * runs.spans >= pages) if runs else np.empty(0, bool)
+            rows["group"].append(int(g.view(np.int64)))
+            rows["block"].append(block)
+            rows["keys"].append(runs.keys[often].view(np.int64).tolist() if runs else [])
+    return pa.table(rows, schema=pa.schema([("group", pa.int64()), ("block", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
 
 _COUNTS = "bucket int, block long, keys binary, counts binary"
 
 
+def _bucketed(block: list, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
+    to = (keys % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(to, kind="stable")
+    found, begin = np.unique(to[order], return_index=True)
+    parts = np.split(order, begin[1:]) if len(found) else []
+    counts = counts.astype(np.int32)
+    return pa.table(
+        [pa.array(found, pa.int32()), pa.array(block * len(found), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([counts[p].tobytes() for p in parts], pa.binary())],
+        ["bucket", "block", "keys", "counts"],
+    )
+
+
 def _counter(buckets: int):
-    def count(t: pa.Table) -> pa.Table:
-        """The block's runs with their distinct pages, and those of its hosts (below 0), by bucket."""
-        texts, hosts = _read(t)
-        distinct, keys, n = host_pages(texts, hosts)
-        n = -n.astype(np.int32)
-        runs = runs_of(texts, hosts, distinct)
+    def count(t: pa.Table, wanted: pa.Table) -> pa.Table:
+        """The block's open runs and the wanted ones of bodies with their distinct pages, and the pages of its groups (below 0), by bucket."""
+        block = t.column("block").to_pylist()[:1]
+        t = _cut_hosts(t)
+        texts, groups, body = _read(t)
+        if not texts:
+            return _bucketed(block, np.empty(0, np.uint64), np.empty(0, np.int32), buckets)
+        distinct, of, pages = distinct_pages(texts, groups)
+        keys, n = _pages_key(of), -pages
+        asked = np.array([x for r in wanted.column("keys").to_pylist() for x in r], np.int64).view(np.uint64)
+        runs = runs_of(texts, groups, distinct) if len(asked) or not body.all() else None
         if runs:
-            keys, n = np.r_[keys, runs.keys], np.r_[n, runs.spans.astype(np.int32)]
-        to = (keys % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
-        found, begin = np.unique(to[order], return_index=True)
-        parts = np.split(order, begin[1:])
-        block = t.column("block")[0].as_py()
-        return pa.table(
-            [pa.array(found, pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([n[p].tobytes() for p in parts], pa.binary())],
-            ["bucket", "block", "keys", "counts"],
-        )
+            go = np.isin(runs.group, groups[~body]) | np.isin(runs.keys, asked)
+            keys, n = np.r_[keys, runs.keys[go]], np.r_[n, runs.spans[go]]
+        return _bucketed(block, keys, n, buckets)
 
     return count
 
 
 def _sum(t: pa.Table) -> pa.Table:
-    """For each block of a bucket the sums over all blocks of its runs that reach the least count, and of its hosts."""
+    """For each block of a bucket the sums over all blocks of its runs that reach the least count, and of its groups."""
     blobs = t.column("keys").to_pylist()
     keys = np.frombuffer(b"".join(blobs), np.uint64)
     counts = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int32)
@@ -342,24 +505,71 @@ def _sum(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(block, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.binary())], ["block", "keys", "totals"])
 
 
+_SUMS = "block long, keys binary, totals binary"
+
+
+class _Judged:
+    """The pages of a block with the boilerplate that the sums over their hosts tell."""
+
+    def __init__(self, t: pa.Table, sums: pa.Table):
+        self.texts, self.groups, self.body = _read(t)
+        self.runs = None
+        self.boiler = np.empty(0, bool)
+        if not self.texts:
+            return
+        cut = t.column("shards").to_numpy() > 1
+        keys, total = _lookup(sums)
+        # Without sums of runs no run of a cut host is boilerplate.
+        if (~cut).any() or (total > 0).any():
+            self.distinct, of, n = distinct_pages(self.texts, self.groups)
+            self.runs = runs_of(self.texts, self.groups, self.distinct)
+        if self.runs:
+            pages = np.where(cut, -_look(keys, total, _pages_key(self.groups)), n[np.searchsorted(of, self.groups)])
+            self.cut_runs = np.isin(self.runs.group, self.groups[cut])
+            spans = np.where(self.cut_runs, _look(keys, total, self.runs.keys), self.runs.spans)
+            self.boiler = boilerplate(self.body, self.runs, spans, pages)
+
+
+def _lookup(sums: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(b"".join(sums.column("keys").to_pylist()), np.uint64)
+    total = np.frombuffer(b"".join(sums.column("totals").to_pylist()), np.int64)
+    order = np.argsort(keys)
+    return keys[order], total[order]
+
+
+def _look(keys: np.ndarray, total: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(x), np.int64)
+    i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[i] == x, total[i], 0)
+
+
+def _alike(buckets: int):
+    def count(t: pa.Table, sums: pa.Table) -> pa.Table:
+        """All runs of the bodies of cut hosts that hold boilerplate, with their distinct pages among these."""
+        block = t.column("block").to_pylist()[:1]
+        j = _Judged(_cut_hosts(t), sums)
+        if not j.boiler.any():
+            return _bucketed(block, np.empty(0, np.uint64), np.empty(0, np.int32), buckets)
+        n = spans_within(j.runs, j.distinct, holders(j.body, j.runs, j.boiler))
+        return _bucketed(block, j.runs.keys[n > 0], n[n > 0], buckets)
+
+    return count
+
+
 def _clean(t: pa.Table, sums: pa.Table) -> pa.Table:
-    texts, hosts = _read(t)
-    if texts:
-        keys = np.frombuffer(b"".join(sums.column("keys").to_pylist()), np.uint64)
-        total = np.abs(np.frombuffer(b"".join(sums.column("totals").to_pylist()), np.int64))
-        order = np.argsort(keys)
-        keys, total = keys[order], total[order]
-
-        def look(x: np.ndarray) -> np.ndarray:
-            i = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-            return np.where(keys[i] == x, total[i], 0)
-
-        distinct, _, _ = host_pages(texts, hosts)
-        runs = runs_of(texts, hosts, distinct)
-        texts = without(texts, t.column("body").to_numpy(zero_copy_only=False), runs, look(runs.keys) if runs else np.empty(0, int), look(_pages_key(hosts)))
+    is_near = sums.column("near").to_numpy(zero_copy_only=False).astype(bool)
+    j = _Judged(t, sums.filter(pa.array(~is_near)))
+    texts = j.texts
+    if j.boiler.any():
+        keys, total = _lookup(sums.filter(pa.array(is_near)))
+        near = np.where(j.cut_runs, _look(keys, total, j.runs.keys), spans_within(j.runs, j.distinct, holders(j.body, j.runs, j.boiler)))
+        texts = without(texts, j.body, j.runs, j.boiler, near)
     joined = ["\n\n".join(x) for x in texts]
+    ids, urls = t.column("ids").to_pylist(), t.column("urls").to_pylist()
+    each = np.repeat(np.arange(len(ids)), [len(x) for x in ids]).tolist()
     return pa.table(
-        [t.column("page_id").cast(pa.int64()), t.column("url").cast(pa.string()), pa.array(joined, pa.string()), pa.array([len(x) for x in joined], pa.int64())],
+        [pa.array([x for y in ids for x in y], pa.int64()), pa.array([x for y in urls for x in y], pa.string()), pa.array([joined[k] for k in each], pa.string()), pa.array([len(joined[k]) for k in each], pa.int64())],
         ["page_id", "url", "text", "n_chars"],
     )
 
@@ -368,17 +578,28 @@ def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     T.bound_batches(pages)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64(host).alias("host"), "html")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.xxhash64(host).alias("host"), F.col("html").cast("string").alias("html"))
     total = rows.count()
     n_blocks = max(1, -(-total // block_pages))
     buckets = min(MOST_BUCKETS, max(16, total // BUCKET_PAGES))
-    parsed = rows.mapInArrow(_parse, "page_id long, url string, host long, text string, body boolean")
+    # At most SLOTS rows come to the driver, each for over block_pages pages.
+    large = rows.groupBy(F.pmod("host", F.lit(SLOTS)).alias("slot")).count().where(F.col("count") > block_pages).orderBy("slot").toArrow()
+    send = pages.sparkSession.sparkContext.broadcast
+    slots, shards = send(large["slot"].to_numpy()), send(-(-large["count"].to_numpy() // block_pages))
+    parsed = rows.mapInArrow(_parser(slots, shards), _PARSED)
     # Copies meet; pages without text have no runs and are spread.
-    block = F.pmod(F.when(F.col("text") == "", F.xxhash64("page_id", "url")).otherwise(F.xxhash64("host", "text")), F.lit(n_blocks))
+    shard = F.pmod(F.xxhash64("text"), F.col("shards"))
+    block = F.pmod(F.when(F.col("text") == "", F.xxhash64("ids", "urls")).otherwise(F.xxhash64("host", shard)), F.lit(n_blocks))
     dealt = parsed.withColumn("block", block).repartition("block")
-    counts = dealt.groupBy("block").applyInArrow(_counter(buckets), _COUNTS)
-    sums = counts.groupBy("bucket").applyInArrow(_sum, "block long, keys binary, totals binary")
-    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_clean, "page_id long, url string, text string, n_chars long")
+    named = dealt.groupBy("block").applyInArrow(_candidates, _NAMED)
+    keys = named.select("group", F.explode("keys").alias("key")).distinct()
+    wanted = named.select("group", "block").join(keys, "group").groupBy("block").agg(F.collect_list("key").alias("keys"))
+    counts = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_counter(buckets), _COUNTS)
+    sums = counts.groupBy("bucket").applyInArrow(_sum, _SUMS)
+    alike = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_alike(buckets), _COUNTS)
+    near = alike.groupBy("bucket").applyInArrow(_sum, _SUMS)
+    told = sums.withColumn("near", F.lit(False)).unionAll(near.withColumn("near", F.lit(True)))
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_clean, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import numpy as np
 
-from geoloom.llm.pages import RUN, blocks, clean_group, extract, suffix_intervals
+from geoloom.llm.pages import BODY_PAGES, NEAR_SHARE, OPEN_PAGES, OPEN_SHARE, RUN, blocks, clean_group, extract, suffix_intervals
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x:1}</style><script>var t="</p><article>no";</script></head><body class="has-sidebar">
 <nav><ul><li>menu</ul></nav><!-- <p>gone</p> --><div class="ad">buy</div><article><header><h1>Head &amp;  line</h1></header><p><b>bold<br>next<br><p>para &#233;&nbsp;x
@@ -87,3 +89,81 @@ def test_near_copies_of_an_article_stay():
     own = [[" ".join(f"own{i}x{j}" for j in range(30)), boiler] for i in range(12)]
     assert clean_group(copies + own[:11], [True] * 23) == copies + own[:11]
     assert clean_group(copies + own, [True] * 24) == copies + [x[:1] for x in own]
+
+
+def test_attributes():
+    """Quotes that don't pair belong to the tag, never to the text."""
+    assert blocks("<article><p title='it's'>Hello</p><p>It's fine</p></article>") == (["Hello", "It's fine"], True)
+    assert blocks('<article><p title="5" tall">Hello</p><p>more</p></article>') == (["Hello", "more"], True)
+    assert blocks('<article><p class="x>Hello</p><p class="y">more</p></article>') == (["Hello", "more"], True)
+    assert blocks('<article><p class="x>Hello</p></article>') == (["Hello"], True)
+    assert blocks('<article><p title="a > b" data-x=1/2>Hello</p></article>') == (["Hello"], True)
+
+
+def test_names_inside_a_body():
+    prose = "The soup of the day is made of roots and herbs that grow behind the old house by the river"
+    page = f'<main><h2 id="search-for-meaning">Search for meaning</h2><div class="menu"><p>{prose}</p></div><div class="related-work"><p>Others found it too</p></div></main>'
+    assert blocks(page) == (["Search for meaning", prose, "Others found it too"], True)
+    assert blocks(f'<article><p>{prose}</p><section id="reviews"><p>I liked it</p></section><div class="comment-list"><p>{prose}</p></div></article>') == ([prose], True)
+    links = "<a href=/a>one of the links</a> <a href=/b>two of the links</a> <a href=/c>three of the links here</a>"
+    assert blocks(f'<article><p>{prose}</p><div class="related-posts"><p>see {links}</p></div><div class="share">Share it</div><p class="alert">stays</p></article>') == ([prose, "stays"], True)
+
+
+def plain_clean(pages, body):
+    """Every run of RUN words with the distinct pages that hold it, by zone."""
+    words = [[w for b in t for w in b.split()] for t in pages]
+    runs = [[tuple(w[i : i + RUN]) for i in range(len(w) - RUN + 1)] for w in words]
+    held, zone = {}, {True: set(), False: set()}
+    for t, z, found in zip(pages, body, runs, strict=True):
+        if t:
+            zone[z].add(tuple(t))
+        for r in found:
+            held.setdefault((z, r), set()).add(tuple(t))
+    least = {z: max(BODY_PAGES, (len(zone[z]) + 1) // 2) if z else OPEN_PAGES for z in zone}
+    bad = [[i for i, r in enumerate(found) if len(held[z, r]) >= least[z]] for z, found in zip(body, runs, strict=True)]
+    near = {}
+    for t, z, found, b in zip(pages, body, runs, bad, strict=True):
+        for r in found if z and b else ():
+            near.setdefault(r, set()).add(tuple(t))
+    out = []
+    for t, z, w, found, b in zip(pages, body, words, runs, bad, strict=True):
+        alike = sum(len(near.get(r, ())) >= OPEN_PAGES for r in found) if z else len(b)
+        gone = {i + k for i in b for k in range(RUN)} if found and alike / len(found) <= (NEAR_SHARE if z else OPEN_SHARE) else set()
+        kept, at = [], 0
+        for b in t:
+            n = len(b.split())
+            kept.append(" ".join(x for k, x in enumerate(b.split(), at) if k not in gone))
+            at += n
+        out.append([b for b in kept if b])
+    return out
+
+
+def test_whole_hosts_against_a_plain_version(spark):
+    rnd = random.Random(5)
+    shared = {share: " ".join(f"s{share}x{j}" for j in range(12)) for share in (1, 2, 5, 30, 49, 50, 51, 80)}
+    rows, sizes = [], (700, 300, 12, 3)
+    for host, size in enumerate(sizes):
+        for i in range(size):
+            body = rnd.random() < 0.6
+            parts = [" ".join(f"own{host}x{i}x{j}x{k}" for k in range(rnd.randrange(1, 12))) for j in range(rnd.randrange(1, 5))]
+            parts += [t for share, t in shared.items() if rnd.random() * 100 < share]
+            if rnd.random() < 0.02 and rows:
+                parts, body = rows[-1][2], rows[-1][3]
+            rows.append((host, len(rows), parts, body))
+    tag = {True: "article", False: "div"}
+    html = [(n, f"http://h{h}.org/{n}", f"<{tag[b]}>" + "".join(f"<p>{x}</p>" for x in t) + f"</{tag[b]}>") for h, n, t, b in rows]
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(html, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for host in range(len(sizes)):
+        mine = [r for r in rows if r[0] == host]
+        want = plain_clean([r[2] for r in mine], [r[3] for r in mine])
+        assert [out[r[1]] for r in mine] == ["\n\n".join(t) for t in want]
+        changed += sum(w != r[2] for w, r in zip(want, mine, strict=True))
+    print("pages changed by the suffix arrays:", changed)
+    assert changed > 300
+
+
+def test_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>{' '.join(f'w{i}x{j}' for j in range(50))}</p>" for i in range(4000)) + "</article>"
+    (r,) = extract(spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")).collect()
+    assert r.text.count("\n\n") == 3999 and r.n_chars == len(r.text)
