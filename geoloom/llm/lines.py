@@ -1,13 +1,20 @@
-"""Line dedup by prefix doubling over line-ID sequences (operator 1).
-
-A document is its sequence of lines with a word.  Round k names every run of ``2**k`` lines that
-occurs more than once: a run's name is made of the names of its two halves, so a round is one
-join by place and one aggregation by name.  A name is the coordinate of its first occurrence,
-and the suffixes that share it are one interval of the suffix array with a common prefix of at
-least ``2**k`` lines.  Suffixes that are alone leave; the rounds end when none is left, so the
-last round in which a suffix is a later copy bounds its longest common prefix.  Intervals of
-``min_lines`` lines (two overlapping runs of the power of two below it) mark the lines to
-delete: all that a run covers which also begins at a smaller (doc_id, line).
+"""Line dedup by a suffix array over line-ID sequences (operator 1).
+
+A document is its sequence of lines with a word.
+
+1. Prefix doubling: round k names every run of ``2**k`` lines that occurs more than once by the
+   coordinate of its first occurrence.  A run's name is made of those of its two halves, so a
+   round is one join by place and one aggregation by name.  Suffixes with one name are an
+   interval of the suffix array whose longest common prefix is ``2**k`` at least; suffixes that
+   are alone leave, and the rounds end when none is left.
+2. Longest common prefixes: intervals are split from the longest powers down.  An interval of
+   prefix n is split by the names of ``2**k`` lines that follow its n lines; each part is an
+   interval of prefix ``n + 2**k``, and in the interval itself the first suffix stands for the
+   whole part.  After the last power the longest interval in which a suffix isn't the first is
+   the longest run that begins there and also begins earlier, exactly.
+3. A run counts if it has ``min_lines`` lines; the maximal runs of a document are where this
+   length doesn't just go on from the line before.  What they cover goes, and so does a single
+   later line of ``min_words`` words.
 
 Lines are compared by 128 bits of hash, runs by their names.  The rounds carry repeated lines
 only; a line that a third of the corpus repeats is pre-aggregated before the shuffle by name,
@@ -21,12 +28,14 @@ first.  ``dedup`` keeps the other columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.llm.components import checkpoint
 
 MIN_LINES = 2
+#: Words from which on a later copy of a single line goes too.
+MIN_WORDS = 20
 SPACES = " \t\n\x0b\x0c\r"
 NULL_ID = -(1 << 63)
 KEY = ["doc", "part"]
@@ -38,32 +47,36 @@ def _keys(docs: DataFrame) -> tuple[list, bool]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), part.alias("part")], shared
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc, part, pos, at, x, y: the place of each line with a word in its sequence and in its text."""
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc, part, pos, at, x, y: the place of each line with a word in its sequence and in its text; long where it has the characters of min_words words."""
     keys, shared = _keys(docs)
     d = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
     if shared:
         d = d.dropDuplicates(KEY)
-    each = F.transform(F.split("text", "\n", -1), lambda l, i: F.struct(i.alias("at"), F.xxhash64(l).alias("x"), F.xxhash64(F.lit(1), l).alias("y"), (F.translate(l, SPACES, "") != "").alias("word")))
-    return d.select(*KEY, F.posexplode(F.filter(each, lambda s: s["word"])).alias("pos", "s")).select(*KEY, "pos", "s.at", "s.x", "s.y")
+    each = F.transform(
+        F.split("text", "\n", -1),
+        lambda l, i: F.struct(i.alias("at"), F.xxhash64(l).alias("x"), F.xxhash64(F.lit(1), l).alias("y"), (F.translate(l, SPACES, "") != "").alias("word"), (F.length(l) >= 2 * min_words - 1).alias("long")),
+    )
+    return d.select(*KEY, F.posexplode(F.filter(each, lambda s: s["word"])).alias("pos", "s")).select(*KEY, "pos", "s.at", "s.long", "s.x", "s.y")
 
 
 def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """doc, part, pos, at and the name (n1, n2, n3) of rows that share ``by`` with others."""
+    """doc, part, pos, what rows have of at and long, and the name (n1, n2, n3) of rows that share ``by`` with others."""
     heads = rows.groupBy(*by).agg(F.min(F.struct(*KEY, "pos")).alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1")
     heads = heads.select(*[F.col(c).alias(f"_{c}") for c in by], "head")
     same = [F.col(c) == F.col(f"_{c}") for c in by]
     out = rows.join(heads, same)
-    return out.select(*KEY, "pos", "at", F.col("head.doc").alias("n1"), F.col("head.part").alias("n2"), F.col("head.pos").alias("n3"))
+    return out.select(*KEY, "pos", *[c for c in ("at", "long") if c in rows.columns], F.col("head.doc").alias("n1"), F.col("head.part").alias("n2"), F.col("head.pos").alias("n3"))
 
 
 def _paired(names: DataFrame, step: int) -> DataFrame:
     """Names of a run and of the one that begins ``step`` lines further on."""
     right = names.select(*KEY, (F.col("pos") - step).alias("pos"), F.col("n1").alias("m1"), F.col("n2").alias("m2"), F.col("n3").alias("m3"))
-    return names.join(right, [*KEY, "pos"])
+    return names.select(*KEY, "pos", *_NAME).join(right, [*KEY, "pos"])
 
 
-_BOTH = ["n1", "n2", "n3", "m1", "m2", "m3"]
+_NAME = ["n1", "n2", "n3"]
+_NEXT = ["m1", "m2", "m3"]
 
 
 def _later(names: DataFrame) -> DataFrame:
@@ -71,48 +84,88 @@ def _later(names: DataFrame) -> DataFrame:
     return names.where("doc <> n1 OR pos <> n3")
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, DataFrame]:
-    """(doc, part, at) of the lines to delete; (doc, part, longest): lower bound of the longest repeated run, a power of two."""
-    names = checkpoint(_named(_lines(docs), ["x", "y"]))
-    sequence = names.select(*KEY, "pos", "at")
-    size, wanted, longest = 1, None, []
-    while True:
-        if size <= min_lines < 2 * size:
-            exact = names if size == min_lines else checkpoint(_named(_paired(names, min_lines - size), _BOTH))
-            wanted = _later(exact).select(*KEY, "pos")
-        later = _later(names).select(*KEY, F.lit(size).alias("size"))
-        longest.append(later.groupBy(*KEY).agg(F.max("size").alias("longest")))
-        if not names.take(1):
-            break
-        names = checkpoint(_named(_paired(names, size), _BOTH))
-        size *= 2
-    if wanted is None:
-        wanted = sequence.where("false").select(*KEY, "pos")
-    spread = wanted.select(*KEY, F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
-    covered = spread.join(sequence, [*KEY, "pos"]).select(*KEY, "at")
-    best = longest[0]
-    for x in longest[1:]:
-        best = best.unionAll(x)
-    return covered, best.where(F.col("longest") >= min_lines).groupBy(*KEY).agg(F.max("longest").alias("longest"))
-
-
-def mark(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def intervals(first: DataFrame) -> list[DataFrame]:
+    """Names of the repeated runs of 1, 2, 4, ... lines, as long as there are any."""
+    levels = [first]
+    while levels[-1].take(1):
+        levels.append(checkpoint(_named(_paired(levels[-1], 1 << (len(levels) - 1)), _NAME + _NEXT)))
+    return levels[:-1]
+
+
+def _split(members: DataFrame, names: DataFrame, power: int) -> DataFrame:
+    """Members (place, interval's name and prefix n) and those of the parts by the ``power`` lines that follow the n."""
+    follow = names.select(*KEY, F.col("pos").alias("next"), *[F.col(a).alias(b) for a, b in zip(_NAME, _NEXT, strict=True)])
+    rows = members.withColumn("next", F.col("pos") + F.col("n")).join(follow, [*KEY, "next"], "left")
+    by = [*_NAME, "n", *_NEXT]
+    parts = rows.where("m1 IS NOT NULL").groupBy(*by).agg(F.min(F.struct(*KEY, "pos")).alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1")
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in by], "head")
+    rows = rows.join(parts, [F.col(c) == F.col(f"_{c}") for c in by], "left")
+    alone = F.col("head").isNull()
+    is_head = F.struct(*KEY, "pos") == F.col("head")
+    stay = F.struct(*_NAME, "n")
+    part = F.struct(F.col("head.doc").alias("n1"), F.col("head.part").alias("n2"), F.col("head.pos").alias("n3"), (F.col("n") + power).alias("n"))
+    both = F.when(alone, F.array(stay)).when(is_head, F.array(stay, part)).otherwise(F.array(part))
+    return rows.select(*KEY, "pos", F.explode(both).alias("i")).select(*KEY, "pos", "i.*")
+
+
+def longest_runs(levels: list[DataFrame]) -> DataFrame | None:
+    """doc, part, pos, length: the longest run that begins there and also earlier, where it has two lines or more."""
+    members = None
+    for k in range(len(levels) - 1, 0, -1):
+        names = levels[k]
+        if members is not None:
+            members = checkpoint(_split(members, names, 1 << k))
+            upper = _later(levels[k + 1]).select(*KEY, "pos")
+            names = names.join(upper, [*KEY, "pos"], "left_anti")
+        new = names.select(*KEY, "pos", *_NAME, F.lit(1 << k).alias("n"))
+        members = new if members is None else members.unionAll(new)
+    if members is None:
+        return None
+    members = _split(members, levels[0], 1)
+    return _later(members).groupBy(*KEY, "pos").agg(F.max("n").alias("length"))
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(doc, part, at, single) of the lines to delete, single ones if they have min_words words; (doc, part, longest): lines of the longest repeated run from min_lines on."""
+    first = checkpoint(_named(_lines(docs, min_words), ["x", "y"]))
+    levels = intervals(first)
+    lengths = longest_runs(levels)
+    single = _later(first).where("long").select(*KEY, "at", F.lit(True).alias("single"))
+    if min_lines < 2:
+        single = _later(first).select(*KEY, "at", F.lit(False).alias("single"))
+    if lengths is None:
+        return single, first.where("false").select(*KEY, F.lit(1).alias("longest"))
+    lengths = checkpoint(lengths.where(F.col("length") >= max(2, min_lines)))
+    # A run that only goes on from the line before adds no line.
+    before = F.lag(F.col("pos") + F.col("length")).over(Window.partitionBy(*KEY).orderBy("pos"))
+    runs = lengths.select(*KEY, F.greatest("pos", F.coalesce(before, "pos")).alias("from"), (F.col("pos") + F.col("length") - 1).alias("to")).where("from <= to")
+    spread = runs.select(*KEY, F.explode(F.sequence("from", "to")).alias("pos"))
+    covered = spread.join(first.select(*KEY, "pos", "at"), [*KEY, "pos"]).select(*KEY, "at", F.lit(False).alias("single"))
+    return covered.unionAll(single), lengths.groupBy(*KEY).agg(F.max("length").alias("longest"))
+
+
+def mark(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs in a struct ``row``, the kept text, n_lines, n_removed, longest."""
-    covered, longest = repeated_runs(docs, min_lines)
-    gone = covered.groupBy(*KEY).agg(F.collect_list("at").alias("gone")).join(longest, KEY, "left")
+    covered, longest = repeated_runs(docs, min_lines, min_words)
+    gone = covered.groupBy(*KEY).agg(F.collect_list(F.struct("at", "single")).alias("gone")).join(longest, KEY, "left")
     keys, _ = _keys(docs)
     rows = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     j = rows.join(gone, KEY, "left")
     lines = F.split(F.coalesce("row.text", F.lit("")), "\n", -1)
+    words = lambda l: F.size(F.filter(F.split(l, "[ \t\x0b\x0c\r]+"), lambda w: w != ""))
+    # The array is bound once: lines of a text that lose some.
+    bound = lambda f: F.transform(F.array(lines), f)[0]
+    places = lambda a: F.array_distinct(F.transform(F.filter("gone", lambda g: ~g["single"] | (words(F.get(a, g["at"])) >= min_words)), lambda g: g["at"]))
+    j = j.select("row", "longest", F.when(F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(bound(places)).alias("gone"))
     kept = lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone")), lambda i: F.get(a, i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(F.transform(F.array(lines), kept)[0])
+    text = F.when(F.size("gone") == 0, F.coalesce("row.text", F.lit(""))).otherwise(bound(kept))
     n = F.size(F.filter(lines, lambda l: F.translate(l, SPACES, "") != "")).cast("long")
-    return j.select("row", text.alias("kept_text"), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("longest", F.lit(0)).alias("longest"))
+    return j.select("row", text.alias("kept_text"), n.alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
-def dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the kept text; documents that lose all their lines go."""
-    m = mark(docs, min_lines).where("n_removed = 0 OR n_removed < n_lines")
+    m = mark(docs, min_lines, min_words).where("n_removed = 0 OR n_removed < n_lines")
     return m.select(*[F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text")).alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from geoloom.llm import urls
 from geoloom.llm.chat import NARRATOR, OPEN
+from geoloom.llm.lines import MIN_LINES
+from geoloom.llm.lines import MIN_WORDS as MIN_LONG_LINE
 from geoloom.llm.quality import MAX_REPEAT, MIN_WORDS, RULES, STOP_WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -102,22 +104,24 @@ JOIN (SELECT r.x AS rid, min(w.doc_id) AS least FROM r JOIN w ON r.y = w.rid GRO
 """
 
 _BLANK = "length(regexp_replace(x, '[\\x20\\x09-\\x0D]', '', 'g')) > 0"
-_DOUBLED = 12  # runs of up to 2 ** 12 lines are looked for
+_LONG = "len(list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) >= " + str(MIN_LONG_LINE)
 
 LINES = f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
 l AS MATERIALIZED (SELECT doc_id, all_lines, list_filter(list_transform(all_lines, lambda x, i: {{'place': i, 'x': x}}), lambda s: {_BLANK.replace("(x,", "(s.x,")}) AS lines FROM d),
-g AS (SELECT doc_id, i, list_transform(lines[i : i + 1], lambda s: s.x) AS g FROM (SELECT doc_id, lines, unnest(range(1, len(lines))) AS i FROM l)),
-f AS (SELECT g, min((doc_id, i)) AS first FROM g GROUP BY g),
-r AS (SELECT doc_id, i FROM g JOIN f USING (g) WHERE (doc_id, i) <> first),
-c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM r, (SELECT unnest([0, 1]) AS k) GROUP BY doc_id),
-b AS (SELECT doc_id, list_transform(gone, lambda p: lines[p].place) AS places, len(gone) AS n FROM c JOIN l USING (doc_id)),
-p AS (SELECT doc_id, lines, size, unnest(range(1, len(lines) - size + 2)) AS i FROM l, (SELECT CAST(pow(2, unnest(range(1, {_DOUBLED}))) AS BIGINT) AS size) WHERE len(lines) >= size),
-q AS (SELECT doc_id, size, i, list_transform(lines[i : i + size - 1], lambda s: s.x) AS g FROM p),
-o AS (SELECT doc_id, max(q.size) AS longest FROM q JOIN (SELECT g, min((doc_id, i)) AS first FROM q GROUP BY g) USING (g) WHERE (doc_id, i) <> first GROUP BY doc_id)
+e AS MATERIALIZED (SELECT doc_id, i, lines[i].place AS place, lines[i].x AS x FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+n AS MATERIALIZED (SELECT doc_id, i, place, x, min((doc_id, i)) OVER (PARTITION BY x) AS name, count(*) OVER (PARTITION BY x) AS c FROM e),
+r AS (SELECT 1 AS size, doc_id, i, name FROM n WHERE c > 1
+  UNION ALL SELECT size, doc_id, i, name FROM (SELECT r.size + 1 AS size, r.doc_id, r.i, min((r.doc_id, r.i)) OVER w AS name, count(*) OVER w AS c
+    FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + r.size WHERE n.c > 1 WINDOW w AS (PARTITION BY r.name, n.name)) WHERE c > 1),
+p AS MATERIALIZED (SELECT doc_id, i, max(size) AS size FROM r WHERE name <> (doc_id, i) GROUP BY doc_id, i),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM p WHERE size >= {MIN_LINES}
+  UNION SELECT doc_id, i FROM p JOIN n USING (doc_id, i) WHERE {_LONG}),
+c AS (SELECT doc_id, list(place) AS places, count(*) AS n FROM g JOIN n USING (doc_id, i) GROUP BY doc_id),
+o AS (SELECT doc_id, max(size) AS longest FROM p WHERE size >= {MIN_LINES} GROUP BY doc_id)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(longest, 0) AS BIGINT) AS longest_run,
   sha256(array_to_string(CASE WHEN places IS NULL THEN all_lines ELSE list_filter(all_lines, lambda x, j: NOT list_contains(places, j)) END, chr(10))) AS kept_sha256
-FROM l LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)
+FROM l LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
 SQL = {"op1_line_dedup": LINES, "op3_ngram_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING, "op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}
