@@ -432,25 +432,22 @@ def _cut_hosts(t: pa.Table) -> pa.Table:
     return t.filter(pa.array((t.column("shards").to_numpy() > 1) & np.array([bool(x) for x in t.column("text").to_pylist()], bool)))
 
 
-_NAMED = "group long, block long, keys array<long>"
-
-
 def _candidates(t: pa.Table) -> pa.Table:
-    """For each group of bodies of a cut host the runs on half of the block's bodies."""
-    block = t.column("block")[0].as_py()
+    """host, keys: for each cut host the runs on half of the block's bodies."""
     t = _cut_hosts(t)
     t = t.filter(t.column("body"))
     texts, groups, _ = _read(t)
-    rows = {"group": [], "block": [], "keys": []}
+    host = dict(zip(groups.tolist(), t.column("host").to_pylist(), strict=True))
+    rows = {"host": [], "keys": []}
     if texts:
         distinct, of, n = distinct_pages(texts, groups)
         runs = runs_of(texts, groups, distinct)
         for g, pages in zip(of, n, strict=True):
             often = (runs.group == g) & (2 * runs.spans >= pages) if runs else np.empty(0, bool)
-            rows["group"].append(int(g.view(np.int64)))
-            rows["block"].append(block)
-            rows["keys"].append(runs.keys[often].view(np.int64).tolist() if runs else [])
-    return pa.table(rows, schema=pa.schema([("group", pa.int64()), ("block", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+            if often.any():
+                rows["host"].append(host[int(g)])
+                rows["keys"].append(runs.keys[often].view(np.int64).tolist())
+    return pa.table(rows, schema=pa.schema([("host", pa.int64()), ("keys", pa.list_(pa.int64()))]))
 
 
 _COUNTS = "bucket int, block long, keys binary, counts binary"
@@ -591,10 +588,10 @@ def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     shard = F.pmod(F.xxhash64("text"), F.col("shards"))
     block = F.pmod(F.when(F.col("text") == "", F.xxhash64("ids", "urls")).otherwise(F.xxhash64("host", shard)), F.lit(n_blocks))
     dealt = parsed.withColumn("block", block).repartition("block")
-    named = dealt.groupBy("block").applyInArrow(_candidates, _NAMED)
-    keys = named.select("group", F.explode("keys").alias("key")).distinct()
-    wanted = named.select("group", "block").join(keys, "group").groupBy("block").agg(F.collect_list("key").alias("keys"))
-    counts = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_counter(buckets), _COUNTS)
+    keys = dealt.groupBy("block").applyInArrow(_candidates, "host long, keys array<long>").select("host", F.explode("keys").alias("key")).distinct()
+    places = dealt.where("body AND shards > 1 AND text <> ''").select("host", F.col("block").alias("into")).distinct()
+    wanted = places.join(keys, "host").groupBy("into").agg(F.collect_list("key").alias("keys"))
+    counts = dealt.groupBy("block").cogroup(wanted.groupBy("into")).applyInArrow(_counter(buckets), _COUNTS)
     sums = counts.groupBy("bucket").applyInArrow(_sum, _SUMS)
     alike = dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(_alike(buckets), _COUNTS)
     near = alike.groupBy("bucket").applyInArrow(_sum, _SUMS)
