@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from geoloom.llm import text as T
-from geoloom.llm.decontaminate import EDITS, Items, clean, leaks, stretch_distance
+from geoloom.llm.decontaminate import EDITS, Items, buckets, clean, leaks, stretch_distance
 
 from .conftest import frame
 
@@ -86,6 +86,20 @@ def test_recall_at_the_edges(place, edit):
     assert hits >= 0.97 * n
 
 
+def test_recall_of_items_in_segments():
+    rnd, hits = random.Random(13), 0
+    vocab = [f"w{i}" for i in range(500)]
+    for _ in range(60):
+        x = [rnd.choice(vocab) for _ in range(rnd.randrange(60, 400))]
+        y = list(x)
+        for p in sorted(rnd.sample(range(len(x)), len(x) * EDITS // 100), reverse=True):
+            y[p : p + rnd.randrange(2)] = ["edited"] * rnd.randrange(2)
+        other = [rnd.choice(vocab) for _ in range(50)]
+        (w,) = T.blocks(pa.array([" ".join(other + y + other)]))
+        hits += any(True for _ in Items([0], [" ".join(x)]).leaks(w))
+    assert hits >= 59
+
+
 def test_stretch():
     rnd = random.Random(1)
     for _ in range(100):
@@ -99,3 +113,39 @@ def test_edges(spark):
     assert {(r.doc_id, r.item_id, r.distance) for r in leaks(d, b).collect()} == {(None, 1, 0), (4, 1, 0)}
     assert sorted(r.doc_id for r in clean(d, b).collect()) == [2, 3, 5]
     assert leaks(d, b.limit(0)).count() == 0 and leaks(d.limit(0), b).count() == 0
+
+
+def test_a_long_item(spark):
+    """An item of 10,000 words in a longer document, edited at the limit."""
+    rnd = random.Random(9)
+    x = [f"v{rnd.randrange(3000)}" for _ in range(10_000)]
+    y = list(x)
+    for p in sorted(rnd.sample(range(len(x)), 1400), reverse=True):
+        y[p : p + 1] = [] if p % 3 == 0 else ["edited"] * (1 + (p % 3 == 1))
+    other = [f"v{rnd.randrange(3000)}" for _ in range(9000)]
+    near = [w if rnd.random() < 0.7 else "other" for w in x]
+    d = spark.createDataFrame([(1, " ".join(other[:5000] + y + other[5000:])), (2, " ".join(other)), (3, " ".join(near))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(x))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks(d, b).collect()] == [(1, 7)]
+
+
+def test_item_blocks_do_not_matter(spark):
+    items, docs = case(11)
+    d = frame(spark, [(i, " ".join(w)) for i, w in enumerate(docs)])
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = sorted(map(tuple, leaks(d, b).collect()))
+    assert want and sorted(map(tuple, leaks(d, b, item_block=1).collect())) == want
+    assert sorted(map(tuple, leaks(d, b, item_bytes=100).collect())) == want
+
+
+def test_embedding_keeps_near_words_near():
+    """Equal words share all buckets, near ones some, others none."""
+    rnd = random.Random(2)
+    x = np.array([rnd.getrandbits(64) | 1 for _ in range(40)], np.uint64)
+    near = x.copy()
+    near[17] = np.uint64(5)
+    other = np.array([rnd.getrandbits(64) | 1 for _ in range(40)], np.uint64)
+    k = buckets(np.stack([x, x, near, other]))
+    assert (k[:, 0] == k[:, 1]).all()
+    assert 0.4 < (k[:, 0] == k[:, 2]).mean() < 1
+    assert not (k[:, 0] == k[:, 3]).any()
