@@ -10,7 +10,8 @@ then over the blocks' totals.
 
 Defined results: a null role is the participant ``unknown``, a null text is empty, turns with a
 null number come first, equal numbers are ordered by role and text (repeated rows stay, in any
-order, being equal); a null conversation id is a conversation of its own.  ``system`` turns are
+order, being equal); a null conversation id is a conversation of its own.  Marks inside texts and names are
+broken up and line ends in names are spaces, so no turn can forge another.  ``system`` turns are
 rendered as they are for every perspective and ``system`` is no participant; a conversation
 without any other speaker has no rows.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+#: What begins a mark, and what stands for it inside names and texts.
+MARK, PLAIN = "<|im_", "<| im_"
 NARRATOR = "system"
 
 
@@ -30,8 +33,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     turns = conversations.select(
         "conv_id",
         "turn",
-        F.coalesce("role", F.lit("unknown")).alias("speaker"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.translate(F.replace(F.coalesce("role", F.lit("unknown")), F.lit(MARK), F.lit(PLAIN)), "\r\n", "  ").alias("speaker"),
+        F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(PLAIN)).alias("text"),
     ).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
     people = turns.where(F.col("speaker") != NARRATOR).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     rows = turns.join(people, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")

@@ -1,17 +1,22 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by directory (operator 5).
 
-Every line of a whole file that holds a cue word is a notice, and so is every paragraph of several
-lines that holds one, as a whole.  Notices and templates are vectors
-of lower-cased words weighted by term count times ``ln((1 + N) / (1 + df)) + 1``, with N and df
-over all single lines and templates; a file's own licence is the best template over its notices, from
-``THRESHOLD`` on.  A file without one inherits from the nearest directory above it that has a
-licence file: its directories are joined to the licences of directories by path.  Everything is
-DataFrame expressions; templates meet notices by term, so a shuffle carries notices only.
+Vectors are the notices of a file that holds a cue word: each line with one, each paragraph of
+several lines with one as a whole (so wrapped headers and licence texts), and the whole text.
+Notices and templates are vectors of lower-cased words weighted by term count times
+``ln((1 + N) / (1 + df)) + 1``, with N and df over all lines with a cue and templates; a file's
+own licence is the best template over its notices, from ``THRESHOLD`` on.  Cue words only choose
+what becomes a vector; the cosine decides.
+
+A licence file is one with a licence of its own that is named like one, or whose whole text is
+similar to a template from ``FILE_THRESHOLD`` on.  A file without a licence inherits from the nearest directory above it that has
+a licence file: its directories are joined to the licences of directories by path.  Everything is
+DataFrame expressions.  Texts are read once; notices are checkpointed and templates meet them by
+term, so shuffles carry notices only.
 
 Defined results: null texts and paths have no notice and nothing to inherit; a licence file's
 directory is where it lies, the best score wins among several in one directory, then the smaller
 path; equal scores of templates are settled by name.  Files are known by ``id``; repeated rows
-with one id are one file's notices together and come back as often as they came.
+with one id are one file's notices together and come back as often as they came.  Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -19,11 +24,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.functions.checkpoints import checkpoint
+
 THRESHOLD = 0.6
-CUE = r"(?i)\b(licen[cs]e[ds]?|copyright|spdx-license-identifier|public domain|rights reserved|permission is hereby granted|redistribution and use)\b"
-#: What marks a short text as the licence file of a folder.
-FILE_CUE = r"(?i)\b(licen[cs]e[ds]?|copyright|spdx-license-identifier|public domain)\b"
+#: From which similarity of a whole text on it is a licence file, whatever its name.
+FILE_THRESHOLD = 0.9
+_CUES = ("licen[cs]e[ds]?", "copyright", "spdx-license-identifier", "public domain", "rights reserved", "permission is hereby granted", "redistribution and use")
+
+
+def cue(gap: str = " ") -> str:
+    """Pattern of the cue words, with gap between those of one cue; no look-around, so that SQL can share it."""
+    return f"(?i)(?:^|[^a-z0-9_])(?:{'|'.join(c.replace(' ', gap) for c in _CUES)})(?:$|[^a-z0-9_])"
+
+
+CUE = cue()
+SPACE = r"[ \t\n\x0B\f\r]"
+#: The signs of comments before a line.
+SIGNS = r"^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+)?[ \t]*"
+BLANK = rf"\n{SPACE}*\n"
+WRAPPED = rf"[^ \t\n\x0B\f\r][ \t]*\n{SPACE}*[^ \t\n\x0B\f\r]"
+TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
+LINE, PARAGRAPH, TEXT = range(3)
 
 #: Ids that SPDX tags name, by the licence they stand for.
 SPDX = (
@@ -78,37 +100,38 @@ TEMPLATES = (
 
 
 def _terms(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[^a-z0-9.\-]+|[.\-]+(?=\s|$)"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0))
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """id, line, whole, x, y (the line's hash): the lines with a cue word, and whole paragraphs of several lines that hold one; equal ones of a file once."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x.rlike(CUE))
+    """id, kind, line, x, y (the line's hash): the vectors of files that hold a cue word; equal ones of a file once."""
+    some = files.where(F.col("text").rlike(cue("[^a-z0-9_]+")))
+    text = F.regexp_replace("text", r"\r\n?", "\n")
     # A paragraph ends at a blank line; the signs of comments before its lines go.
-    plain = F.regexp_replace(text, r"(?m)^[ \t]*(?:/\*+|\*+/|\*|//+|#+|--+|;+)?[ \t]*", "")
-    paragraphs = F.transform(F.filter(F.split(plain, r"\n\s*\n", -1), lambda p: p.rlike(r"\S[ \t]*\n\s*\S")), lambda p: F.regexp_replace(p, r"\s+", " "))
-    wrapped = F.filter(paragraphs, lambda p: p.rlike(CUE))
-    each = F.concat(
-        F.transform(F.array_distinct(lines), lambda x: F.struct(x.alias("line"), F.lit(False).alias("whole"))),
-        F.transform(F.array_distinct(wrapped), lambda x: F.struct(x.alias("line"), F.lit(True).alias("whole"))),
-    )
-    return files.where(plain.rlike(CUE) | F.regexp_replace(plain, r"\s+", " ").rlike(CUE)).select("id", F.explode(each).alias("n")).select("id", "n.line", "n.whole", F.xxhash64("n.line").alias("x"), F.xxhash64(F.lit(1), "n.line").alias("y"))
+    plain = F.regexp_replace(text, f"(?dm){SIGNS}", "")
+    flat = lambda p: F.regexp_replace(p, f"{SPACE}+", " ")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(CUE))
+    wrapped = F.filter(F.transform(F.filter(F.split(plain, BLANK, -1), lambda p: p.rlike(WRAPPED)), flat), lambda p: p.rlike(CUE))
+    tagged = lambda a, kind: F.transform(F.array_distinct(a), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("line")))
+    each = F.concat(tagged(lines, LINE), tagged(wrapped, PARAGRAPH), tagged(F.array(flat(plain)), TEXT))
+    return some.select("id", F.explode(each).alias("n")).select("id", "n.kind", "n.line", F.xxhash64("n.line").alias("x"), F.xxhash64(F.lit(1), "n.line").alias("y"))
 
 
 def scores(lines: DataFrame, templates: DataFrame) -> DataFrame:
-    """x, y, whole, license, score: the best template of each distinct notice; weights follow lines and templates."""
-    key = ["x", "y", "whole"]
+    """x, y, kind, license, score: the best template of each distinct notice; weights follow lines and templates."""
+    key = ["x", "y", "kind"]
     distinct = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("weight"), F.first("line").alias("line"))
     terms = distinct.select(*key, "weight", F.explode(_terms(F.col("line"))).alias("term")).groupBy(*key, "weight", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = checkpoint(terms)
     t_terms = templates.select("license", F.col("text").alias("of"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "of", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = distinct.where("NOT whole").select("weight").unionAll(templates.select(F.lit(1).cast("long"))).agg(F.sum("weight").alias("total"))
-    counted = terms.select("term", F.when(F.col("whole"), 0).otherwise(F.col("weight")).cast("long").alias("weight"))
+    # One number: how many lines and templates there are.
+    total = lines.where(F.col("kind") == LINE).count() + templates.count()
+    counted = terms.where(F.col("kind") == LINE).select("term", "weight")
     df = counted.unionAll(t_terms.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("weight").alias("df"))
-    # One row: the total; joined on a constant, it is broadcast by its size.
-    idf = df.join(total, F.lit(True)).select("term", (F.log((1 + F.coalesce("total", F.lit(0))) / (1 + F.col("df"))) + 1).alias("idf"))
-    a = terms.join(idf, "term").select(*key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    b = t_terms.join(idf, "term").select("license", "of", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    # Terms of no line or template are in vectors of paragraphs and texts only.
+    weight = F.log((1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    a = terms.join(df, "term", "left").select(*key, "term", (F.col("tf") * weight).alias("w"))
+    b = t_terms.join(df, "term", "left").select("license", "of", "term", (F.col("tf") * weight).alias("v"))
     norms = a.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     t_norms = b.groupBy("license", "of").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("t_norm"))
     dots = a.join(b, "term").groupBy(*key, "license", "of").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
@@ -126,15 +149,15 @@ def _above(path: Column) -> Column:
 
 def scan(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, path, license, score, found (own, inherited or none), from_dir of each file (id, path, text)."""
-    files = files.select("id", "path", "text")
-    found = notices(files)
-    best = found.drop("line").join(scores(found, templates), ["x", "y", "whole"]).where(F.col("score") >= threshold)
-    own = best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col("id").alias("own_id"), F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"))
+    found = checkpoint(notices(files.select("id", "text")))
+    best = found.drop("line").join(scores(found, templates), ["x", "y", "kind"]).where(F.col("score") >= threshold)
+    own = best.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max((F.col("kind") == TEXT) & (F.col("score") >= FILE_THRESHOLD)).alias("whole"))
+    own = checkpoint(own.select(F.col("id").alias("own_id"), F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score"), "whole"))
     base = files.select("id", "path").join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id")
 
     name = F.element_at(F.split("path", "/"), -1)
-    is_file = F.col("own").isNotNull() & name.rlike(LICENSE_FILE)
-    dirs = base.where(is_file).groupBy(_above(F.col("path"))[0].alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own")).alias("b"))
+    is_file = F.col("own").isNotNull() & (name.rlike(LICENSE_FILE) | F.col("whole"))
+    dirs = base.where(is_file & F.col("path").isNotNull()).groupBy(_above(F.col("path"))[0].alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own")).alias("b"))
     dirs = dirs.select("dir", F.col("b.own").alias("dir_license"), (-F.col("b.s")).alias("dir_score"))
 
     # Directories, not files, look for the nearest licence: many files share one directory.
@@ -155,21 +178,16 @@ def scan(files: DataFrame, templates: DataFrame, threshold: float = THRESHOLD) -
 
 
 def template_frame(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    return spark.createDataFrame(list(templates), "license string, text string")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in templates) + " AS t(license, text)")
 
 
 def tree(docs: DataFrame) -> DataFrame:
-    """The corpus as files: source/lang/shard/doc_id.txt.
-
-    A text that is short and holds a notice is a licence file; it governs ``source/lang``.
-    """
+    """The corpus as files: source/lang/shard/doc_id.txt, a thousand ids a shard."""
     folder = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")))
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
-    is_file = F.col("text").rlike(FILE_CUE) & (words <= 100)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     shard = F.coalesce(F.floor(F.col("doc_id") / 1000).cast("string"), F.lit("null"))
-    path = F.when(is_file, F.concat(folder, F.lit("/LICENSE."), key)).otherwise(F.concat(folder, F.lit("/"), shard, F.lit("/"), key, F.lit(".txt")))
-    return docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return docs.select(F.col("doc_id").alias("id"), F.concat(folder, F.lit("/"), shard, F.lit("/"), key, F.lit(".txt")).alias("path"), "text")
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from geoloom.llm import urls
-from geoloom.llm.chat import NARRATOR, OPEN
+from geoloom.llm import licenses, urls
+from geoloom.llm.chat import MARK, NARRATOR, OPEN, PLAIN
 from geoloom.llm.lines import MIN_LINES
 from geoloom.llm.lines import MIN_WORDS as MIN_LONG_LINE
 from geoloom.llm.quality import MAX_REPEAT, MIN_WORDS, RULES, STOP_WORDS
@@ -64,7 +64,7 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN listed THEN 'block' E
 """
 
 CHAT = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '{MARK}', '{PLAIN}'), chr(13) || chr(10), '  ') AS speaker, replace(coalesce(text, ''), '{MARK}', '{PLAIN}') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{NARRATOR}'),
 r AS (SELECT t.*, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = '{NARRATOR}' THEN '{NARRATOR}' ELSE 'user' END AS role
     FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
@@ -124,4 +124,46 @@ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIG
 FROM l LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
-SQL = {"op1_line_dedup": LINES, "op3_ngram_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING, "op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}
+def _string(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _vectors(name: str, of: str) -> str:
+    """Norms and weighted terms of the vectors in ``of`` (key, terms)."""
+    return f"""{name}_t AS MATERIALIZED (SELECT key, term, count(*) * (ln((1.0e0 + (SELECT n FROM total)) / (1 + coalesce(any_value(df), 0))) + 1) AS w
+    FROM (SELECT key, unnest(terms) AS term FROM {of}) LEFT JOIN df USING (term) GROUP BY key, term),
+{name}_n AS (SELECT key, sqrt(sum(w * w)) AS norm FROM {name}_t GROUP BY key)"""
+
+
+_TERMS = f"regexp_extract_all(lower(line), {_string(licenses.TERM)})"
+_FLAT = f"regexp_replace(p, {_string(licenses.SPACE + '+')}, ' ', 'g')"
+_SOME_CUE = _string(licenses.cue("[^a-z0-9_]+"))
+
+LICENSES = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, text, concat(coalesce(source, 'unknown'), '/', coalesce(lang, 'unknown'), '/', coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), 'null'), '/', coalesce(CAST(doc_id AS VARCHAR), 'null'), '.txt') AS path FROM documents),
+c AS MATERIALIZED (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), {_string('(?m)' + licenses.SIGNS)}, '', 'g') AS p FROM d WHERE regexp_matches(text, {_SOME_CUE})),
+notice AS MATERIALIZED (SELECT DISTINCT doc_id, 0 AS kind, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM c) WHERE regexp_matches(line, {_string(licenses.CUE)})
+  UNION ALL SELECT DISTINCT doc_id, 1, {_FLAT} FROM (SELECT doc_id, unnest(regexp_split_to_array(p, {_string(licenses.BLANK)})) AS p FROM c)
+    WHERE regexp_matches(p, {_string(licenses.WRAPPED)}) AND regexp_matches({_FLAT}, {_string(licenses.CUE)})
+  UNION ALL SELECT DISTINCT doc_id, 2, {_FLAT} FROM c),
+template AS (SELECT * FROM (VALUES {", ".join(f"({_string(a)}, {_string(b)})" for a, b in licenses.TEMPLATES)}) AS t(license, line)),
+total AS (SELECT (SELECT count(*) FROM notice WHERE kind = 0) + (SELECT count(*) FROM template) AS n),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TERMS})) AS term FROM notice WHERE kind = 0 UNION ALL SELECT unnest(list_distinct({_TERMS})) FROM template) GROUP BY term),
+a AS (SELECT DISTINCT line AS key, {_TERMS} AS terms FROM notice),
+b AS (SELECT license || chr(10) || line AS key, {_TERMS} AS terms FROM template),
+{_vectors("a", "a")},
+{_vectors("b", "b")},
+s AS (SELECT a_t.key AS line, split_part(b_t.key, chr(10), 1) AS license, round(sum(a_t.w * b_t.w) / (any_value(a_n.norm) * any_value(b_n.norm)), 6) AS score
+  FROM a_t JOIN b_t USING (term) JOIN a_n ON a_n.key = a_t.key JOIN b_n ON b_n.key = b_t.key GROUP BY a_t.key, b_t.key),
+o AS MATERIALIZED (SELECT doc_id, min((-score, license)) AS best, max(CASE WHEN kind = 2 AND score >= {licenses.FILE_THRESHOLD} THEN 1 ELSE 0 END) AS whole FROM notice JOIN s USING (line) WHERE score >= {licenses.THRESHOLD} GROUP BY doc_id),
+e AS MATERIALIZED (SELECT d.doc_id, d.path, o.best[2] AS own, -o.best[1] AS own_score, o.whole, regexp_replace(d.path, '/[^/]*$', '') AS home FROM d LEFT JOIN o USING (doc_id)),
+f AS (SELECT home AS dir, min((-own_score, path, own)) AS b FROM e WHERE own IS NOT NULL AND whole = 1 GROUP BY home),
+h AS (SELECT DISTINCT home, string_split(home, '/') AS parts FROM e),
+u AS (SELECT home, n, array_to_string(parts[1 : n], '/') AS dir FROM (SELECT home, parts, unnest(range(0, len(parts) + 1)) AS n FROM h)),
+n AS (SELECT home, max((n, dir, b)) AS best FROM u JOIN f USING (dir) GROUP BY home)
+SELECT doc_id, path, coalesce(own, best[3][3]) AS license, coalesce(own_score, -best[3][1]) AS score,
+  CASE WHEN own IS NOT NULL THEN 'own' WHEN best IS NOT NULL THEN 'inherited' ELSE 'none' END AS found, CASE WHEN own IS NULL THEN best[2] END AS from_dir
+FROM e LEFT JOIN n USING (home)
+"""
+
+SQL = {"op5_license_scans": LICENSES, "op1_line_dedup": LINES, "op3_ngram_jaccard_join": JACCARD, "op9_substring_dedup": SUBSTRING, "op7_chat_formatting": CHAT, "op2_url_filters": URLS, "op4_quality_rules": QUALITY}

@@ -2,8 +2,13 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
+
 from geoloom.llm.licenses import CUE, TEMPLATES, THRESHOLD, op5_license_scans, scan, template_frame, tree
 
+from geoloom.llm import oracle
+
 from .conftest import frame
 
 FILES = [
@@ -21,14 +26,17 @@ FILES = [
 
 
 def terms(line):
-    return Counter(t for t in re.split(r"[^a-z0-9.\-]+|[.\-]+(?=\s|$)", line.lower()) if t)
+    return Counter(re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", line.lower()))
 
 
 def brute(files):
+    """The best template of each file over its lines with a cue and, as a vector of other terms' weights too, its whole text."""
     lines = sorted({(i, x) for i, _, t in files for x in (t or "").split("\n") if re.search(CUE, x)})
     docs = [terms(x) for _, x in lines] + [terms(x) for _, x in TEMPLATES]
+    total = len(docs)
+    lines += sorted({(i, " ".join(t.split())) for i, _, t in files if re.search(CUE, t or "")})
     df = Counter(t for d in docs for t in d)
-    idf = {t: math.log((1 + len(docs)) / (1 + n)) + 1 for t, n in df.items()}
+    idf = {t: math.log((1 + total) / (1 + df[t])) + 1 for d in docs + [terms(x) for _, x in lines] for t in d}
     vec = lambda d: {t: n * idf[t] for t, n in d.items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     own = {}
@@ -75,8 +83,25 @@ def test_notices_beyond_one_line(spark):
         (4, "b/y.c", "/*\n * Licensed under the Apache\n * License, Version\n * 2.0.\n */\n\nint y;"),
         (5, "b/z.txt", mit + "\n\nThe rest."),
         (6, "b/w.txt", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"),
-        (7, "b/v.c", "# SPDX-License-Identifier: Nobodys-1.0"),
+        (7, "c/v.c", "# SPDX-License-Identifier: Nobodys-1.0"),
     ]
     got = {r.id: (r.license, r.found) for r in scan(spark.createDataFrame(files, "id long, path string, text string"), template_frame(spark)).collect()}
     own = {1: "MIT", 2: "Proprietary", 3: "Apache-2.0", 4: "Apache-2.0", 5: "MIT", 6: "BSD-3-Clause"}
     assert got == {i: (x, "own") for i, x in own.items()} | {7: (None, "none")}
+
+
+def test_sql(spark, tmp_path):
+    texts = [t for _, _, t in FILES] + ["All rights reserved.", "/*\n * Licensed under the Apache\r\n * License, Version\n * 2.0.\n */\n\nint y;", "prose " * 3000 + "\nReleased under the MIT License."]
+    d = pd.DataFrame([(90 * i, t, ("en", None)[i % 2], "s") for i, t in enumerate(texts)] + [(7, "plain", "en", "other")], columns=["doc_id", "text", "lang", "source"])
+    d.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", d)
+    want = con.execute(oracle.LICENSES).df().sort_values("doc_id")
+    got = op5_license_scans(spark, str(tmp_path)).toPandas().sort_values("doc_id")[list(want.columns)]
+    assert got.fillna("-").to_numpy().tolist() == want.fillna("-").to_numpy().tolist()
+    assert {"own", "inherited", "none"} == set(want.found)
+
+
+def test_extra_columns(spark):
+    d = frame(spark, [(1, "Released under the MIT License."), (2, "x " * 100_000)])
+    assert sorted((r.id, r.found) for r in scan(d.selectExpr("doc_id AS id", "'a/b' AS path", "text", "class AS license", "key AS own", "row AS kind"), template_frame(spark)).collect()) == [(1, "own"), (2, "inherited")]
