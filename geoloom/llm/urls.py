@@ -1,13 +1,13 @@
 """URL filters: a blocked Bloom filter before an exact hash join (operator 2).
 
 A rule is a host and a path prefix; it fits its host and all subdomains.  Rules and listed URLs
-become canonical keys (host suffix + path prefix).  For each page the keys of the shapes that
-occur in the lists (labels in the host, characters in the path) are probed in a blocked Bloom
-filter; only possible hits go, by distinct address, to a hash join with the exact keys, which
-removes false positives.  The longest rule wins; among rules of one length the longer host, then
+become canonical keys (host suffix + path prefix).  A distinct address first probes its host and the
+parents of this in a blocked Bloom filter of listed hosts, then, below possible ones, the keys
+with paths of the lengths that occur in a filter of listed keys; only possible hits go to a hash
+join with the exact keys, which removes false positives.  The longest rule wins; among rules of one length the longer host, then
 block over allow.
 
-The filter has the same size whatever the lists' size (32 MB), so what is broadcast is bounded;
+Each filter has the same size whatever the lists' size (32 MB), so what is broadcast is bounded;
 one that is too full only lets more rows through to the join.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no
@@ -63,19 +63,30 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
     r = rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.concat("host", "path").alias("key"), "host", "path", "verdict")
     x = listed.where("host IS NOT NULL AND path IS NOT NULL").select(F.concat("host", "path").alias("key"), "host", "path", F.lit(None).cast("string").alias("verdict"))
     keys = r.unionByName(x).distinct()
-    shapes = sorted((s.n, s.m) for s in keys.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("m")).distinct().collect())
-    bits = spark.sparkContext.broadcast(bloom.build(keys.select(F.xxhash64("key").alias("h"))))
-
-    # The keys of an address, one of each shape that it is long enough for.
-    n = F.size(F.split("host", r"\."))
-    each = [F.when((n >= a) & (F.length("path") >= b), F.concat(F.substring_index("host", ".", -a), F.substring("path", 1, b))) for a, b in shapes]
-    probes = rows.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(F.filter(F.array(*each, F.lit(None).cast("string")), lambda k: k.isNotNull())).alias("key"))
-
-    def possible(batches):
-        for b in batches:
-            yield b.filter(pa.array(bloom.possible(bits.value, np.asarray(b.column("h")))))
-
-    found = probes.withColumn("h", F.xxhash64("key")).mapInArrow(possible, "host string, path string, key string, h long")
+    # Path lengths of the keys by labels of their hosts; at most the lists' longest path a label.
+    lengths: dict[int, list[int]] = {}
+    for r in keys.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("m")).distinct().orderBy("n", "m").toLocalIterator():
+        lengths.setdefault(r.n, []).append(r.m)
+    send = spark.sparkContext.broadcast
+    host_bits = send(bloom.build(keys.select(F.xxhash64("host").alias("h")).distinct()))
+    key_bits = send(bloom.build(keys.select(F.xxhash64("key").alias("h"))))
+
+    def possible(bits):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(bloom.possible(bits.value, np.asarray(b.column("h")))))
+
+        return run
+
+    # First the host and its parents, then, below those that may be listed, the paths of the lengths that occur.
+    labels = F.filter(F.array(*[F.lit(n) for n in lengths] or [F.lit(None).cast("int")]), lambda n: n <= F.size(F.split("host", r"\.")))
+    hosts = rows.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(labels).alias("n"))
+    hosts = hosts.withColumn("suffix", F.array_join(F.slice(F.split("host", r"\."), -F.col("n"), F.col("n")), ".")).withColumn("h", F.xxhash64("suffix"))
+    hosts = hosts.mapInArrow(possible(host_bits), "host string, path string, n int, suffix string, h long")
+    of = F.coalesce(*[F.when(F.col("n") == n, F.array(*[F.lit(m) for m in ms])) for n, ms in lengths.items()], F.array().cast("array<int>"))
+    probes = hosts.select("host", "path", "suffix", F.explode(F.filter(of, lambda m: m <= F.length("path"))).alias("m"))
+    probes = probes.select("host", "path", F.concat("suffix", F.substring("path", F.lit(1), F.col("m"))).alias("key"))
+    found = probes.withColumn("h", F.xxhash64("key")).mapInArrow(possible(key_bits), "host string, path string, key string, h long")
     exact = found.drop("h").join(keys.select("key", F.length("host").alias("n"), "verdict"), "key")
     best = F.struct(F.length("key").alias("len"), "n", F.when(F.col("verdict") == "block", 1).otherwise(0).alias("b"), "key", "verdict")
     won = exact.groupBy("host", "path").agg(F.max(F.when(F.col("verdict").isNotNull(), best)).alias("won"), F.max(F.col("verdict").isNull()).alias("listed"))

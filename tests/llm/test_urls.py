@@ -32,3 +32,17 @@ def test_empty(spark):
     assert judge(pages.limit(0), r, x).count() == 0
     (got,) = judge(pages, r.limit(0), x.limit(0)).collect()
     assert (got.rule, got.verdict) == (None, "allow")
+
+
+def test_lists_with_paths_of_many_lengths(spark):
+    rnd = random.Random(8)
+    label = lambda: rnd.choice(["a", "b", "cc", "news", "org", "net"])
+    host = lambda: ".".join(label() for _ in range(rnd.randrange(1, 5)))
+    path = lambda n: "/" + "".join(rnd.choice("ab/é%") for _ in range(rnd.randrange(n)))
+    rules = sorted({(rnd.choice(["allow", "block"]), host(), path(9)) for _ in range(150)})
+    listed = sorted({(host(), path(40)) for _ in range(150)})
+    urls = [f"https://{host()}{path(30)}?q={path(9)}" for _ in range(400)] + ["https://news.org/" + "a" * 100_000, "x://" + "a." * 500 + "org/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.listed) for r in judge(pages, *frames(spark, rules, listed)).collect()}
+    assert got == {i: brute(u, rules, listed) for i, u in enumerate(urls)}
+    assert len({x[2] for x in got.values()}) > 10
