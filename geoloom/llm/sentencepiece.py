@@ -291,7 +291,7 @@ def digests(df: DataFrame, path: str) -> DataFrame:
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """docs with token_ids, n_tokens and decoded (the text that the ids give back) behind their columns.
 
-    A column of docs that has one of these names is replaced.
+    A column of docs that has one of these names comes back with ``_in`` behind its name.
     """
 
     def run(batches):
@@ -304,8 +304,8 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         c.forget()
 
     bound_batches(docs)
-    names = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "decoded")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text"))
+    ours = ("token_ids", "n_tokens", "decoded")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"{c}_in" if c in ours else c) for c in docs.columns]).alias("row"), F.col("text"))
     kind = rows.schema["row"].dataType
     out = rows.mapInArrow(run, StructType([StructField("row", kind), StructField("token_ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
     return out.select("row.*", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "decoded")
