@@ -27,7 +27,7 @@ def test_stages_like_brute_force(spark, tmp_path):
     kept = {r.doc_id: r.text for r in out.collect()}
     assert set(range(40)) <= set(kept) and not {51, 52, 53, 54} & set(kept) and out.columns == columns
     out = p.STAGES[1][1](spark, out, str(tmp_path))
-    want = {i: t for i, (n, m, t) in test_lines.brute(list(kept.items()), 2).items() if m == 0 or m < n}
+    want = {i: t for i, (n, m, _, t) in test_lines.brute(list(kept.items()), 2).items() if m == 0 or m < n}
     kept = {r.doc_id: r.text for r in out.collect()}
     assert kept == want and out.columns == columns
     out = p.STAGES[2][1](spark, out, str(tmp_path))
