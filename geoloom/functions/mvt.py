@@ -98,6 +98,25 @@ class LayerBuilder:
         self.features.append(out)
         return True
 
+    def add_points(self, xs: list[int], ys: list[int], columns: dict, fids: list) -> None:
+        """Points with columns (Arrow arrays) of properties; as ``add`` of each, a dictionary entry at a time."""
+        tags: list[list[bytes]] = []
+        for name, column in columns.items():
+            coded = column.dictionary_encode()
+            coded = coded.combine_chunks() if hasattr(coded, "combine_chunks") else coded
+            if coded.null_count == len(coded):
+                continue
+            key = _varint(self.keys.setdefault(name, len(self.keys)))
+            entries = [key + _varint(self.values.setdefault((type(v), v), len(self.values))) for v in coded.dictionary.to_pylist()]
+            tags.append([b"" if i is None else entries[i] for i in coded.indices.to_pylist()])
+        joined = [b"".join(t) for t in zip(*tags, strict=True)] if tags else [b""] * len(xs)
+        for x, y, t, fid in zip(xs, ys, joined, fids, strict=True):
+            out = _number(1, fid) if fid is not None and fid >= 0 else b""
+            if t:
+                out += _field(2, t)
+            place = b"\x09" + _varint(_zigzag(x)) + _varint(_zigzag(y))
+            self.features.append(out + b"\x18\x01\x22" + bytes((len(place),)) + place)
+
     def encoded(self) -> bytes:
         out = _number(15, VERSION) + _field(1, self.name.encode())
         out += b"".join(_field(2, f) for f in self.features)

@@ -46,6 +46,34 @@ def transform(x, y, source: int, target: int):
     return _to_swiss(x, y) if target == 2056 else (x, y)
 
 
+def transform_geometry(g, source: int, target: int):
+    """A (kind, coordinates) geometry in another frame; all its points at once."""
+    if g is None or source == target or g[1] is None:
+        return g
+    kind, c = g
+    if kind == "GeometryCollection":
+        return kind, [transform_geometry(part, source, target) for part in c]
+    points: list = []
+
+    def gather(v) -> None:
+        if isinstance(v, tuple):
+            points.append(v)
+        else:
+            for part in v:
+                gather(part)
+
+    gather(c)
+    if not points:
+        return g
+    xs, ys = transform([p[0] for p in points], [p[1] for p in points], source, target)
+    moved = iter(zip(xs.tolist(), ys.tolist(), strict=True))
+
+    def rebuilt(v):
+        return next(moved) if isinstance(v, tuple) else [rebuilt(part) for part in v]
+
+    return kind, rebuilt(c)
+
+
 def dense_ring(box, step: float, most: int = 10_000):
     """Points along a box's sides, no further apart than step."""
     x0, y0, x1, y1 = box

@@ -161,32 +161,57 @@ def tiles(spark: SparkSession, g: Grid, minzoom: int, maxzoom: int, box: tuple[f
     )
 
 
-def cover(df: DataFrame, z: Column, envelope=("xmin", "ymin", "xmax", "ymax"), buffer: float = 0.0, keep=None) -> DataFrame:
-    """A row for each Web Mercator tile that a feature's closed envelope touches: z, x, y and the kept columns.
+def one_tile(spark: SparkSession, g: Grid, z: int, x: int, y: int) -> DataFrame:
+    """z, x, y and bounds of a tile."""
+    b = g.bounds(z, x, y)
+    return spark.range(1).select(F.lit(z).alias("z"), F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y"), *[F.lit(float(v)).alias(n) for v, n in zip(b, ("xmin", "ymin", "xmax", "ymax"), strict=True)])
 
-    ``buffer`` is a share of a tile.  Rows without an envelope go.
+
+def by_level(g: Grid, z: Column, value) -> Column:
+    """What value tells of the level that a column names; null beyond the grid's levels."""
+    at = {v.z: value(v) for v in g.levels}
+    first = g.minzoom
+    held = F.array(*[F.lit(at.get(k)) for k in range(first, g.maxzoom + 1)])
+    return F.get(held, z.cast("int") - first)
+
+
+def cover(df: DataFrame, z: Column, envelope=("xmin", "ymin", "xmax", "ymax"), buffer: float = 0.0, keep=None, grid: Grid | None = None) -> DataFrame:
+    """A row for each tile that a feature's closed envelope touches: z, x, y and the kept columns.
+
+    Tiles are those of a grid, in whose units the envelopes are, or of Web Mercator.  ``buffer``
+    is a share of a tile.  Rows without an envelope go.
     """
     x0, y0, x1, y1 = (F.col(c) for c in envelope)
-    w = F.lit(2 * HALF) / F.pow(F.lit(2.0), F.col("_z"))
-    b = w * F.lit(float(buffer))
-    last = power_of_two(F.col("_z")) - 1
+    if grid is None:
+        w = F.lit(2 * HALF) / F.pow(F.lit(2.0), F.col("_z"))
+        last = power_of_two(F.col("_z")) - 1
+        level = {"_w": w, "_h": w, "_left": F.lit(-HALF), "_top": F.lit(HALF), "_cn": last, "_rn": last}
+    else:
+        of = lambda value: by_level(grid, F.col("_z"), value)
+        level = {
+            "_w": of(lambda v: float(v.cell * v.tile_width)), "_h": of(lambda v: float(v.cell * v.tile_height)), "_left": of(lambda v: float(v.left)),
+            "_top": of(lambda v: float(v.top)), "_cn": of(lambda v: v.columns - 1).cast("long"), "_rn": of(lambda v: v.rows - 1).cast("long"),
+        }
+    share = F.lit(float(buffer))
+    left, top, w, h = (F.col(c) for c in ("_left", "_top", "_w", "_h"))
     # A little wide, for rounding; the exact test on the tiles' bounds follows.
-    sides = {"_x0": x0 - b, "_y0": y0 - b, "_x1": x1 + b, "_y1": y1 + b, "_w": w}
-    lo = lambda v: F.greatest(F.lit(0).cast("long"), (F.ceil(v / F.col("_w") - EDGE) - 1).cast("long"))
-    hi = lambda v: F.least(last, F.floor(v / F.col("_w") + EDGE).cast("long"))
+    sides = {"_x0": x0 - w * share, "_y0": y0 - h * share, "_x1": x1 + w * share, "_y1": y1 + h * share}
+    lo = lambda v: F.greatest(F.lit(0).cast("long"), (F.ceil(v - EDGE) - 1).cast("long"))
+    hi = lambda v, n: F.least(F.col(n), F.floor(v + EDGE).cast("long"))
     span = {
-        "_c0": lo(F.col("_x0") + HALF),
-        "_c1": hi(F.col("_x1") + HALF),
-        "_r0": lo(F.lit(HALF) - F.col("_y1")),
-        "_r1": hi(F.lit(HALF) - F.col("_y0")),
+        "_c0": lo((F.col("_x0") - left) / w),
+        "_c1": hi((F.col("_x1") - left) / w, "_cn"),
+        "_r0": lo((top - F.col("_y1")) / h),
+        "_r1": hi((top - F.col("_y0")) / h, "_rn"),
     }
     names = list(keep) if keep is not None else [c for c in df.columns if c not in ("z", "x", "y")]
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(names)]
-    out = df.where(x0.isNotNull() & y0.isNotNull()).withColumn("_z", z.cast("int")).withColumns(sides).withColumns(span).where("_c0 <= _c1 AND _r0 <= _r1")
-    out = out.select("_z", *sides, "_r0", "_r1", *kept, F.explode(F.sequence("_c0", "_c1")).alias("_x"))
-    out = out.where((F.lit(-HALF) + F.col("_x") * F.col("_w") <= F.col("_x1")) & (F.lit(-HALF) + (F.col("_x") + 1) * F.col("_w") >= F.col("_x0")))
+    out = df.where(x0.isNotNull() & y0.isNotNull()).withColumn("_z", z.cast("int")).withColumns(level).where("_w IS NOT NULL")
+    out = out.withColumns(sides).withColumns(span).where("_c0 <= _c1 AND _r0 <= _r1")
+    out = out.select("_z", *level, *sides, "_r0", "_r1", *kept, F.explode(F.sequence("_c0", "_c1")).alias("_x"))
+    out = out.where((left + F.col("_x") * w <= F.col("_x1")) & (left + (F.col("_x") + 1) * w >= F.col("_x0")))
     out = out.withColumn("_y", F.explode(F.sequence("_r0", "_r1")))
-    out = out.where((F.lit(HALF) - (F.col("_y") + 1) * F.col("_w") <= F.col("_y1")) & (F.lit(HALF) - F.col("_y") * F.col("_w") >= F.col("_y0")))
+    out = out.where((top - (F.col("_y") + 1) * h <= F.col("_y1")) & (top - F.col("_y") * h >= F.col("_y0")))
     return out.select(F.col("_z").alias("z"), F.col("_x").alias("x"), F.col("_y").alias("y"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -54,6 +54,7 @@ class Layer:
     x: str = "x"
     y: str = "y"
     envelope: tuple[str, str, str, str] | None = None
+    time: str = "ts"
     fields: tuple[str, ...] = field(default_factory=tuple)
 
     def query(self, z: int, attribute: str = "sql"):
@@ -124,6 +125,63 @@ def source_sql(layer: Layer, z: int) -> str:
     return layer.query(z) or f"SELECT * FROM {layer.table}"
 
 
+def variables(sql: str) -> set[str]:
+    return set(_VAR.findall(sql))
+
+
+def bind_zoom(sql: str, grid: Grid, layer: Layer, z: int, box: tuple[float, float, float, float] | None = None) -> Bound:
+    """A template for all tiles of a zoom: boxes become that of the grid's level, or what of it box (in the grid's units) holds.
+
+    For templates that use the box to filter; those that use x and y are for ``placed``.
+    """
+    v = grid.level(z)
+    width = grid.pixel_width(z, layer.tile_size)
+    pad = width * (layer.buffer or 0)
+    whole = (v.left, v.top - v.rows * v.cell * v.tile_height, v.left + v.columns * v.cell * v.tile_width, v.top)
+    if box:
+        # Tiles that touch the box reach over its sides.
+        w, h = v.cell * v.tile_width, v.cell * v.tile_height
+        whole = (max(whole[0], box[0] - w), max(whole[1], box[1] - h), min(whole[2], box[2] + w), min(whole[3], box[3] + h))
+    wide = transform_box((whole[0] - pad, whole[1] - pad, whole[2] + pad, whole[3] + pad), grid.srid, layer.srid, v.cell * v.tile_width / 4)
+    values = {"zoom": z, "z": z, "pixel_width": width, "scale_denominator": v.scale}
+    args: dict = {}
+
+    def one(m: re.Match) -> str:
+        name = m[1]
+        if name in ("bbox", "bbox_unbuffered"):
+            for k, b in zip(("xmin", "ymin", "xmax", "ymax"), wide, strict=True):
+                args[f"bbox_{k}"] = float(b)
+            return ", ".join(f":bbox_{k}" for k in ("xmin", "ymin", "xmax", "ymax"))
+        if name not in values:
+            raise MissingFilter(name)
+        args[name] = values[name]
+        return f":{name}"
+
+    return Bound(_VAR.sub(one, sql), args, True)
+
+
+def placed(spark: SparkSession, sql: str, addresses: DataFrame, grid: Grid, layer: Layer) -> DataFrame:
+    """_z, _x, _y and the rows of a template that places itself, for all addresses (z, x, y, bounds in the grid's units) in one lateral join."""
+    level = {v.z: v for v in grid.levels}
+    first = min(level)
+    named = lambda value: "element_at(array(" + ", ".join(repr(value(level[z])) + "D" if z in level else "NULL" for z in range(first, max(level) + 1)) + f"), t.z - {first - 1})"
+    width = named(lambda v: float(v.cell * v.tile_width / layer.tile_size))
+    pad = f"{float(layer.buffer or 0)}D * {width}"
+    if layer.srid != grid.srid:
+        raise ValueError(f"{layer.name}: a template with x and y needs a layer in the grid's frame")
+    of = {
+        "x": "t.x", "y": "t.y", "z": "t.z", "zoom": "t.z", "pixel_width": width, "scale_denominator": named(lambda v: float(v.scale)),
+        "bbox": f"t.xmin - {pad}, t.ymin - {pad}, t.xmax + {pad}, t.ymax + {pad}", "bbox_unbuffered": "t.xmin, t.ymin, t.xmax, t.ymax",
+    }
+
+    def one(m: re.Match) -> str:
+        if m[1] not in of:
+            raise MissingFilter(m[1])
+        return of[m[1]]
+
+    return spark.sql(f"SELECT t.z AS _z, t.x AS _x, t.y AS _y, q.* FROM {{addresses}} AS t, LATERAL ({_VAR.sub(one, sql)}) AS q", addresses=addresses)
+
+
 def layer_rows(spark: SparkSession, layer: Layer, grid: Grid, z: int, x: int, y: int, filters: dict | None = None) -> DataFrame:
     """Rows of a layer for one tile; a box test is added unless the template places itself."""
     b = bind(source_sql(layer, z), grid, layer, z, x, y, filters)
@@ -136,7 +194,10 @@ def layer_rows(spark: SparkSession, layer: Layer, grid: Grid, z: int, x: int, y:
         sides = layer.envelope or (layer.x, layer.y, layer.x, layer.y)
         xs = [shifted(F.col(c)) if layer.shift_longitude else F.col(c) for c in (sides[0], sides[2])]
         df = df.where((xs[0] <= box[2]) & (xs[1] >= box[0]) & (F.col(sides[1]) <= box[3]) & (F.col(sides[3]) >= box[1]))
-    return df.limit(layer.limit) if layer.limit else df
+    if not layer.limit:
+        return df
+    # The first by id, as in seeding.
+    return (df.orderBy(layer.fid) if layer.fid else df).limit(layer.limit)
 
 
 _PROPERTIES = (t.StringType, t.CharType, t.VarcharType, t.FloatType, t.DoubleType, t.ShortType, t.IntegerType, t.LongType, t.BooleanType, t.ByteType)

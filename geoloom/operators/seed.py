@@ -1,15 +1,16 @@
-"""Seeding: vector tiles of all zooms from one scan a layer.
-
-Each feature's envelope is exploded to the tiles that it touches, features meet by tile, and an
-Arrow function encodes them.  A feature that touches many tiles at a zoom is first cut to its
-parent tiles, so that what travels to a tile is no larger than what lies near it.  Tiles are
-encoded in two steps: parts of at most ``PART`` features of a layer, then the tile of its parts,
-so a crowded tile of a low zoom is no single group of all features.
+"""Seeding: vector tiles of all zooms of a grid from one scan a layer.
+
+Geometries are brought to the grid's frame first.  Each feature's envelope is exploded to the
+tiles of all zooms that it touches, features meet by tile in one shuffle, and an Arrow function
+encodes them.  A feature that touches many tiles at a zoom is first cut to the tiles of a coarser
+level, so that what travels to a tile is no larger than what lies near it.  Tiles are encoded in
+two steps: parts of at most ``PART`` features of a layer, then the tile of its parts, so a crowded
+tile of a low zoom is no single group of all features.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions import mvt, wkb
-from geoloom.functions.columns import HALF
-from geoloom.operators.grids import cover
+from geoloom.functions.projection import transform, transform_geometry
+from geoloom.operators.grids import Grid, by_level, cover, web_mercator
 from geoloom.operators.tiles import first_features
 
 PART = 5000
@@ -29,7 +30,7 @@ WIDE = 256
 
 @dataclass(frozen=True)
 class Source:
-    """Features of one layer: WKB geometry in Web Mercator, envelope columns, properties."""
+    """Features of one layer: WKB geometry in a frame, envelope columns in the same, properties."""
 
     name: str
     frame: DataFrame
@@ -42,6 +43,9 @@ class Source:
     buffer: int = 64
     extent: int = 4096
     tolerance: float | None = None  # in tile units
+    tolerances: dict | None = None  # by zoom, in the grid's units; before tolerance
+    srid: int = 3857
+    address: tuple[str, str, str] | None = None  # columns of z, x, y, where rows are placed already
     make_valid: bool = False
     limit: int = 0
     options: dict = field(default_factory=dict)
@@ -63,89 +67,173 @@ def with_envelope(df: DataFrame, geometry: str = "geom") -> DataFrame:
     return out.select("r.*", F.col("g").alias(geometry), "xmin", "ymin", "xmax", "ymax") if names else out.select(F.col("g").alias(geometry), "xmin", "ymin", "xmax", "ymax")
 
 
-def _box(z: int, x: int, y: int) -> G.Box:
-    w = 2 * HALF / 2**z
-    return x * w - HALF, HALF - (y + 1) * w, (x + 1) * w - HALF, HALF - y * w
+def _points(blobs: list) -> tuple[np.ndarray, np.ndarray] | None:
+    """Coordinates, if all blobs are plain points."""
+    if not blobs or any(len(x) != 21 for x in blobs):
+        return None
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 21)
+    if not (raw[:, :5] == np.array([1, 1, 0, 0, 0], np.uint8)).all():
+        return None
+    at = np.ascontiguousarray(raw[:, 5:]).view("<f8")
+    return (at[:, 0], at[:, 1]) if np.isfinite(at).all() else None
 
 
-def _prepared(g, z: int, spec: dict):
-    unit = 2 * HALF / 2**z / spec["extent"]
-    if spec["tolerance"]:
-        g = G.simplify(g, spec["tolerance"] * unit)
-    if spec["make_valid"]:
-        g = G.make_valid(g) if g[0] in ("Polygon", "MultiPolygon") else g
-    return g
+def _point_blobs(x: np.ndarray, y: np.ndarray) -> pa.Array:
+    raw = np.zeros((len(x), 21), np.uint8)
+    raw[:, 0], raw[:, 1] = 1, 1
+    raw[:, 5:13] = np.ascontiguousarray(x, "<f8").view(np.uint8).reshape(-1, 8)
+    raw[:, 13:] = np.ascontiguousarray(y, "<f8").view(np.uint8).reshape(-1, 8)
+    offsets = (np.arange(len(x) + 1) * 21).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
 
+def _geometry(blob: bytes) -> wkb.Geometry:
+    return wkb.decode_gpkg(blob)[0] if blob[:2] == b"GP" else wkb.decode(blob)
 
-def _cut(spec: dict):
-    """Pieces of features at the parents of the tiles that they touch."""
+
+def reprojected(s: Source, srid: int) -> Source:
+    """The source with its geometry and envelopes in another frame."""
+    if s.srid == srid:
+        return s
+    names, source = [c for c in s.frame.columns if c not in (s.geometry, *s.envelope)], s.srid
 
     def run(batches):
         for b in batches:
-            out = []
-            for z, x, y, g in zip(*(b.column(c).to_pylist() for c in ("z", "x", "y", "g")), strict=True):
-                box = _box(z, x, y)
-                pad = (box[2] - box[0]) * spec["buffer"] / spec["extent"]
-                piece = G.clip(wkb.decode_gpkg(g)[0], (box[0] - pad, box[1] - pad, box[2] + pad, box[3] + pad)) if g is not None else None
-                out.append((wkb.encode(piece), *wkb.envelope(piece)) if piece else (None,) * 5)
-            sides = [pa.array([o[k] for o in out], pa.float64()) for k in range(1, 5)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("p"), pa.array([o[0] for o in out], pa.binary()), *sides], ["id", "p", "g", "xmin", "ymin", "xmax", "ymax"])
+            blobs = b.column("g").to_pylist()
+            at = _points(blobs)
+            if at is not None:
+                x, y = transform(*at, source, srid)
+                yield pa.RecordBatch.from_arrays([b.column("r"), _point_blobs(x, y), *[pa.array(v) for v in (x, y, x, y)]], ["r", "g", "xmin", "ymin", "xmax", "ymax"])
+                continue
+            shapes = [transform_geometry(_geometry(x), source, srid) for x in blobs]
+            boxes = [wkb.envelope(g) for g in shapes]
+            sides = [pa.array([x[k] if x else None for x in boxes], pa.float64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column("r"), pa.array([wkb.encode(g) for g in shapes], pa.binary()), *sides], ["r", "g", "xmin", "ymin", "xmax", "ymax"])
+
+    held = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(1).alias("_one"))
+    rows = s.frame.where(F.col(s.geometry).isNotNull()).select(held.alias("r"), F.col(s.geometry).alias("g"))
+    kind = rows.schema["r"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"r {kind}, g binary, xmin double, ymin double, xmax double, ymax double")
+    frame = out.select(*[F.col(f"r.`{c}`").alias(c) for c in names], F.col("g").alias(s.geometry), *[F.col(a).alias(b) for a, b in zip(("xmin", "ymin", "xmax", "ymax"), s.envelope, strict=True)])
+    return replace(s, frame=frame, srid=srid)
 
-    return run
+
+def prepared(g: wkb.Geometry, tolerance: float, make_valid: bool) -> wkb.Geometry:
+    """Repaired and simplified by a tolerance in the geometry's units: polygons by snapping, others by leaving out points."""
+    polygon = g[0] in ("Polygon", "MultiPolygon")
+    if make_valid and polygon:
+        g = G.make_valid(g)
+    if tolerance and g is not None:
+        g = G.snap(g, tolerance) if polygon else G.simplify(g, tolerance)
+    return g
 
 
-def _encode(spec: dict):
-    """Parts of layers: features of one tile, encoded with their own dictionary."""
+def _cut(grid: Grid, share: float):
+    """Pieces of features at the coarser tiles that they touch; a little wider than these, for the tiles on their sides."""
 
     def run(batches):
         for b in batches:
-            tiles: dict[tuple, mvt.LayerBuilder] = {}
-            for z, x, y, part, fid, props, g in zip(*(b.column(c).to_pylist() for c in ("z", "x", "y", "part", "id", "p", "g")), strict=True):
-                if g is None:
-                    continue
-                q = G.quantised(_prepared(wkb.decode(g) if g[:2] != b"GP" else wkb.decode_gpkg(g)[0], z, spec), _box(z, x, y), spec["extent"], spec["buffer"])
-                layer = tiles.setdefault((z, x, y, part), mvt.LayerBuilder(spec["name"], spec["extent"]))
-                layer.add(q, props or {}, fid)
-            rows = [(*k, l.encoded(), len(l.features)) for k, l in sorted(tiles.items()) if l.features]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["z", "x", "y", "part", "layer", "features"])
+            out = []
+            for z, x, y, to, g in zip(*(b.column(c).to_pylist() for c in ("z", "x", "y", "to", "g")), strict=True):
+                box, v = grid.bounds(z, x, y), grid.level(to)
+                px, py = v.cell * v.tile_width * (1 + share), v.cell * v.tile_height * (1 + share)
+                piece = G.clip(_geometry(g), (box[0] - px, box[1] - py, box[2] + px, box[3] + py))
+                out.append((wkb.encode(piece), *wkb.envelope(piece)) if piece else (None,) * 5)
+            sides = [pa.array([o[k] for o in out], pa.float64()) for k in range(1, 5)]
+            names = ["z", "x", "y", "to", "id", "p"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array([o[0] for o in out], pa.binary()), *sides], [*[f"c{c}" if c in "zxy" else c for c in names], "g", "xmin", "ymin", "xmax", "ymax"])
 
     return run
 
 
-def layer_features(s: Source, z: int) -> DataFrame:
-    """z, x, y, id, p (properties), g (WKB) of each tile and feature at a zoom."""
-    props = F.struct(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in s.frame.dtypes if c in s.properties]) if s.properties else F.struct(F.lit(None).cast("string").alias("_"))
+def encode_layer(name: str, extent: int, z: int, box: G.Box, blobs: list, properties: pa.StructArray | None, fids: list, buffer: int | None, tolerance: float = 0.0, make_valid: bool = False) -> mvt.LayerBuilder:
+    """Features (WKB in the grid's units) of one tile and layer."""
+    layer = mvt.LayerBuilder(name, extent)
+    at = _points(blobs)
+    columns = {f.name: properties.field(i) for i, f in enumerate(properties.type)} if properties is not None else {}
+    if at is not None:
+        w, h = box[2] - box[0], box[3] - box[1]
+        x, y = at
+        go = np.ones(len(x), bool)
+        if buffer is not None:
+            bx, by = w * buffer / extent, h * buffer / extent
+            go = (x >= box[0] - bx) & (x <= box[2] + bx) & (y >= box[1] - by) & (y <= box[3] + by)
+        px, py = np.rint((x - box[0]) / w * extent).astype(np.int64)[go], np.rint((box[3] - y) / h * extent).astype(np.int64)[go]
+        mask = pa.array(go)
+        layer.add_points(px.tolist(), py.tolist(), {k: c.filter(mask) for k, c in columns.items()}, [f for f, g in zip(fids, go.tolist(), strict=True) if g])
+        return layer
+    rows = properties.to_pylist() if properties is not None else [None] * len(blobs)
+    for blob, props, fid in zip(blobs, rows, fids, strict=True):
+        g = prepared(_geometry(blob), tolerance, make_valid)
+        layer.add(G.quantised(g, box, extent, buffer), props or {}, fid)
+    return layer
+
+
+def _coarser(grid: Grid, z: int) -> int | None:
+    """The finest level whose tiles are about eight times as wide."""
+    wide = grid.level(z).cell * grid.level(z).tile_width * 7.9
+    return max((v.z for v in grid.levels if v.z < z and v.cell * v.tile_width >= wide), default=None)
+
+
+def layer_features(s: Source, zooms: list[int], grid: Grid) -> DataFrame:
+    """z, x, y, id, p (properties), g (WKB) of each tile and feature at the zooms."""
+    props = F.struct(*[F.col(f"`{c}`").cast("double").alias(c) if t.startswith("decimal") else F.col(f"`{c}`") for c, t in s.frame.dtypes if c in s.properties]) if s.properties else F.struct(F.lit(None).cast("string").alias("_"))
     fid = F.col(s.fid).cast("long") if s.fid else F.lit(None).cast("long")
     base = s.frame.where(F.col(s.geometry).isNotNull()).select(fid.alias("id"), props.alias("p"), F.col(s.geometry).alias("g"), *[F.col(c).alias(n) for c, n in zip(s.envelope, ("xmin", "ymin", "xmax", "ymax"), strict=True)])
+    if s.address:
+        z, x, y = (F.col(c) for c in s.address)
+        rows = s.frame.where(F.col(s.geometry).isNotNull() & z.isin(zooms)).select(z.cast("int").alias("z"), x.cast("long").alias("x"), y.cast("long").alias("y"), fid.alias("id"), props.alias("p"), F.col(s.geometry).alias("g"))
+        return first_features(rows, ["z", "x", "y"], s.limit, "id")
+    base = base.withColumn("to", F.explode(F.array(*[F.lit(z) for z in zooms])))
     share = s.buffer / s.extent
-    spec = {"buffer": s.buffer, "extent": s.extent}
-    side = 2 * HALF / 2**z
-    many = ((F.col("xmax") - F.col("xmin")) / side + 1) * ((F.col("ymax") - F.col("ymin")) / side + 1) > WIDE
-    if z >= 4:
-        # Wide features are cut at a zoom three above, and their pieces cover the tiles.
-        kind = base.schema["p"].dataType.simpleString()
-        wide = cover(base.where(many), F.lit(z - 3), buffer=share, keep=("id", "p", "g"))
-        pieces = wide.mapInArrow(_cut(spec), f"id long, p {kind}, g binary, xmin double, ymin double, xmax double, ymax double").where("g IS NOT NULL")
-        narrow = cover(base.where(~many), F.lit(z), buffer=share, keep=("id", "p", "g"))
-        out = narrow.unionByName(cover(pieces, F.lit(z), buffer=share, keep=("id", "p", "g")))
+    to = F.col("to")
+    w, h = by_level(grid, to, lambda v: float(v.cell * v.tile_width)), by_level(grid, to, lambda v: float(v.cell * v.tile_height))
+    coarse = {z: _coarser(grid, z) for z in zooms}
+    many = ((F.col("xmax") - F.col("xmin")) / w + 1) * ((F.col("ymax") - F.col("ymin")) / h + 1) > WIDE
+    above = by_level(grid, to, lambda v: coarse.get(v.z))
+    keep = ("to", "id", "p", "g")
+    if all(c is None for c in coarse.values()):
+        out = cover(base, to, buffer=share, keep=keep, grid=grid)
     else:
-        out = cover(base, F.lit(z), buffer=share, keep=("id", "p", "g"))
-    return first_features(out, ["z", "x", "y"], s.limit, "id")
-
-
-def layer_parts(s: Source, z: int) -> DataFrame:
-    """z, x, y, name, part, layer (encoded), features."""
-    rows = layer_features(s, z)
+        many = F.coalesce(many, F.lit(False)) & above.isNotNull()
+        kind = base.schema["p"].dataType.simpleString()
+        wide = cover(base.where(many), above, buffer=share, keep=keep, grid=grid)
+        pieces = wide.mapInArrow(_cut(grid, share), f"cz int, cx long, cy long, to int, id long, p {kind}, g binary, xmin double, ymin double, xmax double, ymax double").where("g IS NOT NULL")
+        pieces = cover(pieces, to, buffer=share, keep=(*keep, "cz", "cx", "cy"), grid=grid)
+        # A tile takes the piece of the coarser tile that holds its middle.
+        of = lambda z, value: by_level(grid, F.col(z), value)
+
+        def within(place: str, start: str, size: str, count: str, sign: int):
+            middle = of("z", lambda v: float(getattr(v, start))) + sign * (F.col(place) + 0.5) * of("z", lambda v: float(v.cell * getattr(v, size)))
+            at = F.floor(sign * (middle - of("cz", lambda v: float(getattr(v, start)))) / of("cz", lambda v: float(v.cell * getattr(v, size))))
+            return F.greatest(F.lit(0), F.least(at, of("cz", lambda v: getattr(v, count) - 1))) == F.col(f"c{place}")
+
+        pieces = pieces.where(within("x", "left", "tile_width", "columns", 1) & within("y", "top", "tile_height", "rows", -1)).drop("cz", "cx", "cy")
+        out = cover(base.where(~many), to, buffer=share, keep=keep, grid=grid).unionByName(pieces)
+    return first_features(out.drop("to"), ["z", "x", "y"], s.limit, "id")
+
+
+def layer_parts(s: Source, zooms: list[int], grid: Grid, known: DataFrame | None = None) -> DataFrame:
+    """z, x, y, name, part, layer (encoded), features; not of the known tiles."""
+    rows = layer_features(s, zooms, grid)
+    if known is not None:
+        rows = rows.join(known, ["z", "x", "y"], "left_anti")
     counted = rows.withColumn("part", F.pmod(F.xxhash64("id", "g"), F.lit(1 << 20)))
     sizes = counted.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
     counted = counted.join(sizes, ["z", "x", "y"], "left").withColumn("part", F.when(F.col("n").isNotNull(), F.pmod("part", F.ceil(F.col("n") / PART))).otherwise(0).cast("long")).drop("n")
-    spec = {"name": s.name, "extent": s.extent, "buffer": s.buffer, "tolerance": s.tolerance, "make_valid": s.make_valid}
     kind = "z int, x long, y long, part long, layer binary, features long"
+    name, extent, buffer, make_valid, has = s.name, s.extent, s.buffer, s.make_valid, bool(s.properties)
+    tolerances = {z: (s.tolerances or {}).get(z, (s.tolerance or 0.0) * grid.level(z).cell * grid.level(z).tile_width / s.extent) for z in zooms}
 
     def encode(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_encode(spec)(table.combine_chunks().to_batches(max_chunksize=1 << 30))))
+        z, x, y, part = (table[c][0].as_py() for c in ("z", "x", "y", "part"))
+        table = table.combine_chunks()
+        props = pa.concat_arrays(table["p"].chunks) if has else None
+        layer = encode_layer(name, extent, z, grid.bounds(z, x, y), table["g"].to_pylist(), props, table["id"].to_pylist(), buffer, tolerances[z], make_valid)
+        rows = [(z, x, y, part, layer.encoded(), len(layer.features))] if layer.features else []
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["z", "x", "y", "part", "layer", "features"])
 
     return counted.groupBy("z", "x", "y", "part").applyInArrow(encode, kind).select("z", "x", "y", F.lit(s.name).alias("name"), "part", "layer", "features")
 
@@ -169,18 +257,23 @@ def _joined(table: pa.Table) -> pa.Table:
     return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int64()), "y": pa.array([y], pa.int64()), "data": pa.array([out], pa.binary()), "features": pa.array([sum(r["features"] for r in rows)], pa.int64())})
 
 
-def seed(sources: list[Source], minzoom: int, maxzoom: int, extent: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """z, x, y, data (vector tile), features of all tiles that hold something."""
+def seed(sources: list[Source], minzoom: int, maxzoom: int, extent: tuple[float, float, float, float] | None = None, grid: Grid | None = None, known: DataFrame | None = None) -> DataFrame:
+    """z, x, y, data (vector tile), features of all tiles of a grid (Web Mercator) that hold something.
+
+    extent is in the grid's units; tiles with an address (z, x, y) in known are left out before anything is made.
+    """
+    grid = grid or web_mercator()
     parts = None
     for s in sources:
+        zooms = [v.z for v in grid.levels if max(minzoom, s.minzoom) <= v.z <= min(maxzoom, s.maxzoom)]
+        if not zooms:
+            continue
+        s = reprojected(s, grid.srid)
         if extent:
             x0, y0, x1, y1 = s.envelope
-            from dataclasses import replace
-
             s = replace(s, frame=s.frame.where((F.col(x0) <= extent[2]) & (F.col(x1) >= extent[0]) & (F.col(y0) <= extent[3]) & (F.col(y1) >= extent[1])))
-        for z in range(max(minzoom, s.minzoom), min(maxzoom, s.maxzoom) + 1):
-            p = layer_parts(s, z)
-            parts = p if parts is None else parts.unionByName(p)
+        p = layer_parts(s, zooms, grid, known)
+        parts = p if parts is None else parts.unionByName(p)
     if parts is None:
         raise ValueError("no layer is visible in these zooms")
     return parts.groupBy("z", "x", "y").applyInArrow(_joined, "z int, x long, y long, data binary, features long")
@@ -192,13 +285,7 @@ def points_wkb(df: DataFrame, x: str, y: str, name: str = "geom") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            n = b.num_rows
-            raw = np.zeros((n, 21), np.uint8)
-            raw[:, 0], raw[:, 1] = 1, 1
-            for k, c in enumerate(("px", "py")):
-                raw[:, 5 + 8 * k : 13 + 8 * k] = b.column(c).to_numpy(zero_copy_only=False).astype("<f8").view(np.uint8).reshape(n, 8)
-            offsets = (np.arange(n + 1) * 21).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            blob = _point_blobs(*[b.column(c).to_numpy(zero_copy_only=False) for c in ("px", "py")])
             yield pa.RecordBatch.from_arrays([b.column("r"), blob], ["r", "g"])
 
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.struct(*names).alias("r"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
