@@ -6,6 +6,7 @@ import heapq
 import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,74 +94,145 @@ def nearest(queries: DataFrame, nodes: DataFrame, search: float = SEARCH, key: s
     return best.select(key, F.col("b.id").alias("id"), F.col("b.d2").alias("d2"))
 
 
-def shortest(edges: DataFrame, sources: DataFrame, rounds: int | None = None) -> DataFrame:
-    """source, node, cost, parent of every node that a source reaches.
+#: Edges up to which a graph is sent to the tasks as a whole (three longs each, 24 MB), and rows of a tree that are fetched.
+LOCAL_EDGES = 1_000_000
 
-    Label correcting: each round relaxes the edges of nodes whose cost fell in the round before
-    and keeps the least offer of each node, so a round is one join and one aggregation; the
-    lineage is cut by a reliable checkpoint.  Ends when nothing falls, or after ``rounds``.
+
+def shortest(edges: DataFrame, sources: DataFrame, targets: dict[int, list[int]] | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """source, node, cost, parent of every node that a source reaches, or that the search for its targets settles.
+
+    A graph of few edges (counted first) is broadcast, and each source searched by Dijkstra where
+    it lies.  A larger one is relaxed in rounds: each round follows the edges of nodes whose cost
+    fell in the round before, keeps offers that better the known costs, and writes these alone;
+    with targets, offers no better than the farthest of a source's targets are dropped.  The
+    parent is the least node that a shortest path can come from.
+    """
+    sources = sources.select(F.col("source").cast("long").alias("source")).distinct()
+    if edges.limit(local_edges + 1).count() <= local_edges:
+        return _searched(edges, sources, targets or {})
+    return _relaxed(edges, sources, targets or {})
+
+
+_TREE = "source long, node long, cost long, parent long"
+
+
+def _searched(edges: DataFrame, sources: DataFrame, targets: dict[int, list[int]]) -> DataFrame:
+    table = edges.select("src", "dst", F.col("weight").cast("long").alias("weight")).toArrow()
+    held = edges.sparkSession.sparkContext.broadcast([table[c].to_numpy() for c in ("src", "dst", "weight")])
+
+    def search(batches):
+        nexts = None
+        for b in batches:
+            nexts = nexts or neighbours(*held.value)
+            for s in b.column("source").to_pylist():
+                best, parent = settled(nexts, s, targets.get(s))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s] * len(best), pa.int64()), pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64()), pa.array([parent[n] for n in best], pa.int64())],
+                    ["source", "node", "cost", "parent"],
+                )
+
+    return sources.mapInArrow(search, _TREE)
+
+
+def _relaxed(edges: DataFrame, sources: DataFrame, targets: dict[int, list[int]]) -> DataFrame:
+    from geoloom.functions.checkpoints import checkpoint
+
+    spark = edges.sparkSession
+    front = checkpoint(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("cost")))
+    known = front
+    goals = [(s, t) for s, ts in targets.items() for t in ts]
+    wanted = spark.createDataFrame(goals, "source long, node long") if goals else None
+    while front.take(1):
+        offers = front.join(edges, front["node"] == edges["src"]).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).cast("long").alias("cost"))
+        offers = offers.groupBy("source", "node").agg(F.min("cost").alias("cost"))
+        if wanted is not None:
+            # A source all of whose targets are reached looks no further than the farthest.
+            got = wanted.join(known, ["source", "node"], "left").groupBy("source", "node").agg(F.min("cost").alias("c"))
+            bound = got.groupBy("source").agg(F.when(F.count("c") == F.count(F.lit(1)), F.max("c")).alias("bound"))
+            offers = offers.join(F.broadcast(bound), "source", "left").where("bound IS NULL OR cost < bound").drop("bound")
+        before = known.groupBy("source", "node").agg(F.min("cost").alias("old"))
+        front = checkpoint(offers.join(before, ["source", "node"], "left").where("old IS NULL OR cost < old").drop("old"))
+        known = known.unionAll(front)
+    best = checkpoint(known.groupBy("source", "node").agg(F.min("cost").alias("cost")))
+    come = best.join(edges, best["node"] == edges["src"]).select("source", F.col("src").alias("parent"), F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
+    parents = best.join(come, ["source", "node", "cost"]).where("node <> source").groupBy("source", "node").agg(F.min("parent").alias("parent"))
+    return best.join(parents, ["source", "node"], "left").select("source", "node", "cost", "parent")
+
+
+def neighbours(src, dst, weight) -> dict[int, list[tuple[int, int]]]:
+    nexts: dict[int, list[tuple[int, int]]] = {}
+    for a, b, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
+        nexts.setdefault(a, []).append((b, w))
+    return nexts
+
+
+def settled(nexts: dict[int, list[tuple[int, int]]], source: int, targets: list[int] | None = None) -> tuple[dict[int, int], dict[int, int | None]]:
+    """Cost and parent of each node in order of cost, up to the last of the targets."""
+    offer: dict[int, int] = {source: 0}
+    best: dict[int, int] = {}
+    parent: dict[int, int | None] = {source: None}
+    heap = [(0, source)]
+    left = set(targets) if targets else None
+    while heap:
+        c, u = heapq.heappop(heap)
+        if u in best:
+            continue
+        best[u] = c
+        if left is not None:
+            left.discard(u)
+            if not left:
+                break
+        for v, w in nexts.get(u, ()):
+            if c + w < offer.get(v, 1 << 62):
+                offer[v], parent[v] = c + w, u
+                heapq.heappush(heap, (c + w, v))
+            elif c + w == offer[v] and v not in best and u < parent[v]:
+                parent[v] = u
+    return best, parent
+
+
+def path(tree: DataFrame, source: int, target: int, most: int = LOCAL_EDGES) -> list[int]:
+    """Nodes from source to target along the parents.
+
+    A tree of up to ``most`` nodes is fetched; of a larger one the chain alone, by joins that
+    double the step.
     """
     from geoloom.functions.checkpoints import checkpoint
 
-    best = sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0).cast("long").alias("cost"), F.lit(None).cast("long").alias("parent")).distinct()
-    best = checkpoint(best.withColumn("new", F.lit(True)))
-    done = 0
-    while rounds is None or done < rounds:
-        front = best.where("new").select("source", F.col("node").alias("src"), "cost")
-        offers = front.join(edges, "src").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.col("src").alias("parent"))
-        known = best.select("source", "node", "cost", "parent", F.lit(True).alias("old"))
-        least = known.unionAll(offers.withColumn("old", F.lit(False))).groupBy("source", "node").agg(F.min(F.struct("cost", (~F.col("old")).alias("fresh"), "parent")).alias("b"))
-        best = checkpoint(least.select("source", "node", F.col("b.cost").alias("cost"), F.col("b.parent").alias("parent"), F.col("b.fresh").alias("new")))
-        done += 1
-        if not best.where("new").take(1):
-            break
-    return best.select("source", "node", "cost", "parent")
-
-
-def path(tree: DataFrame, source: int, target: int) -> list[int]:
-    """Nodes from source to target along the parents; looks up one chain."""
-    at, out = target, [target]
     mine = tree.where(F.col("source") == source).select("node", "parent")
-    found = {r.node: r.parent for r in _chain(mine, target)}
+    if mine.limit(most + 1).count() > most:
+        jump = checkpoint(mine.where("parent IS NOT NULL"))
+        chain = checkpoint(mine.where(F.col("node") == target).select("node"))
+        size = chain.count()
+        while True:
+            up = chain.join(jump, "node").select(F.col("parent").alias("node"))
+            chain = checkpoint(chain.unionAll(up).distinct())
+            if size == (size := chain.count()):
+                break
+            then = jump.select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+            jump = checkpoint(jump.join(then, "parent").select("node", F.col("far").alias("parent")))
+        mine = mine.join(chain, "node", "left_semi")
+    found = {r.node: r.parent for r in mine.toLocalIterator()}
     if target not in found:
         raise NoRoute(f"{source} to {target}")
-    while at != source:
-        at = found[at]
-        out.append(at)
+    out = [target]
+    while out[-1] != source:
+        out.append(found[out[-1]])
     return out[::-1]
 
 
-def _chain(tree: DataFrame, target: int) -> list:
-    """Rows of the nodes between the root and target."""
-    got, want = [], [target]
-    while want:
-        rows = tree.where(F.col("node").isin(want)).collect()
-        got += rows
-        want = [r.parent for r in rows if r.parent is not None and all(g.node != r.parent for g in got)]
-    return got
-
-
 def dijkstra(edges: list[tuple[int, int, int]], source: int, target: int) -> tuple[int, list[int]]:
     """Cost and nodes of the shortest path over edges that fit on one machine."""
     nexts: dict[int, list[tuple[int, int]]] = {}
     for a, b, w in edges:
         nexts.setdefault(a, []).append((b, w))
-    best, parent, heap = {source: 0}, {source: None}, [(0, source)]
-    while heap:
-        c, u = heapq.heappop(heap)
-        if u == target:
-            out = []
-            while u is not None:
-                out.append(u)
-                u = parent[u]
-            return c, out[::-1]
-        if c > best[u]:
-            continue
-        for v, w in nexts.get(u, ()):
-            if c + w < best.get(v, 1 << 62):
-                best[v], parent[v] = c + w, u
-                heapq.heappush(heap, (c + w, v))
-    raise NoRoute(f"{source} to {target}")
+    best, parent = settled(nexts, source, [target])
+    if target not in best:
+        raise NoRoute(f"{source} to {target}")
+    out = [target]
+    while out[-1] != source:
+        out.append(parent[out[-1]])
+    return best[target], out[::-1]
 
 
 class Router:
@@ -185,7 +257,10 @@ class Router:
         ids = self.snap(points)
         cost, nodes = 0, [ids[0]]
         sources = self.spark.createDataFrame([(i,) for i in sorted(set(ids[:-1]))], "source long")
-        tree = shortest(self.edges, sources)
+        legs: dict[int, list[int]] = {}
+        for a, b in zip(ids, ids[1:], strict=False):
+            legs.setdefault(a, []).append(b)
+        tree = shortest(self.edges, sources, legs).persist()
         for a, b in zip(ids, ids[1:], strict=False):
             nodes += path(tree, a, b)[1:]
             cost += tree.where((F.col("source") == a) & (F.col("node") == b)).first().cost

@@ -6,6 +6,8 @@ doubles.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,28 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geoloom.operators.routing import edges_from_table
 
     return edges_from_table(graph_table(spark, sf_dir), graph_nodes(spark, sf_dir))
+
+
+_LINKS = "SELECT c_custkey AS src, (c_custkey * {a} + {b}) % (SELECT max(c_custkey) FROM customer) + 1 AS dst, CAST(1 + (c_custkey * {w}) % 97 AS BIGINT) AS weight FROM customer"
+_THREE = ((1, 0, 31), (2, 1, 57), (3, 2, 83))
+CE = "(" + " UNION ALL ".join(_LINKS.format(a=a, b=b, w=w) for a, b, w in _THREE) + ")"
+
+
+def customer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three links of each customer to others."""
+    c = table(spark, sf_dir, "customer")
+    n = c.agg(F.max("c_custkey").alias("n"))
+    links = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in _THREE])
+    rows = c.select("c_custkey", F.explode(links).alias("l")).join(F.broadcast(n))
+    return rows.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * F.col("l.a") + F.col("l.b")) % F.col("n") + 1).alias("dst"), (1 + (F.col("c_custkey") * F.col("l.w")) % 97).cast("long").alias("weight"))
+
+
+def swiss_grid():
+    """A grid over Switzerland in its own frame."""
+    from geoloom.operators.grids import PIXEL, Grid, Level
+
+    levels = []
+    for z, cell in enumerate((4000.0, 2000.0, 1000.0, 250.0, 100.0)):
+        side = 256 * cell
+        levels.append(Level(z, cell, cell / PIXEL, 2420000.0, 1350000.0, 256, 256, math.ceil(480000 / side), math.ceil(320000 / side)))
+    return Grid("Swiss", 2056, tuple(levels), "Switzerland")
