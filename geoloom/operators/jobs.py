@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +49,10 @@ def last_result(assets: Column) -> Column:
 
 
 def failure(events: Column) -> Column:
-    """Message, description and first metadata text of the first failure event, joined by ' - '."""
+    """Message, description and first metadata text of the first failure event, joined by ' - '; null without one."""
     first = F.get(F.filter(events, lambda e: e["type"] == "ExecutionStepFailureEvent"), 0)
     text = F.get(first["metadata"], 0)["text"]
-    return F.concat_ws(" - ", F.coalesce(first["message"], F.lit("Unknown error")), F.coalesce(first["description"], F.lit("")), F.coalesce(text, F.lit("")))
+    return F.when(first.isNotNull(), F.concat_ws(" - ", F.coalesce(first["message"], F.lit("Unknown error")), F.coalesce(first["description"], F.lit("")), F.coalesce(text, F.lit(""))))
 
 
 def launch_reply(reply: Column) -> Column:
@@ -123,10 +126,11 @@ def project_name(path: Column, root: str) -> Column:
 
 def flatten_tree(nodes: DataFrame, node="id", parent="parent", name="name") -> DataFrame:
     """id, name, depth, path of each node of a tree of rows, by a recursive query."""
-    nodes.select(F.col(node).alias("id"), F.col(parent).alias("parent"), F.col(name).alias("name")).createOrReplaceTempView("_tree_nodes")
+    rows = nodes.select(F.col(node).alias("id"), F.col(parent).alias("parent"), F.col(name).alias("name"))
     return nodes.sparkSession.sql(
-        "WITH RECURSIVE t(id, name, depth, path) AS (SELECT id, name, 0, CAST(name AS STRING) FROM _tree_nodes WHERE parent IS NULL "
-        "UNION ALL SELECT n.id, n.name, t.depth + 1, concat(t.path, '/', n.name) FROM _tree_nodes n JOIN t ON n.parent = t.id) SELECT * FROM t"
+        "WITH RECURSIVE t(id, name, depth, path) AS (SELECT id, name, 0, CAST(name AS STRING) FROM {rows} WHERE parent IS NULL "
+        "UNION ALL SELECT n.id, n.name, t.depth + 1, concat(t.path, '/', n.name) FROM {rows} n JOIN t ON n.parent = t.id) SELECT * FROM t",
+        rows=rows,
     )
 
 
@@ -137,31 +141,40 @@ def first_real_box(layers: DataFrame, order: str = "seq") -> DataFrame:
     return real.select(F.coalesce("b", world).alias("b")).select("b.*")
 
 
-_LAYER = "Name STRING, Title STRING, CRS ARRAY<STRING>, EX_GeographicBoundingBox STRUCT<westBoundLongitude: DOUBLE, eastBoundLongitude: DOUBLE, southBoundLatitude: DOUBLE, northBoundLatitude: DOUBLE>"
-
-
-def capability_layers(docs: DataFrame, xml: str = "xml", depth: int = 4) -> DataFrame:
-    """depth, Name, Title, CRS and box of the layers of WMS capability documents, to a depth."""
-    kind = _LAYER
-    for _ in range(depth):
-        kind = f"{_LAYER}, Layer ARRAY<STRUCT<{', '.join(x.strip().replace(' ', ': ', 1) for x in _split(kind))}>>"
-    rows = docs.select(F.from_xml(F.col(xml), f"Capability STRUCT<Layer: STRUCT<{', '.join(x.strip().replace(' ', ': ', 1) for x in _split(kind))}>>").alias("d")).select(F.col("d.Capability.Layer").alias("l"))
-    out = None
-    for k in range(depth + 1):
-        box = F.col("l.EX_GeographicBoundingBox")
-        flat = rows.select(F.lit(k).alias("depth"), "l.Name", "l.Title", "l.CRS", box["westBoundLongitude"].alias("xmin"), box["southBoundLatitude"].alias("ymin"), box["eastBoundLongitude"].alias("xmax"), box["northBoundLatitude"].alias("ymax"))
-        out = flat if out is None else out.unionByName(flat)
-        if k < depth:
-            rows = rows.select(F.explode("l.Layer").alias("l"))
+_CAPABILITY = "depth int, Name string, Title string, CRS array<string>, xmin double, ymin double, xmax double, ymax double"
+_SIDES = ("westBoundLongitude", "southBoundLatitude", "eastBoundLongitude", "northBoundLatitude")
+
+
+def capability_layers(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """depth, Name, Title, CRS and box of all layers of WMS capability documents, however deep; a document that is no XML has none."""
+
+    def parse(batches):
+        for b in batches:
+            rows = [r for text in b.column(0).to_pylist() if text for r in _layers(text)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), *[pa.float64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["depth", "Name", "Title", "CRS", "xmin", "ymin", "xmax", "ymax"])
+
+    return docs.select(F.col(xml).cast("string")).mapInArrow(parse, _CAPABILITY)
+
+
+def _layers(text: str) -> list[tuple]:
+    """Layers in document order; a stack instead of recursion, so depth has no bound."""
+    try:
+        root = ElementTree.fromstring(text)
+    except ElementTree.ParseError:
+        return []
+    plain = lambda e: e.tag.rsplit("}", 1)[-1]
+    child = lambda e, name: next((c for c in e if plain(c) == name), None)
+    word = lambda e: None if e is None else (e.text or "").strip()
+    capability = child(root, "Capability")
+    todo = [(0, e) for e in reversed(list(capability)) if plain(e) == "Layer"] if capability is not None else []
+    out = []
+    while todo:
+        depth, e = todo.pop()
+        box = child(e, "EX_GeographicBoundingBox")
+        sides = [word(child(box, s)) if box is not None else None for s in _SIDES]
+        names = [word(c) for c in e if plain(c) in ("CRS", "SRS")]
+        out.append((depth, word(child(e, "Name")), word(child(e, "Title")), names or None, *[float(s) if s else None for s in sides]))
+        todo += [(depth + 1, c) for c in reversed(list(e)) if plain(c) == "Layer"]
     return out
-
-
-def _split(kind: str) -> list[str]:
-    """Fields of a struct's text, parted at the commas of the top level."""
-    out, level, at = [], 0, 0
-    for i, ch in enumerate(kind):
-        level += (ch == "<") - (ch == ">")
-        if ch == "," and not level:
-            out.append(kind[at:i])
-            at = i + 1
-    return [*out, kind[at:]]

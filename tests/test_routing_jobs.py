@@ -15,10 +15,10 @@ def graph(spark, seed):
 
 
 def test_shortest(spark):
-    for seed in range(2):
+    for seed, local in ((0, 0), (1, 1000)):
         _, e = graph(spark, seed)
         flat = [tuple(r) for r in e.collect()]
-        tree = routing.shortest(e, spark.createDataFrame([(0,), (5,)], "source long"))
+        tree = routing.shortest(e, spark.createDataFrame([(0,), (5,)], "source long"), local_edges=local)
         got = {(r.source, r.node): r.cost for r in tree.collect()}
         for s in (0, 5):
             for t in range(40):
@@ -30,6 +30,9 @@ def test_shortest(spark):
                 assert got[s, t] == cost
         s, t = max(got, key=got.get)
         p = routing.path(tree, s, t)
+        assert p == routing.path(tree, s, t, most=0)
+        some = routing.shortest(e, spark.createDataFrame([(s,)], "source long"), {s: [t]}, local_edges=local)
+        assert routing.path(some, s, t) == p and some.count() <= tree.where(F.col("source") == s).count()
         weight = {(a, b): w for a, b, w in flat}
         assert sum(weight[a, b] for a, b in zip(p, p[1:], strict=False)) == got[s, t]
 
@@ -71,8 +74,8 @@ def test_nearest(spark):
 
 def test_events(spark):
     ev = "array<struct<type: string, message: string, description: string, metadata: array<struct<text: string>>>>"
-    rows = [([("X", "no", None, None), ("ExecutionStepFailureEvent", "m", "d", [("t",)]), ("ExecutionStepFailureEvent", "z", None, None)],), ([("ExecutionStepFailureEvent", None, "d", None)],)]
-    assert [r.f for r in spark.createDataFrame(rows, f"e {ev}").select(jobs.failure(F.col("e")).alias("f")).collect()] == ["m - d - t", "Unknown error - d - "]
+    rows = [([("X", "no", None, None), ("ExecutionStepFailureEvent", "m", "d", [("t",)]), ("ExecutionStepFailureEvent", "z", None, None)],), ([("ExecutionStepFailureEvent", None, "d", None)],), ([],)]
+    assert [r.f for r in spark.createDataFrame(rows, f"e {ev}").select(jobs.failure(F.col("e")).alias("f")).collect()] == ["m - d - t", "Unknown error - d - ", None]
     r = spark.createDataFrame([("a", None), (None, ["x", "y"]), (None, [])], "run_id string, errors array<string>").select(jobs.launch_reply(F.struct("run_id", "errors")).alias("r"))
     assert [tuple(x.r) for x in r.collect()] == [("accepted", None), ("failed", "x y"), ("no-such-process", None)]
     a = spark.createDataFrame([([([("p", "j")],), ([(None, "k"), ("q", None)],)],), ([],)], "a array<struct<metadata: array<struct<path: string, json: string>>>>")
@@ -90,7 +93,7 @@ def test_events(spark):
 def test_capabilities(spark):
     box = "<EX_GeographicBoundingBox><westBoundLongitude>1</westBoundLongitude><eastBoundLongitude>2</eastBoundLongitude><southBoundLatitude>3</southBoundLatitude><northBoundLatitude>4</northBoundLatitude></EX_GeographicBoundingBox>"
     xml = f"<WMS_Capabilities><Capability><Layer><Name>root</Name><CRS>a</CRS><CRS>b</CRS><Layer><Name>x</Name>{box}</Layer><Layer><Name>y</Name><Layer><Name>z</Name></Layer></Layer></Layer></Capability></WMS_Capabilities>"
-    got = jobs.capability_layers(spark.createDataFrame([(xml,)], "xml string"), depth=3)
+    got = jobs.capability_layers(spark.createDataFrame([(xml,)], "xml string"))
     rows = {r.Name: r for r in got.collect()}
     assert {n: r.depth for n, r in rows.items()} == {"root": 0, "x": 1, "y": 1, "z": 2} and rows["root"].CRS == ["a", "b"] and rows["x"].ymax == 4
     layers = got.withColumn("seq", F.monotonically_increasing_id())
