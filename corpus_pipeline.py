@@ -8,11 +8,11 @@ than the stage under way.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geoloom.functions.checkpoints import remove, shared_folder
 from geoloom.llm import decontaminate, lines, ngram_join, quality, sentencepiece
 
 #: Words of a shingle and per cent of similarity of near duplicates.
@@ -20,25 +20,33 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the threshold table; null and empty texts go, repeated rows are judged alike."""
     return quality.filter_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; so does a document of which nothing is left."""
+    """Later copies of repeated line runs go; so does a document of which nothing is left.
+
+    Earlier is by (doc_id, line), a null doc_id first; repeated rows of the first document all stay.
+    """
     return lines.dedup(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id; a text without words is in no group.
+
+    Repeated rows are copies: one stays.
+    """
     return ngram_join.representatives(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item; an empty benchmark is leaked by none, and a document with a null id goes with any other of a null id that leaks."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids and the text that these decode to."""
+    """The documents with their token ids and the text that these decode to; a null text has the end id alone."""
     return sentencepiece.tokenized(docs, sentencepiece.model_path())
 
 
@@ -55,10 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

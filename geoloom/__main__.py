@@ -7,7 +7,8 @@ import os
 
 from pyspark.sql import SparkSession
 
-from geoloom.operators.tileset import Tileset
+from geoloom.operators.grids import Grids, from_json
+from geoloom.operators.tileset import ArchiveOrigin, Tileset
 from geoloom.plans import config
 from geoloom.sources.stores import Store
 
@@ -35,13 +36,18 @@ def main(args: list[str] | None = None) -> int:
         write_objects(read_files(spark, a.folder), a.url)
         return 0
     with open(a.config) as f:
-        c = config.layered(f.read())
+        c = config.checked(config.layered(f.read()))
     for source in config.Datasources.of(c.get("datasource", [])).all.values():
         for table in source[1].get("tables", []):
             config.load(spark, source, table).createOrReplaceTempView(table)
     t = next(t for t in c["tileset"] if t["name"] == a.tileset)
     path = None if a.no_store else a.path or t.get("store", {}).get("path") or c.get("store", {}).get("path")
-    tileset = Tileset(t["name"], [config.layer(l) for l in t.get("layer", [])], store=Store.of(path))
+    known = Grids()
+    for g in c.get("grid", []):
+        known.add(from_json(g["json"]))
+    tileset = Tileset(t["name"], [config.layer(l) for l in t.get("layer", [])], known.get(t.get("grid", "WebMercatorQuad")), store=Store.of(path))
+    if "path" in t.get("source", {}):
+        tileset.origin = ArchiveOrigin(Store.of(t["source"]["path"]))
     extent = tuple(map(float, a.extent.split(","))) if a.extent else None
     tileset.seed(spark, a.minzoom or 0, a.maxzoom if a.maxzoom is not None else 6, extent, a.overwrite or not path or not os.path.exists(path))
     return 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tomllib
 from dataclasses import dataclass, field, fields
 
@@ -40,6 +41,38 @@ def strict(cls, values: dict):
     return cls(**values)
 
 
+#: Keys of each part of a configuration; others are errors.
+KEYS = {
+    "": {"datasource", "tileset", "store", "grid", "collections", "routing", "metrics"},
+    "tileset": {"name", "layer", "grid", "minzoom", "maxzoom", "store", "attribution", "source", "cache", "ages", "diagnostics", "bounds"},
+    "datasource": {"name", "jdbc", "gpkg", "mbtiles", "pmtiles", "parquet", "wms"},
+    "store": {"path"},
+    "source": {"path", "wms", "layers", "format", "version", "size"},
+}
+
+
+def checked(c: dict) -> dict:
+    """The configuration, if all its keys are known."""
+
+    def part(name: str, where: str, values: dict) -> None:
+        if extra := set(values) - KEYS[name]:
+            raise ConfigError(f"{where or 'configuration'}: unknown {', '.join(sorted(extra))}")
+
+    part("", "", c)
+    for d in c.get("datasource", []):
+        part("datasource", f"datasource {d.get('name')}", d)
+    for t in c.get("tileset", []):
+        part("tileset", f"tileset {t.get('name')}", t)
+        for l in t.get("layer", []):
+            layer(l)
+        for name in ("store", "source"):
+            if name in t:
+                part(name, f"{name} of tileset {t.get('name')}", t[name])
+    if "store" in c:
+        part("store", "store", c["store"])
+    return c
+
+
 @dataclass
 class Datasources:
     """Named sources: the first is the default, a later one of a name replaces it."""
@@ -82,8 +115,7 @@ def load(spark, source: tuple[str, dict], table: str | None = None, sql: str | N
             return spark.sql(sql)
         return spark.read.parquet(f"{spec['path']}/{table}.parquet")
     if kind == "jdbc":
-        reader = spark.read.format("jdbc").option("url", spec["url"]).option("numPartitions", str(spec.get("connections", 8)))
-        return (reader.option("query", sql) if sql else reader.option("dbtable", table)).load()
+        return read_jdbc(spark, spec, table, sql)
     if kind == "gpkg":
         from geoloom.sources import gpkg
 
@@ -96,6 +128,23 @@ def load(spark, source: tuple[str, dict], table: str | None = None, sql: str | N
     raise ConfigError(f"{kind} has no tables")
 
 
+def read_jdbc(spark, spec: dict, table: str | None = None, sql: str | None = None):
+    """A table or query in as many parts as there are connections, if the source names a numeric ``partition`` column; its bounds are asked for once."""
+    reader = spark.read.format("jdbc").option("url", spec["url"])
+    for k in ("driver", "user", "password", "fetchsize"):
+        if k in spec:
+            reader = reader.option(k, str(spec[k]))
+    of = f"({sql}) AS q" if sql else table
+    column = spec.get("partition")
+    if not column:
+        return reader.option("dbtable", of).load()
+    low, high = reader.option("query", f"SELECT min({column}) AS lo, max({column}) AS hi FROM {of}").load().first()
+    if low is None:
+        return reader.option("dbtable", of).load()
+    options = {"partitionColumn": column, "lowerBound": int(low), "upperBound": int(high) + 1, "numPartitions": int(spec.get("connections", 8))}
+    return reader.options(**{k: str(v) for k, v in options.items()}).option("dbtable", of).load()
+
+
 def layer(values: dict) -> Layer:
     """A layer of its ``[[tileset.layer]]`` table."""
     v = dict(values)
@@ -116,7 +165,13 @@ def legacy(text: str) -> dict:
     for t in old.get("tileset", []):
         layers = []
         for l in t.get("layer", []):
-            queries = [{k: q[k] for k in ("minzoom", "maxzoom", "sql") if k in q} for q in l.get("query", [])]
+            l = dict(l)
+            queries = [{k: q[k] for k in ("minzoom", "maxzoom", "sql", "simplify", "tolerance") if k in q} for q in l.get("query", [])]
+            # A table may be a query in brackets, perhaps with a name behind; it becomes the first query.
+            if m := re.fullmatch(r"\((SELECT .*)\)[^)]*", l.get("table_name", ""), re.S):
+                first = {"minzoom": l.get("minzoom", 0), "sql": m[1]} | {k: l[k] for k in ("simplify", "tolerance") if k in l}
+                queries.insert(0, first)
+                del l["table_name"]
             new = {"name": l["name"], "query": queries}
             for a, b in (("table_name", "table"), ("geometry_field", "geometry"), ("geometry_type", "geometry_type"), ("srid", "srid"), ("fid_field", "fid"), ("minzoom", "minzoom"), ("maxzoom", "maxzoom"), ("tile_size", "tile_size"), ("buffer_size", "buffer"), ("simplify", "simplify"), ("tolerance", "tolerance"), ("make_valid", "make_valid"), ("query_limit", "limit")):
                 if a in l:
