@@ -145,3 +145,18 @@ def polyline(points: Column, digits: int = 6) -> Column:
 def bucket_counts(value: str, bounds: tuple[float, ...]) -> list[Column]:
     """Aggregates of a cumulative histogram: one for each bound, and one for all."""
     return [F.sum(F.when(F.col(value) <= F.lit(float(b)), 1).otherwise(0)).alias(f"le_{b:g}") for b in bounds] + [F.count(value).alias("le_inf")]
+
+
+def truncated(text: Column, length: int = 255, end: str = "...") -> Column:
+    """A text cut to a length, its end marked."""
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, max(0, length - len(end))), F.lit(end))).otherwise(text)
+
+
+def opacity_byte(share: Column) -> Column:
+    """An opacity from 0 to 1 as a whole number to 255."""
+    return F.round(share * 255).cast("int")
+
+
+def whole_scale(scale: Column) -> Column:
+    """A scale's denominator as a whole number."""
+    return F.round(scale).cast("long")

@@ -90,6 +90,21 @@ def sticky(log: DataFrame, pools: int, project: str, order: str) -> DataFrame:
     return first.select(project, F.pmod(place, F.lit(pools)).cast("int").alias("pool"))
 
 
+def random_pool(log: DataFrame, pools: int, order: str, seed: int = 0) -> DataFrame:
+    """The pool of each request by chance: a hash of its number and a seed, so a run can be repeated."""
+    return log.withColumn("pool", F.pmod(F.xxhash64(F.lit(seed), order), F.lit(pools)).cast("int"))
+
+
+def split_pools(log: DataFrame, pools: int, project: str, order: str, kind: str) -> DataFrame:
+    """The pool of each request: with over two pools the first is for printing, and the others hold the projects; with two or one, all hold them."""
+    if pools <= 2:
+        return log.join(sticky(log, pools, project, order), project)
+    rest = log.where(priority(F.col(kind)) == 1)
+    others = sticky(rest, pools - 1, project, order).select(F.col(project), (F.col("pool") + 1).alias("_pool"))
+    out = log.join(others, project, "left")
+    return out.withColumn("pool", F.when(priority(F.col(kind)) == 0, 0).otherwise(F.col("_pool"))).drop("_pool")
+
+
 def priority(kind: Column) -> Column:
     """Printing has a pool of its own."""
     return F.when(F.lower(kind) == "getprint", 0).otherwise(1)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.functions import wkb
 from geoloom.functions.columns import haversine, polyline
 
 SEARCH = 0.01
@@ -56,6 +57,41 @@ def numbered(nodes: DataFrame) -> DataFrame:
     return nodes.select((F.row_number().over(Window.orderBy("x", "y")) - 1).cast("long").alias("id"), "x", "y")
 
 
+def next_id(nodes: DataFrame) -> DataFrame:
+    """next: the first id above those of numbered nodes; 0 where there are none."""
+    return nodes.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).cast("long").alias("next"))
+
+
+def line_points(df: DataFrame, geometry: str) -> DataFrame:
+    """points of each line of a geometry column (GeoPackage or plain blobs); other kinds and nulls are left out."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for blob in b.column(0).to_pylist():
+                if blob is None:
+                    continue
+                kind, c = wkb.decode_gpkg(blob)[0] if blob[:2] == b"GP" else wkb.decode(blob)
+                lines = [c] if kind == "LineString" else c if kind == "MultiLineString" else []
+                out += [[{"x": float(p[0]), "y": float(p[1])} for p in line] for line in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))], ["points"])
+
+    return df.select(F.col(geometry)).mapInArrow(run, "points array<struct<x: double, y: double>>")
+
+
+def graph_of(spark: SparkSession, database: tuple[DataFrame, DataFrame] | None = None, gpkg: tuple[str, str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the configured source: the edge and node tables of a database if there are any, else the lines of (path, table, geometry) of a GeoPackage."""
+    if database:
+        edges, nodes = database
+        return nodes, edges_from_table(edges, nodes)
+    if gpkg:
+        from geoloom.sources.gpkg import read
+
+        path, table, geometry = gpkg
+        return edges_from_lines(line_points(read(spark, path, table), geometry))
+    raise RoutingError("no source of a graph")
+
+
 def edges_from_lines(lines: DataFrame, points: str = "points", ellipsoid: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of linestrings: the ends are nodes, the length rounded to metres the weight.
 

@@ -146,9 +146,25 @@ def _cut(grid: Grid, share: float):
     return run
 
 
-def encode_layer(name: str, extent: int, z: int, box: G.Box, blobs: list, properties: pa.StructArray | None, fids: list, buffer: int | None, tolerance: float = 0.0, make_valid: bool = False) -> mvt.LayerBuilder:
-    """Features (WKB in the grid's units) of one tile and layer."""
+def _flipped(g: wkb.Geometry) -> wkb.Geometry:
+    """With rows counted upwards."""
+
+    def turn(v):
+        return (v[0], -v[1]) if isinstance(v, tuple) else [turn(x) for x in v]
+
+    return g[0], turn(g[1])
+
+
+def encode_layer(name: str, extent: int, z: int, box: G.Box, blobs: list, properties: pa.StructArray | None, fids: list, buffer: int | None, tolerance: float = 0.0, make_valid: bool = False, repair: bool = False, scaled: bool = True) -> mvt.LayerBuilder:
+    """Features (WKB in the grid's units) of one tile and layer.
+
+    With ``repair`` polygons are cut first and made valid after; without ``scaled`` geometries
+    are in the tile's own coordinates, rows downwards, and are written as they are.
+    """
     layer = mvt.LayerBuilder(name, extent)
+    if not scaled:
+        box, buffer = (0.0, -float(extent), float(extent), 0.0), None
+        blobs = [wkb.encode(_flipped(_geometry(b))) for b in blobs]
     at = _points(blobs)
     columns = {f.name: properties.field(i) for i, f in enumerate(properties.type)} if properties is not None else {}
     if at is not None:
@@ -165,6 +181,10 @@ def encode_layer(name: str, extent: int, z: int, box: G.Box, blobs: list, proper
     rows = properties.to_pylist() if properties is not None else [None] * len(blobs)
     for blob, props, fid in zip(blobs, rows, fids, strict=True):
         g = prepared(_geometry(blob), tolerance, make_valid)
+        if repair and buffer is not None and g is not None and g[0] in ("Polygon", "MultiPolygon"):
+            bx, by = (box[2] - box[0]) * buffer / extent, (box[3] - box[1]) * buffer / extent
+            g = G.clip(g, (box[0] - bx, box[1] - by, box[2] + bx, box[3] + by))
+            g = G.make_valid(g) if g is not None else None
         layer.add(G.quantised(g, box, extent, buffer), props or {}, fid)
     return layer
 

@@ -369,6 +369,18 @@ def q36_reachable(spark, sf):
     return pairs.join(tree, ["source", "target"], "left").select("source", "target", F.coalesce("reachable", F.lit(False)).alias("reachable"))
 
 
+@query(f"SELECT CAST(max(id) + 1 AS BIGINT) AS next FROM {GN}")
+def q77_next_node(spark, sf):
+    return routing.next_id(X.graph_nodes(spark, sf))
+
+
+@query("SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 + (dense_rank() OVER (ORDER BY first, user_id) - 1) % 3 END AS INTEGER) AS pool FROM (SELECT event_id, event_type, user_id, min(CASE WHEN event_type <> 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS first FROM events)")
+def q78_split_pools(spark, sf):
+    """Prints to the first pool, the requests of the other projects to three more."""
+    e = table(spark, sf, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", "GetPrint").otherwise("GetMap").alias("kind"))
+    return jobs.split_pools(e, 4, "user_id", "event_id", "kind").select("event_id", "pool")
+
+
 @query(_COSTS.format(edges=X.CE, source=1, most=200) + " SELECT node, cost FROM c")
 def q73_customer_graph_costs(spark, sf):
     """Least costs over a graph of all customers, relaxed in rounds as a graph too large for one task is."""

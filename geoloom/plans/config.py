@@ -130,19 +130,37 @@ def load(spark, source: tuple[str, dict], table: str | None = None, sql: str | N
 
 def read_jdbc(spark, spec: dict, table: str | None = None, sql: str | None = None):
     """A table or query in as many parts as there are connections, if the source names a numeric ``partition`` column; its bounds are asked for once."""
-    reader = spark.read.format("jdbc").option("url", spec["url"])
-    for k in ("driver", "user", "password", "fetchsize"):
-        if k in spec:
-            reader = reader.option(k, str(spec[k]))
-    of = f"({sql}) AS q" if sql else table
+    given = {k: str(spec[k]) for k in ("url", "driver", "user", "password", "fetchsize") if k in spec}
+    of = f"({sql}) q" if sql else table
+    read = lambda **more: spark.read.format("jdbc").options(**given, **more).load()
     column = spec.get("partition")
     if not column:
-        return reader.option("dbtable", of).load()
-    low, high = reader.option("query", f"SELECT min({column}) AS lo, max({column}) AS hi FROM {of}").load().first()
+        return read(dbtable=of)
+    low, high = read(query=f"SELECT min({column}) AS lo, max({column}) AS hi FROM {of}").first()
     if low is None:
-        return reader.option("dbtable", of).load()
-    options = {"partitionColumn": column, "lowerBound": int(low), "upperBound": int(high) + 1, "numPartitions": int(spec.get("connections", 8))}
-    return reader.options(**{k: str(v) for k, v in options.items()}).option("dbtable", of).load()
+        return read(dbtable=of)
+    return read(dbtable=of, partitionColumn=column, lowerBound=str(int(low)), upperBound=str(int(high) + 1), numPartitions=str(spec.get("connections", 8)))
+
+
+def jdbc_key(spark, spec: dict, table: str) -> str | None:
+    """The key column of a database table, if the key is a single column; asked of the driver's catalogue."""
+    jvm = spark._jvm
+    given = jvm.java.util.Properties()
+    for k in ("user", "password"):
+        if k in spec:
+            given.setProperty(k, spec[k])
+    if "driver" in spec:
+        jvm.java.lang.Class.forName(spec["driver"])
+    db = jvm.java.sql.DriverManager.getConnection(spec["url"], given)
+    try:
+        schema, _, name = table.rpartition(".")
+        rows = db.getMetaData().getPrimaryKeys(None, schema or None, name)
+        found = []
+        while rows.next():
+            found.append(rows.getString("COLUMN_NAME"))
+        return found[0] if len(found) == 1 else None
+    finally:
+        db.close()
 
 
 def layer(values: dict) -> Layer:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ def item(inventory: Inventory, name: str, key: str, base: str) -> dict:
     return found[0] | {"links": [link(f"{base}/collections/{name}/items/{key}", "self", GEOJSON), link(f"{base}/collections/{name}", "collection")]}
 
 
-def write_geojson(c: Collection, rows: DataFrame, path: str) -> None:
-    """Newline-delimited features, any number of them."""
+def feature_lines(c: Collection, rows: DataFrame) -> DataFrame:
+    """value: each feature as GeoJSON."""
     f = feat.features(c, rows)
     text = F.concat(
         F.lit('{"type":"Feature",'),
@@ -87,7 +88,26 @@ def write_geojson(c: Collection, rows: DataFrame, path: str) -> None:
         F.col("properties"),
         F.lit("}"),
     )
-    f.select(text.alias("value")).write.mode("overwrite").text(path)
+    return f.select(text.alias("value"))
+
+
+def write_geojson(c: Collection, rows: DataFrame, path: str, collections: bool = False) -> None:
+    """Newline-delimited features, any number of them; or each file a FeatureCollection of its own."""
+    lines = feature_lines(c, rows)
+    if collections:
+
+        def framed(batches):
+            begun = False
+            for b in batches:
+                values = b.column(0).to_pylist()
+                if values:
+                    lead = "," if begun else '{"type":"FeatureCollection","features":['
+                    yield pa.RecordBatch.from_arrays([pa.array([lead + values[0], *["," + v for v in values[1:]]], pa.string())], ["value"])
+                    begun = True
+            yield pa.RecordBatch.from_arrays([pa.array(["]}" if begun else '{"type":"FeatureCollection","features":[]}'], pa.string())], ["value"])
+
+        lines = lines.mapInArrow(framed, "value string")
+    lines.write.mode("overwrite").text(path)
 
 
 def center(bounds, z: int) -> list:

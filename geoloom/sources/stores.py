@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import gzip
 import os
+import time
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor
+from concurrent.futures import wait as futures_wait
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.operators.tiles import deduplicated
@@ -114,8 +117,17 @@ def read_files(spark: SparkSession, folder: str, suffix: str = "pbf") -> DataFra
     return df.select(part(-3).cast("int").alias("z"), part(-2).cast("long").alias("x"), F.substring_index(part(-1), ".", 1).cast("long").alias("y"), F.col("content").alias("data"))
 
 
-def write_objects(tiles: DataFrame, url: str, suffix: str = "pbf", retries: int = 3) -> None:
-    """One object a tile, ``url/z/x/y.suffix``, by pyarrow's file systems; Spark retries failed tasks."""
+#: Uploads that a task has under way at once.
+UPLOADS = 32
+
+
+def write_objects(tiles: DataFrame, url: str, suffix: str = "pbf", retries: int = 3, uploads: int = UPLOADS, wait: float = 1.0) -> None:
+    """One object a tile, ``url/z/x/y.suffix``, by pyarrow's file systems.
+
+    A task uploads ``uploads`` objects at once and holds no more than twice as many; one that
+    fails is tried again after ``wait`` seconds, then twice as long, and so on.  What still fails
+    fails the task, which Spark tries again.
+    """
     if "://" not in url:
         raise ValueError(f"no bucket in {url!r}")
 
@@ -123,21 +135,40 @@ def write_objects(tiles: DataFrame, url: str, suffix: str = "pbf", retries: int
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(url)
-        for r in rows:
+
+        def upload(r) -> None:
             path = f"{base.rstrip('/')}/{r.z}/{r.x}/{r.y}.{suffix}"
-            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
             for k in range(retries + 1):
                 try:
+                    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     with store.open_output_stream(path) as f:
                         f.write(bytes(r.data))
-                    break
+                    return
                 except OSError:
                     if k == retries:
                         raise
+                    time.sleep(wait * 2**k)
+
+        with ThreadPoolExecutor(uploads) as pool:
+            under_way: set = set()
+            for r in rows:
+                under_way.add(pool.submit(upload, r))
+                if len(under_way) >= 2 * uploads:
+                    done, under_way = futures_wait(under_way, return_when=FIRST_COMPLETED)
+                    for f in done:
+                        f.result()
+            for f in under_way:
+                f.result()
 
     tiles.select("z", "x", "y", "data").foreachPartition(put)
 
 
+def encoding(data: Column) -> Column:
+    """The encoding header that goes with a stored tile: gzip, zstd or none."""
+    head = F.substring(data, 1, 4)
+    return F.when(F.substring(head, 1, 2) == F.unhex(F.lit("1F8B")), "gzip").when(head == F.unhex(F.lit("28B52FFD")), "zstd")
+
+
 def write_table(tiles: DataFrame, path: str) -> None:
     """A tile table: dealt by zoom, sorted along the curve, so that lookups skip row groups."""
     from geoloom.operators.tiles import in_curve_order
