@@ -41,3 +41,37 @@ def test_stages_like_brute_force(spark, tmp_path):
     out = p.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.text for r in out} == kept
     assert all(r.decoded == r.text and r.n_tokens == len(r.token_ids) for r in out)
+
+
+def _tables(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    _tables(spark, tmp_path, [], ",".join(SCHEMA.split(",")[:5]))
+    out = p.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_repeated_rows_and_clashing_names(spark, tmp_path):
+    import random
+
+    rnd = random.Random(4)
+    stop = ["the", "of", "and", "in", "is"]
+    text = lambda: "\n".join(" ".join(rnd.choice(stop) if rnd.random() < 0.3 else f"word{rnd.randrange(3000)}" for _ in range(10)) for _ in range(9))
+    texts = [text() for _ in range(5)]
+    rows = [(i, t, None, None, None, f"t{i}", i, "x", 1.5, True) for i, t in enumerate(texts)] * 3 + [(None, texts[0] + "\nand more", None, None, None, "n", 0, None, None, None), (9, None, None, None, None, "n", 0, None, None, None)]
+    _tables(spark, tmp_path, rows, ",".join(SCHEMA.split(",")[:5]) + ", token_ids string, n_tokens int, doc string, class double, gone boolean")
+    out = p.run(spark, str(tmp_path))
+    assert {"token_ids_in", "n_tokens_in", "doc", "class", "gone", "token_ids", "n_tokens", "decoded"} <= set(out.columns)
+    got = out.collect()
+    # Copies are one document each; the null id comes before the others and keeps the text of the first.
+    assert sorted(r.token_ids_in for r in got) == ["n", "t1", "t2", "t3", "t4"]
+    assert all(r.decoded == r.text and r.n_tokens == len(r.token_ids) for r in got)
+    assert all(r["class"] == 1.5 and r.gone for r in got if r.doc_id is not None)
+    # The folders of the stages that were read are gone.
+    folder = out.inputFiles()[0].rsplit("/", 2)[0].removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert os.listdir(folder) == ["4"]

@@ -52,3 +52,10 @@ def test_frames(spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(SP.decode(ids).encode()).hexdigest()
     assert digests(df.limit(0), PATH).count() == 0
+
+
+def test_very_long_texts():
+    rnd = random.Random(3)
+    words = ["the", "of", "thonheea", "é", "日本語", "x1", "\n", "un", "able"]
+    check(" ".join(rnd.choice(words) for _ in range(60_000)))
+    check("ab" * 20_000)
