@@ -179,7 +179,8 @@ def placed(spark: SparkSession, sql: str, addresses: DataFrame, grid: Grid, laye
             raise MissingFilter(m[1])
         return of[m[1]]
 
-    return spark.sql(f"SELECT t.z AS _z, t.x AS _x, t.y AS _y, q.* FROM {{addresses}} AS t, LATERAL ({_VAR.sub(one, sql)}) AS q", addresses=addresses)
+    own = _VAR.sub(one, sql).replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"SELECT t.z AS _z, t.x AS _x, t.y AS _y, q.* FROM {{addresses}} AS t, LATERAL ({own}) AS q", addresses=addresses)
 
 
 def layer_rows(spark: SparkSession, layer: Layer, grid: Grid, z: int, x: int, y: int, filters: dict | None = None) -> DataFrame:

@@ -14,7 +14,10 @@ from geoloom.operators.features import Collection, FilterParams, Inventory
 from geoloom.operators.grids import Grid, to_json
 from geoloom.operators.layers import Layer
 
-GEOJSON, JSON = "application/geo+json", "application/json"
+#: Media types and identifiers of the OGC interfaces.
+GEOJSON, JSON, SCHEMA = "application/geo+json", "application/json", "application/schema+json"
+CRS84 = "http://www.opengis.net/def/crs/OGC/1.3/CRS84"
+MATRIX_SETS = "http://www.opengis.net/def/tilematrixset/OGC/1.0"
 WORLD = (-180.0, -85.0511, 180.0, 85.0511)
 
 
@@ -23,11 +26,11 @@ def link(href: str, rel: str, media: str = JSON, title: str | None = None) -> di
 
 
 def collection(c: Collection, base: str, extent: tuple | None = None) -> dict:
-    out = {"id": c.name, "title": c.title or c.name, "itemType": "feature", "links": [link(f"{base}/collections/{c.name}/items", "items", GEOJSON, c.title or c.name), link(f"{base}/collections/{c.name}/queryables", "queryables", "application/schema+json")]}
+    out = {"id": c.name, "title": c.title or c.name, "itemType": "feature", "links": [link(f"{base}/collections/{c.name}/items", "items", GEOJSON, c.title or c.name), link(f"{base}/collections/{c.name}/queryables", "queryables", SCHEMA)]}
     if c.description:
         out["description"] = c.description
     if extent and None not in extent:
-        out["extent"] = {"spatial": {"bbox": [list(extent)], "crs": "http://www.opengis.net/def/crs/OGC/1.3/CRS84"}}
+        out["extent"] = {"spatial": {"bbox": [list(extent)], "crs": CRS84}}
     return out
 
 
@@ -144,7 +147,7 @@ def tilesets(names: list[str], base: str, form: str = "vector") -> dict:
 def tileset(name: str, g: Grid, base: str, minzoom: int, maxzoom: int, form: str = "vector") -> dict:
     limits = [{"tileMatrix": str(v.z), "minTileRow": 0, "maxTileRow": v.rows - 1, "minTileCol": 0, "maxTileCol": v.columns - 1} for v in g.levels if minzoom <= v.z <= maxzoom]
     links = [link(f"{base}/tiles/{name}", "self"), {"href": f"{base}/map/tiles/{g.name}/{{tileMatrix}}/{{tileRow}}/{{tileCol}}", "rel": "item", "templated": True}]
-    return {"title": name, "dataType": form, "crs": to_json(g)["crs"], "tileMatrixSetURI": f"http://www.opengis.net/def/tilematrixset/OGC/1.0/{g.name}", "tileMatrixSetLimits": limits, "links": links}
+    return {"title": name, "dataType": form, "crs": to_json(g)["crs"], "tileMatrixSetURI": f"{MATRIX_SETS}/{g.name}", "tileMatrixSetLimits": limits, "links": links}
 
 
 def grid_list(grids, base: str) -> dict:

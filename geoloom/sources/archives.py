@@ -24,6 +24,7 @@ _TILE_SCHEMA = "z int, x long, y long, data binary"
 
 # -- MBTiles ------------------------------------------------------------------------------
 
+#: Tables and statements of the public layout of MBTiles with shared images.
 _LAYOUT = """
 CREATE TABLE IF NOT EXISTS map (zoom_level INTEGER, tile_column INTEGER, tile_row INTEGER, tile_id TEXT);
 CREATE TABLE IF NOT EXISTS images (tile_data BLOB, tile_id TEXT);
