@@ -101,30 +101,24 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
             yield _batch({"node": node, "doc": doc, "n": pa.array(n, pa.int64()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
     d = checkpoint(rows.mapInArrow(digests, "node long, doc long, n long, x long, y long"))
-    # A distinct node each: texts without shingles stand alone.
+    # Texts without copies, and those without shingles, stand alone.
     key = ["n", "x", "y"]
-    groups = checkpoint(d.where("n > 0").groupBy(*key).agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("copies")))
-    out = _joined(d, groups, key, _large(groups))
+    groups = d.where("n > 0").groupBy(*key).agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    out = _salted(d, groups, key)
     return out.select("node", "doc", "n", F.coalesce("class", "node").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-#: A class with over one in so many texts is large, so there are less than this many.
-LARGE = 1000
+#: Tasks that the rows of one key are dealt to.
+SALTS = 16
 
 
-def _large(groups: DataFrame) -> DataFrame:
-    """The groups with over one in LARGE of all copies, less than LARGE of them."""
-    total = groups.agg(F.sum("copies")).first()[0] or 0
-    return groups.where(F.col("copies") > max(16, total // LARGE))
-
-
-def _joined(left: DataFrame, right: DataFrame, key: list[str], large: DataFrame) -> DataFrame:
-    """left joined to what right has for its key; the rows of large keys meet a broadcast of less than LARGE rows, so no task gets all rows of one."""
-    some = F.broadcast(large.select(*key).withColumn("_large", F.lit(True)))
-    tagged = left.join(some, key, "left")
-    hot = tagged.where("_large").drop("_large").join(F.broadcast(right.join(some, key, "left_semi")), key, "left")
-    rest = tagged.where("_large IS NULL").drop("_large").join(right, key, "left")
-    return hot.unionByName(rest)
+def _salted(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left (with a column node) and what right has for its key, if anything; right's rows go to SALTS tasks each, so no task gets all rows of one key."""
+    names = [c for c in right.columns if c not in key]
+    many = right.select(*[F.col(c).alias(f"_{c}") for c in key], *names, F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("_salt"))
+    rows = left.withColumn("_of", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int"))
+    out = rows.join(many, [*[F.col(c) == F.col(f"_{c}") for c in key], F.col("_of") == F.col("_salt")], "left")
+    return out.select(*left.columns, *names)
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, hot: np.ndarray) -> DataFrame:
@@ -227,18 +221,16 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("group").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
     shingles = F.col("of") * F.col("n")
-    sizes = sizes.select(
-        F.col("group").alias("of_group"),
-        F.col("n").alias("of_n"),
-        (F.floor(before("of") / TILE) + F.floor(before(shingles) / TILE_SHINGLES)).alias("base"),
-        F.greatest(F.lit(1), F.ceil(F.col("of") / TILE), F.ceil(shingles / TILE_SHINGLES)).alias("cuts"),
-    )
+    sizes = sizes.select(F.col("group").alias("of_group"), F.col("n").alias("of_n"), "of", before("of").alias("classes"), before(shingles).alias("shingles"))
     # Salted: the classes of one size meet its row in several tasks.
     salts = 16
     m = members.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(2)), F.lit(salts)))
     sizes = sizes.withColumn("of_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     m = m.join(sizes, (F.col("group") == F.col("of_group")) & (F.col("n") == F.col("of_n")) & (F.col("salt") == F.col("of_salt")))
-    m = m.withColumn("block", (F.col("base") + F.pmod(F.xxhash64("class"), F.col("cuts"))).cast("int")).drop("of_group", "of_n", "of_salt", "salt", "base", "cuts")
+    # A class's place among those of its size is its hash.
+    place = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / (1 << 20) * F.col("of")
+    block = F.floor((F.col("classes") + place) / TILE) + F.floor((F.col("shingles") + place * F.col("n")) / TILE_SHINGLES)
+    m = m.withColumn("block", block.cast("int")).drop("of_group", "of_n", "of_salt", "salt", "of", "classes", "shingles")
     b = m.groupBy("group", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     c = b.select(F.col("group"), F.col("block").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     near = b.join(c, "group").where((100 * F.col("hi2") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("lo2")))
@@ -378,16 +370,16 @@ def _judged(rows: DataFrame, k: int, percent: int) -> DataFrame:
     links = checkpoint(verified(once, checkpoint(members), k, percent))
     parts = components(links).select(F.col("node").alias("class"), "component")
     degree = links.groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("more"))
-    told = parts.join(degree, "class", "full")
-    out = _joined(classes, told, ["class"], _large(classes.where(F.col("node") == F.col("class")).dropDuplicates(["class"])))
+    out = _salted(classes, parts.join(degree, "class", "full"), ["class"])
     return out.select("node", "doc", "n", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "class").alias("component"))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (other documents it is linked with), a row per row."""
     out = _judged(_nodes(docs), k, percent)
-    least = out.groupBy("component").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"))
-    out = _joined(out, least, ["component"], _large(least))
+    # Only components of several texts have another least document.
+    least = out.groupBy("component").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
+    out = _salted(out, least, ["component"]).withColumn("least", F.coalesce("least", "doc"))
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(null("doc").alias("doc_id"), F.col("n").alias("n_shingles"), null("least").alias("component_id"), F.col("links").alias("n_links"))
 

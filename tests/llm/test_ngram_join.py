@@ -64,3 +64,16 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(e, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_classes(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base)) for i in range(40)] + [(100 + i, " ".join(base[:50] + [f"y{i}"] + base[51:])) for i in range(5)] + [(200 + i, f"own{i} text{i} of{i} its{i} own{i}") for i in range(20)]
+    assert sorted(map(tuple, join(frame(spark, rows), 4, 85).collect())) == brute(rows, 4, 85)
+    assert sorted(r.doc_id for r in representatives(frame(spark, rows), 4, 85).collect()) == [0, *range(200, 220)]
+
+
+def test_a_very_long_text(spark):
+    base = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:55_000])), (3, " ".join(base[:30_000]))]
+    assert sorted(map(tuple, join(frame(spark, rows), 4, 85).collect())) == [(1, 59_997, 1, 1), (2, 54_997, 1, 1), (3, 29_997, 3, 0)]
