@@ -18,7 +18,7 @@ A document is its sequence of lines with a word.
 
 Lines are compared by 128 bits of hash, runs by their names.  The rounds carry repeated lines
 only; a line that a third of the corpus repeats is pre-aggregated before the shuffle by name,
-and joins on it can be split.
+and its occurrences meet the name in several tasks.
 
 Defined results: blank lines are in no run and stay; a null or empty text has no lines and
 becomes empty; of runs with equal coordinates none is earlier, so repeated rows of a first
@@ -60,13 +60,42 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return d.select(*KEY, F.posexplode(F.filter(each, lambda s: s["word"])).alias("pos", "s")).select(*KEY, "pos", "s.at", "s.long", "s.x", "s.y")
 
 
-def _named(rows: DataFrame, by: list[str]) -> DataFrame:
-    """doc, part, pos, what rows have of at and long, and the name (n1, n2, n3) of rows that share ``by`` with others."""
+#: Rows of a task; small rounds are gathered in few tasks, or each would write a file for every partition.
+TASK_ROWS = 100_000
+
+
+def _tasks(rows: int) -> int:
+    return max(2, -(-rows // TASK_ROWS))
+
+
+def _named(rows: DataFrame, by: list[str], tasks: int | None = None) -> DataFrame:
+    """doc, part, pos and the name (n1, n2, n3) of rows that share ``by`` with others."""
     heads = rows.groupBy(*by).agg(F.min(F.struct(*KEY, "pos")).alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1")
     heads = heads.select(*[F.col(c).alias(f"_{c}") for c in by], "head")
     same = [F.col(c) == F.col(f"_{c}") for c in by]
-    out = rows.join(heads, same)
-    return out.select(*KEY, "pos", *[c for c in ("at", "long") if c in rows.columns], F.col("head.doc").alias("n1"), F.col("head.part").alias("n2"), F.col("head.pos").alias("n3"))
+    out = rows.join(heads.coalesce(tasks) if tasks else heads, same)
+    out = out.coalesce(tasks) if tasks else out
+    return out.select(*KEY, "pos", F.col("head.doc").alias("n1"), F.col("head.part").alias("n2"), F.col("head.pos").alias("n3"))
+
+
+#: A line with over one in so many of all repeated ones is common, so there are less than this many.
+COMMON = 1000
+SALTS = 64
+
+
+def _named_lines(rows: DataFrame) -> DataFrame:
+    """As ``_named`` by (x, y); the occurrences of common lines meet their names in SALTS tasks each."""
+    by = ["x", "y"]
+    heads = checkpoint(rows.groupBy(*by).agg(F.min(F.struct(*KEY, "pos")).alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1"))
+    total = heads.agg(F.sum("of")).first()[0] or 0
+    often = F.col("of") > max(16, total // COMMON)
+    some = F.broadcast(heads.where(often).select(*[F.col(c).alias(f"c{c}") for c in by]))
+    rows = rows.join(some, (F.col("x") == F.col("cx")) & (F.col("y") == F.col("cy")), "left")
+    rows = rows.withColumn("salt", F.when(F.col("cx").isNotNull(), F.pmod(F.xxhash64(*KEY, "pos"), F.lit(SALTS))).otherwise(0).cast("int")).drop("cx", "cy")
+    salts = F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    heads = heads.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("head"), F.explode(salts).alias("_salt"))
+    out = rows.join(heads, [*[F.col(c) == F.col(f"_{c}") for c in by], F.col("salt") == F.col("_salt")])
+    return out.select(*KEY, "pos", "at", "long", F.col("head.doc").alias("n1"), F.col("head.part").alias("n2"), F.col("head.pos").alias("n3"))
 
 
 def _paired(names: DataFrame, step: int) -> DataFrame:
@@ -84,22 +113,25 @@ def _later(names: DataFrame) -> DataFrame:
     return names.where("doc <> n1 OR pos <> n3")
 
 
-def intervals(first: DataFrame) -> list[DataFrame]:
-    """Names of the repeated runs of 1, 2, 4, ... lines, as long as there are any."""
-    levels = [first]
-    while levels[-1].take(1):
-        levels.append(checkpoint(_named(_paired(levels[-1], 1 << (len(levels) - 1)), _NAME + _NEXT)))
-    return levels[:-1]
+def intervals(first: DataFrame) -> tuple[list[DataFrame], list[int]]:
+    """Names of the repeated runs of 1, 2, 4, ... lines, as long as there are any, and how many."""
+    levels, rows = [first], [first.count()]
+    while rows[-1]:
+        tasks = _tasks(rows[-1])
+        pairs = _paired(levels[-1], 1 << (len(levels) - 1)).coalesce(tasks)
+        levels.append(checkpoint(_named(pairs, _NAME + _NEXT, tasks)))
+        rows.append(levels[-1].count())
+    return levels[:-1], rows[:-1]
 
 
-def _split(members: DataFrame, names: DataFrame, power: int) -> DataFrame:
+def _split(members: DataFrame, names: DataFrame, power: int, tasks: int) -> DataFrame:
     """Members (place, interval's name and prefix n) and those of the parts by the ``power`` lines that follow the n."""
     follow = names.select(*KEY, F.col("pos").alias("next"), *[F.col(a).alias(b) for a, b in zip(_NAME, _NEXT, strict=True)])
-    rows = members.withColumn("next", F.col("pos") + F.col("n")).join(follow, [*KEY, "next"], "left")
+    rows = members.withColumn("next", F.col("pos") + F.col("n")).join(follow, [*KEY, "next"], "left").coalesce(tasks)
     by = [*_NAME, "n", *_NEXT]
     parts = rows.where("m1 IS NOT NULL").groupBy(*by).agg(F.min(F.struct(*KEY, "pos")).alias("head"), F.count(F.lit(1)).alias("of")).where("of > 1")
-    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in by], "head")
-    rows = rows.join(parts, [F.col(c) == F.col(f"_{c}") for c in by], "left")
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in by], "head").coalesce(tasks)
+    rows = rows.join(parts, [F.col(c) == F.col(f"_{c}") for c in by], "left").coalesce(tasks)
     alone = F.col("head").isNull()
     is_head = F.struct(*KEY, "pos") == F.col("head")
     stay = F.struct(*_NAME, "n")
@@ -108,28 +140,29 @@ def _split(members: DataFrame, names: DataFrame, power: int) -> DataFrame:
     return rows.select(*KEY, "pos", F.explode(both).alias("i")).select(*KEY, "pos", "i.*")
 
 
-def longest_runs(levels: list[DataFrame]) -> DataFrame | None:
+def longest_runs(levels: list[DataFrame], rows: list[int]) -> DataFrame | None:
     """doc, part, pos, length: the longest run that begins there and also earlier, where it has two lines or more."""
-    members = None
+    members, size = None, 0
     for k in range(len(levels) - 1, 0, -1):
         names = levels[k]
         if members is not None:
-            members = checkpoint(_split(members, names, 1 << k))
+            members = checkpoint(_split(members, names, 1 << k, _tasks(size)))
+            size = members.count()
             upper = _later(levels[k + 1]).select(*KEY, "pos")
-            names = names.join(upper, [*KEY, "pos"], "left_anti")
+            names = names.join(upper, [*KEY, "pos"], "left_anti").coalesce(_tasks(rows[k]))
         new = names.select(*KEY, "pos", *_NAME, F.lit(1 << k).alias("n"))
         members = new if members is None else members.unionAll(new)
+        size += rows[k]
     if members is None:
         return None
-    members = _split(members, levels[0], 1)
+    members = _split(members, levels[0], 1, _tasks(size))
     return _later(members).groupBy(*KEY, "pos").agg(F.max("n").alias("length"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(doc, part, at, single) of the lines to delete, single ones if they have min_words words; (doc, part, longest): lines of the longest repeated run from min_lines on."""
-    first = checkpoint(_named(_lines(docs, min_words), ["x", "y"]))
-    levels = intervals(first)
-    lengths = longest_runs(levels)
+    first = checkpoint(_named_lines(_lines(docs, min_words)))
+    lengths = longest_runs(*intervals(first))
     single = _later(first).where("long").select(*KEY, "at", F.lit(True).alias("single"))
     if min_lines < 2:
         single = _later(first).select(*KEY, "at", F.lit(False).alias("single"))
