@@ -5,7 +5,11 @@
    document frequency), the rest (by hash), and very frequent shingles (by hash).  Two sets can
    only reach the threshold if their prefixes in that order share a shingle.  A class whose
    prefix is filled by shingles that nobody shares has no partner; the others send their
-   prefixes, and classes that share a prefix shingle are hung together in candidate groups.
+   prefixes.  Classes that share a prefix shingle are a pair if parity bitmaps of their sets, which
+   differ in no more bits than the sets differ in shingles, leave the threshold within reach;
+   pairs are hung together in candidate groups.  Shingles of over ``PAIRED`` classes hang all of
+   them together, and groups of several tiles are split again by the bitmaps of each tile, so
+   chance runs don't chain a growing corpus to one group.
 3. A group is cut into tiles of at most ``TILE`` x ``TILE`` classes, and the shingle order into
    ``FRAGMENTS`` fragments.  Each (tile, fragment) counts its partial overlaps alone; the counts
    are summed per pair, and pairs that reach the threshold are links.  Counts travel as one
@@ -40,6 +44,8 @@ NULL_ID = -(1 << 63)
 TILE = 256
 TILE_SHINGLES = 200_000
 FRAGMENTS = 4
+#: Classes of a prefix shingle up to which they are compared in pairs.
+PAIRED = 32
 #: Hashes below this are the part of the order that is ranked by document frequency.
 RANKED = np.uint64(1 << 62)
 
@@ -72,6 +78,28 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
         return int(T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)), int(T.mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).view(np.int64))
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parities of the shingles that fall on each bit; a power of two of bits, about one or two a shingle."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    at = T.mix(s + np.uint64(0x27D4EB2F165667C5)) & np.uint64(size - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bitmaps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps of one size, a row each, folded to so many words: the bitmaps that the sets have at that size."""
+    x = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), -1)
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def _reachable(n, m, differ, percent: int):
+    """Whether sets of n and m that differ in so many shingles at least may be linked."""
+    most = np.minimum((n + m - differ) // 2, np.minimum(n, m))
+    return 100 * most >= percent * (n + m - most)
+
+
 def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -86,26 +114,28 @@ def _nodes(docs: DataFrame, *more) -> DataFrame:
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
-    """node, doc, n, class, copies, a row per document."""
+    """node, doc, n, class, copies, a row per document, and the bitmap of a class on its own row."""
 
     def digests(batches):
         for b in batches:
-            n, x, y = [], [], []
+            n, x, y, bits = [], [], [], []
             for w in T.blocks(b.column("text")):
                 for s in _sets(w, k):
                     p, q = _digest(s)
                     n.append(len(s))
                     x.append(p)
                     y.append(q)
+                    bits.append(_bitmap(s) if len(s) else None)
             node, doc = b.column("node"), b.column("doc")
-            yield _batch({"node": node, "doc": doc, "n": pa.array(n, pa.int64()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+            yield _batch({"node": node, "doc": doc, "n": pa.array(n, pa.int64()), "x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    d = checkpoint(rows.mapInArrow(digests, "node long, doc long, n long, x long, y long"))
+    d = checkpoint(rows.mapInArrow(digests, "node long, doc long, n long, x long, y long, bits binary"))
     # Texts without copies, and those without shingles, stand alone.
     key = ["n", "x", "y"]
     groups = d.where("n > 0").groupBy(*key).agg(F.min("node").alias("class"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     out = _salted(d, groups, key)
-    return out.select("node", "doc", "n", F.coalesce("class", "node").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    named = F.coalesce("class", "node")
+    return out.select("node", "doc", "n", named.alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"), F.when(named == F.col("node"), F.col("bits")).alias("bits"))
 
 
 #: Tasks that the rows of one key are dealt to.
@@ -204,11 +234,101 @@ def candidates(rows: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
     mine = mine.withColumn("of_class", F.sum(F.when(F.col("ranked") >= 0, 1).otherwise(0)).over(by)).withColumn("size", F.max("ranked").over(by)).withColumn("place", F.row_number().over(order))
     reach = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     alone = F.greatest(F.col("size"), F.lit(0)) - F.col("of_class")
-    kept = mine.where((F.col("ranked") < 0) | (F.col("place") <= reach - alone)).select("token", "class")
+    kept = mine.where((F.col("ranked") < 0) | (F.col("place") <= reach - alone)).select("token", "class", "n")
     kept = checkpoint(kept)
     hubs = kept.groupBy("token").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1")
-    edges = kept.join(hubs, "token").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    return components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    hung = kept.join(hubs, "token")
+    hot = hung.where((F.col("of") > PAIRED) & (F.col("class") != F.col("hub"))).select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+    bits = classes.where(F.col("node") == F.col("class")).select("class", "bits")
+    edges = _pairs(hung.where(F.col("of") <= PAIRED), bits, percent).unionAll(hot)
+    groups = components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    return _split(groups, classes, bits, percent)
+
+
+def _pairs(hung: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes that share a token and that their lengths and bitmaps let be linked."""
+
+    def compared(batches):
+        for b in batches:
+            n, m = (b.column(c).to_numpy() for c in ("n", "m"))
+            x, y = (b.column(c).to_pylist() for c in ("x", "y"))
+            go = np.zeros(len(n), bool)
+            long = np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)]).reshape(-1, 2)
+            for lx, ly in np.unique(long, axis=0):
+                at = np.flatnonzero((long[:, 0] == lx) & (long[:, 1] == ly))
+                words = int(min(lx, ly)) // 8
+                differ = np.bitwise_count(_folded([x[i] for i in at], words) ^ _folded([y[i] for i in at], words)).sum(1, dtype=np.int64)
+                go[at] = _reachable(n[at], m[at], differ, percent)
+            yield _batch({c: b.column(c).filter(pa.array(go)) for c in ("a", "b")})
+
+    lists = hung.groupBy("token").agg(F.collect_list(F.struct("class", "n")).alias("l"))
+    pairs = lists.select("l", F.explode("l").alias("p")).select("p", F.explode("l").alias("q")).where("p.class < q.class")
+    near = (100 * F.col("p.n") >= percent * F.col("q.n")) & (100 * F.col("q.n") >= percent * F.col("p.n"))
+    pairs = pairs.where(near).select(F.col("p.class").alias("a"), F.col("p.n").alias("n"), F.col("q.class").alias("b"), F.col("q.n").alias("m")).distinct()
+    pairs = pairs.join(bits.select(F.col("class").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("class").alias("b"), F.col("bits").alias("y")), "b")
+    return pairs.select("a", "n", "x", "b", "m", "y").mapInArrow(compared, "a long, b long")
+
+
+def _split(groups: DataFrame, classes: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """class, group: groups of over a tile split to the classes that bitmaps let be linked."""
+    large = groups.groupBy("group").count().where(F.col("count") > TILE).select("group")
+    if not large.limit(1).count():
+        return groups
+    large = F.broadcast(checkpoint(large))
+    sizes = classes.where(F.col("node") == F.col("class")).select("class", "n")
+    tiles = _tiles(checkpoint(groups.join(large, "group").join(sizes, "class").select("class", "group", "n")), percent)
+    tiles = tiles.join(bits, "class").select("group", F.explode("tiles").alias("t"), "class", "block", "n", "bits")
+    tiles = tiles.select("group", "t.p", "t.q", "class", "block", "n", "bits")
+
+    def compared(batches):
+        for t in _whole(batches, ["group", "p", "q"], 2000):
+            g, p, q = (t[c].to_numpy() for c in ("group", "p", "q"))
+            cols = {c: t[c].to_numpy() for c in ("class", "block", "n")}
+            bitmaps = t["bits"].to_pylist()
+            at = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+            for a, z in zip(at.tolist(), [*at[1:].tolist(), len(g)], strict=True):
+                cls, block, n = (cols[c][a:z] for c in ("class", "block", "n"))
+                ok = _reachable_pairs(bitmaps[a:z], n, percent)
+                if p[a] != q[a]:
+                    ok &= block[:, None] != block[None, :]
+                have = np.flatnonzero(ok.any(1))
+                yield _batch({"a": pa.array(cls[have]), "b": pa.array(cls[_roots(ok)[have]])})
+
+    keys = ["group", "p", "q"]
+    edges = tiles.repartition(*[F.col(c) for c in keys]).sortWithinPartitions(*keys, "class").mapInArrow(compared, "a long, b long")
+    parts = components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    return groups.join(large, "group", "left_anti").select("class", "group").unionAll(parts)
+
+
+def _reachable_pairs(bitmaps: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets may be linked, as a matrix."""
+    ok = np.zeros((len(n), len(n)), bool)
+    long = np.array([len(x) for x in bitmaps])
+    of = {k: np.flatnonzero(long == k) for k in np.unique(long).tolist()}
+    for k, rows in of.items():
+        x = _folded([bitmaps[i] for i in rows], k // 8)
+        for k2, others in of.items():
+            if k2 < k or 100 * n[rows].max() < percent * n[others].min():
+                continue
+            y = _folded([bitmaps[j] for j in others], k // 8)
+            for i, mine in zip(rows, x, strict=True):
+                differ = np.bitwise_count(y ^ mine).sum(1, dtype=np.int64)
+                ok[i, others] = _reachable(n[i], n[others], differ, percent)
+            ok[np.ix_(others, rows)] |= ok[np.ix_(rows, others)].T
+    np.fill_diagonal(ok, False)
+    return ok
+
+
+def _roots(ok: np.ndarray) -> np.ndarray:
+    """The least row that is reachable from each."""
+    m = len(ok)
+    root = np.arange(m)
+    while True:
+        low = np.minimum(root, np.where(ok, root[None, :], m).min(1, initial=m))
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
@@ -297,13 +417,7 @@ def _link(percent: int):
                 np.fill_diagonal(ok, False)
                 if r["p"] != r["q"]:
                     ok &= block[:, None] != block[None, :]
-                root = np.arange(m)
-                while True:  # the least row that is reachable within the tile
-                    low = np.minimum(root, np.where(ok, root[None, :], m).min(1, initial=m))
-                    low = low[low]
-                    if (low == root).all():
-                        break
-                    root = low
+                root = _roots(ok)
                 have = np.flatnonzero(ok.any(1))
                 out["a"] += cls[have].tolist()
                 out["b"] += cls[root[have]].tolist()

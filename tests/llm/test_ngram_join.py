@@ -1,3 +1,5 @@
+import numpy as np
+
 from geoloom.llm import ngram_join
 from geoloom.llm.components import components
 from geoloom.llm.ngram_join import join, representatives
@@ -77,3 +79,34 @@ def test_a_very_long_text(spark):
     base = [f"w{i}" for i in range(60_000)]
     rows = [(1, " ".join(base)), (2, " ".join(base[:55_000])), (3, " ".join(base[:30_000]))]
     assert sorted(map(tuple, join(frame(spark, rows), 4, 85).collect())) == [(1, 59_997, 1, 1), (2, 54_997, 1, 1), (3, 29_997, 3, 0)]
+
+
+def test_chance_runs_chain_no_groups(spark):
+    """Each text shares runs with the next and is far from the threshold: no group of all."""
+    rows = [(i, " ".join(f"w{j}" for j in range(100 * i, 100 * i + 140))) for i in range(30)]
+    rows += [(100 + i, " ".join([*(f"v{j}" for j in range(100)), f"x{i}"])) for i in range(3)]
+    nodes = ngram_join._nodes(frame(spark, rows))
+    groups = ngram_join.candidates(nodes, ngram_join.checkpoint(ngram_join._classes(nodes, 4)), 4, 80)
+    assert sorted(map(tuple, groups.collect())) == [(100, 100), (101, 100), (102, 100)]
+    assert sorted(map(tuple, join(frame(spark, rows), 4, 80).collect())) == brute(rows, 4, 80)
+
+
+def test_split_groups_like_brute_force(spark, monkeypatch):
+    """Every shared shingle hangs its classes together, and every group is split."""
+    monkeypatch.setattr(ngram_join, "TILE", 3)
+    monkeypatch.setattr(ngram_join, "PAIRED", 0)
+    rows = corpus(1)
+    for k, percent in ((4, 85), (2, 30)):
+        assert sorted(map(tuple, join(frame(spark, rows), k, percent).collect())) == brute(rows, k, percent)
+
+
+def test_bitmaps_lose_no_link():
+    rnd = np.random.default_rng(3)
+    for n in (1, 7, 64, 65, 300, 2000):
+        s = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        for cut in (0, 1, n // 8, n // 3):
+            other = np.unique(np.r_[s[cut:], rnd.integers(0, 1 << 63, cut // 2).astype(np.uint64)])
+            x, y = ngram_join._bitmap(s), ngram_join._bitmap(other)
+            words = min(len(x), len(y)) // 8
+            differ = int(np.bitwise_count(ngram_join._folded([x], words) ^ ngram_join._folded([y], words)).sum())
+            assert differ <= len(np.setxor1d(s, other))
