@@ -14,10 +14,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.functions import lines as L
 from geoloom.functions import mvt, wkb
 from geoloom.functions.projection import transform, transform_geometry
 from geoloom.operators.grids import Grid, by_level, cover, web_mercator
@@ -57,8 +59,13 @@ def with_envelope(df: DataFrame, geometry: str = "geom") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            boxes = [wkb.envelope(wkb.decode_gpkg(x)[0]) if x is not None else None for x in b.column("g").to_pylist()]
-            sides = [pa.array([x[k] if x else None for x in boxes], pa.float64()) for k in range(4)]
+            blobs = b.column("g").to_pylist()
+            lines = L.decoded(blobs)
+            if lines is not None and (np.diff(lines[0]) > 0).all():
+                sides = [pa.array(v) for v in L.envelopes(*lines)]
+            else:
+                boxes = [wkb.envelope(wkb.decode_gpkg(x)[0]) if x is not None else None for x in blobs]
+                sides = [pa.array([x[k] if x else None for x in boxes], pa.float64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([b.column("r"), b.column("g"), *sides], ["r", "g", "xmin", "ymin", "xmax", "ymax"])
 
     rows = df.select(F.struct(*names).alias("r") if names else F.struct(F.lit(1).alias("_one")).alias("r"), F.col(geometry).alias("g"))
@@ -179,6 +186,14 @@ def encode_layer(name: str, extent: int, z: int, box: G.Box, blobs: list, proper
         layer.add_points(px.tolist(), py.tolist(), {k: c.filter(mask) for k, c in columns.items()}, [f for f, g in zip(fids, go.tolist(), strict=True) if g])
         return layer
     rows = properties.to_pylist() if properties is not None else [None] * len(blobs)
+    lines = L.decoded(blobs)
+    if lines is not None and (np.diff(lines[0]) > 0).all():
+        if tolerance > 0:
+            lines = L.simplified(*lines, tolerance)
+        for packed, props, fid in zip(L.commands(*lines, box, extent, buffer), rows, fids, strict=True):
+            if packed:
+                layer.add_packed(mvt.LINE, packed, props or {}, fid)
+        return layer
     for blob, props, fid in zip(blobs, rows, fids, strict=True):
         g = prepared(_geometry(blob), tolerance, make_valid)
         if repair and buffer is not None and g is not None and g[0] in ("Polygon", "MultiPolygon"):
@@ -240,7 +255,8 @@ def layer_parts(s: Source, zooms: list[int], grid: Grid, known: DataFrame | None
         rows = rows.join(known, ["z", "x", "y"], "left_anti")
     counted = rows.withColumn("part", F.pmod(F.xxhash64("id", "g"), F.lit(1 << 20)))
     sizes = counted.groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
-    counted = counted.join(sizes, ["z", "x", "y"], "left").withColumn("part", F.when(F.col("n").isNotNull(), F.pmod("part", F.ceil(F.col("n") / PART))).otherwise(0).cast("long")).drop("n")
+    # A tile of all features is no key of a shuffle; crowded tiles are few.
+    counted = counted.join(F.broadcast(sizes), ["z", "x", "y"], "left").withColumn("part", F.when(F.col("n").isNotNull(), F.pmod("part", F.ceil(F.col("n") / PART))).otherwise(0).cast("long")).drop("n")
     kind = "z int, x long, y long, part long, layer binary, features long"
     name, extent, buffer, make_valid, has = s.name, s.extent, s.buffer, s.make_valid, bool(s.properties)
     tolerances = {z: (s.tolerances or {}).get(z, (s.tolerance or 0.0) * grid.level(z).cell * grid.level(z).tile_width / s.extent) for z in zooms}
@@ -261,18 +277,12 @@ def layer_parts(s: Source, zooms: list[int], grid: Grid, known: DataFrame | None
 def _joined(table: pa.Table) -> pa.Table:
     """A tile of its layers' parts; parts of one layer are merged under one dictionary."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["name"], r["part"]))
-    layers: dict[str, mvt.LayerBuilder] = {}
-    single = {n for n in {r["name"] for r in rows} if sum(r["name"] == n for r in rows) == 1}
-    out = b""
+    layers: dict[str, list[bytes]] = {}
     for r in rows:
-        if r["name"] in single:
-            out += mvt._field(3, r["layer"])
-            continue
-        read = mvt.read(mvt._field(3, r["layer"]))[r["name"]]
-        b = layers.setdefault(r["name"], mvt.LayerBuilder(r["name"], read["extent"]))
-        for f in read["features"]:
-            b.add(f["geometry"], f["properties"], f["id"])
-    out += mvt.tile(list(layers.values()))
+        layers.setdefault(r["name"], []).append(r["layer"])
+    # Layers of one part first, as they are.
+    single = [v[0] for v in layers.values() if len(v) == 1]
+    out = b"".join(mvt._field(3, v) for v in [*single, *(mvt.merged(v) for v in layers.values() if len(v) > 1)])
     z, x, y = rows[0]["z"], rows[0]["x"], rows[0]["y"]
     return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int64()), "y": pa.array([y], pa.int64()), "data": pa.array([out], pa.binary()), "features": pa.array([sum(r["features"] for r in rows)], pa.int64())})
 
@@ -320,8 +330,12 @@ def lines_wkb(df: DataFrame, points: str, name: str = "geom") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [wkb.encode(("LineString", [(p["x"], p["y"]) for p in v])) if v else None for v in b.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(out, pa.binary())], ["r", "g"])
+            v = b.column("v")
+            flat, n = v.flatten(), pc.list_value_length(v).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if flat.null_count or any(flat.field(c).null_count for c in ("x", "y")):
+                raise ValueError("a point of a line is null")
+            x, y = (flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            yield pa.RecordBatch.from_arrays([b.column("r"), L.encoded(np.r_[0, np.cumsum(n)], x, y)], ["r", "g"])
 
     rows = df.select(F.struct(*names).alias("r"), F.col(points).alias("v"))
     kind = rows.schema["r"].dataType.simpleString()

@@ -2,9 +2,11 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from geoloom.functions import geometry as G
+from geoloom.functions import lines as L
 from geoloom.functions import mvt, wkb
 from geoloom.functions.projection import UnknownProjection, transform, transform_box
 
@@ -129,3 +131,48 @@ def test_geodesic(spark):
     df = spark.createDataFrame([(1, [a, b]), (2, [b]), (3, []), (4, [a, b, a])], "k long, p array<struct<x: double, y: double>>")
     got = {r.k: r.metres for r in df.mapInArrow(G.length_batches, "k long, metres double").collect()}
     assert abs(got[1] - 54972.271) < 0.02 and got[2] == got[3] == 0 and abs(got[4] - 2 * got[1]) < 1e-3
+
+
+def _random_lines(seed):
+    rnd = np.random.default_rng(seed)
+    out = [[tuple(map(float, rnd.integers(-300, 1300, 2))) for _ in range(rnd.integers(2, 30))] for _ in range(200)]
+    out += [[(5.0, 5.0), (5.0, 5.0)], [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0)], [(-500.0, 500.0), (1500.0, 500.0)], [(1.0, 1.0), (1.0, 1.0), (900.0, 1.0), (1.0, 1.0)]]
+    return out
+
+
+def test_lines_at_once_as_one_by_one():
+    for seed in (1, 2):
+        lines = _random_lines(seed)
+        blobs = [wkb.encode(("LineString", l)) for l in lines]
+        found = L.decoded(blobs)
+        assert L.encoded(*found).to_pylist() == blobs
+        assert list(zip(*(v.tolist() for v in L.envelopes(*found)), strict=True)) == [wkb.envelope(("LineString", l)) for l in lines]
+        for tolerance in (0.0, 20.0, 400.0):
+            cut = L.simplified(*found, tolerance) if tolerance else found
+            if tolerance:
+                assert [list(zip(cut[1][a:z].tolist(), cut[2][a:z].tolist(), strict=True)) for a, z in zip(cut[0], cut[0][1:], strict=False)] == [G.simplify_line(l, tolerance) for l in lines]
+            for buffer in (None, 0, 64):
+                box, want = (0.0, 0.0, 1000.0, 1000.0), []
+                for l in lines:
+                    g = G.quantised(G.simplify(("LineString", l), tolerance), box, 256, buffer)
+                    want.append(b"".join(map(mvt._varint, mvt.commands(g)[1])) if g else b"")
+                assert L.commands(*cut, box, 256, buffer) == want
+    assert L.decoded([wkb.encode(("Point", (1.0, 2.0)))]) is None and L.decoded([]) is None
+
+
+def test_merged_layers_keep_their_features():
+    parts, want = [], []
+    for part in range(3):
+        b = mvt.LayerBuilder("l", 512)
+        for i in range(200):
+            props = {"n": i * 7 % (90 + part), "part": f"p{part}", "v": i / 4 if i % 3 else None, "on": i % 2 == 0} if i % 5 else {}
+            g, fid = ("MultiLineString", [[(i, part), (i + 3, 9 - i)]]), (1000 * i if i % 4 else None)
+            b.add(g, props, fid)
+            want.append({"id": fid, "properties": {k: v for k, v in props.items() if v is not None}, "geometry": g})
+        parts.append(b.encoded())
+    whole = mvt.read(mvt._field(3, mvt.merged(parts)))["l"]
+    assert whole["features"] == want and whole["extent"] == 512
+    again = mvt.LayerBuilder("l", 512)
+    for f in want:
+        again.add(f["geometry"], f["properties"], f["id"])
+    assert mvt.merged(parts) == again.encoded()
